@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .byte_pair import op8_byte_pair
+from .mixing import op10_mixing
 from .quality_rules import op5_quality_rules
 
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op8_byte_pair": op8_byte_pair,
+    "op10_mixing": op10_mixing,
 }
 
 #: DuckDB's regular expressions know no \x0b in classes as Java's do, so that the class is spelled with control characters.
