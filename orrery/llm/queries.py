@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .byte_pair import op8_byte_pair
 from .mixing import op10_mixing
+from .ngram_join import op6_ngram_join
 from .quality_rules import op5_quality_rules
 
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op6_ngram_join": op6_ngram_join,
     "op8_byte_pair": op8_byte_pair,
     "op10_mixing": op10_mixing,
 }
