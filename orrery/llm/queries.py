@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .byte_pair import op8_byte_pair
+from .license_scan import op4_license_scan
 from .mixing import op10_mixing
 from .ngram_join import op6_ngram_join
 from .quality_rules import op5_quality_rules
+from .url_templates import op7_url_templates
 
 QUERIES = {
+    "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_join": op6_ngram_join,
+    "op7_url_templates": op7_url_templates,
     "op8_byte_pair": op8_byte_pair,
     "op10_mixing": op10_mixing,
 }
