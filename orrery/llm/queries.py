@@ -8,8 +8,10 @@ from .mixing import op10_mixing
 from .ngram_join import op6_ngram_join
 from .quality_rules import op5_quality_rules
 from .url_templates import op7_url_templates
+from .warc import op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_join": op6_ngram_join,
