@@ -1,17 +1,18 @@
 """A gated recurrent language model in numpy: class-factored output softmax, truncated backpropagation through time.
 
-Words of the model are ranks: 0 is any word outside the shortlist, 1 the end of a text (also what comes before its first word),
-then words by frequency. Rank r is member r % MEMBERS of class r // MEMBERS; the probability of a word is that of its class times that within the class.
+Words of the model are ranks: 0 is any word outside the shortlist, 1 the end of a text (also what comes before its first word), then words by
+frequency. Rank 0 is a class of its own; of the others, MEMBERS in a row are a class. The probability of a word is that of its class times that
+within the class.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-HIDDEN = 32
+HIDDEN = 16
 CLASSES = 32
 MEMBERS = 32
-SHORTLIST = CLASSES * MEMBERS
+SHORTLIST = 1 + (CLASSES - 1) * MEMBERS
 OTHER, END = 0, 1
 SHAPES = {
     "inputs": (SHORTLIST, 3 * HIDDEN),
@@ -23,7 +24,7 @@ SHAPES = {
 }
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 WINDOW = 16
-LANES = 128
+LANES = 256
 RATE = 0.004
 CLIP = 5.0
 
@@ -54,10 +55,12 @@ def run(p: dict[str, np.ndarray], words: np.ndarray, h: np.ndarray) -> tuple[np.
     steps, lanes = words.shape
     gates = p["inputs"][words]
     first = words == END
+    some = first.any(axis=1)
     out = np.empty((steps, lanes, HIDDEN), dtype=np.float32)
     kept = []
     for t in range(steps):
-        h = np.where(first[t][:, None], np.float32(0), h)
+        if some[t]:
+            h = np.where(first[t][:, None], np.float32(0), h)
         u = h @ p["state"]
         zr = _sigmoid(gates[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
@@ -68,21 +71,29 @@ def run(p: dict[str, np.ndarray], words: np.ndarray, h: np.ndarray) -> tuple[np.
     return out, h, kept
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unnormalised probabilities and their sums, natural log-probabilities of goal) of logits, which are overwritten."""
+    x -= x.max(axis=1, keepdims=True)
+    at = x[np.arange(goal.size), goal]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], dtype=x.dtype)
+    return total, at - np.log(total)
+
+
+def _by_class(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(class, member, positions by class) of ranks; the class of OTHER has one member, and no positions."""
+    kind, member = np.divmod(ranks + (MEMBERS - 1), MEMBERS)
+    order = np.argsort(kind.astype(np.int8), kind="stable")
+    ends = np.cumsum(np.bincount(kind, minlength=CLASSES))
+    return kind, member, [(c, order[ends[c - 1] : ends[c]]) for c in range(1, CLASSES) if ends[c] > ends[c - 1]]
 
 
 def word_logs(p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of targets (a rank for each state)."""
-    kind, member = np.divmod(targets, MEMBERS)
-    out = _log_softmax(states @ p["to_class"] + p["class_bias"])[np.arange(targets.size), kind]
-    order = np.argsort(kind, kind="stable")
-    ends = np.cumsum(np.bincount(kind, minlength=CLASSES))
-    for c in range(CLASSES):
-        own = order[(ends[c - 1] if c else 0) : ends[c]]
-        if own.size:
-            out[own] += _log_softmax(states[own] @ p["to_word"][c] + p["word_bias"][c])[np.arange(own.size), member[own]]
+    kind, member, groups = _by_class(targets)
+    out = _softmax(states @ p["to_class"] + p["class_bias"], kind)[1]
+    for c, own in groups:
+        out[own] += _softmax(states[own] @ p["to_word"][c] + p["word_bias"][c], member[own])[1]
     return out
 
 
@@ -94,41 +105,46 @@ def gradient(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarray, m
     steps, lanes = words.shape
     states, goal, weight = out.reshape(-1, HIDDEN), targets.ravel(), mask.ravel().astype(np.float32)
     weight = weight / max(1.0, float(weight.sum()))
-    kind, member = np.divmod(goal, MEMBERS)
-    logs = _log_softmax(states @ p["to_class"] + p["class_bias"])
-    loss = -float(logs[np.arange(goal.size), kind] @ weight)
-    d = np.exp(logs)
-    d[np.arange(goal.size), kind] -= 1
-    d *= weight[:, None]
+    kind, member, groups = _by_class(goal)
+
+    def output(x: np.ndarray, at: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, float]:
+        """(gradient of logits, loss)."""
+        total, logs = _softmax(x, at)
+        x *= (shares / total)[:, None]
+        x[np.arange(at.size), at] -= shares
+        return x, -float(logs @ shares)
+
+    d, loss = output(states @ p["to_class"] + p["class_bias"], kind, weight)
     g["to_class"][:] = states.T @ d
     g["class_bias"][:] = d.sum(axis=0)
     ds = d @ p["to_class"].T
-    order = np.argsort(kind, kind="stable")
-    ends = np.cumsum(np.bincount(kind, minlength=CLASSES))
-    for c in range(CLASSES):
-        own = order[(ends[c - 1] if c else 0) : ends[c]]
-        if own.size:
-            logs = _log_softmax(states[own] @ p["to_word"][c] + p["word_bias"][c])
-            loss -= float(logs[np.arange(own.size), member[own]] @ weight[own])
-            d = np.exp(logs)
-            d[np.arange(own.size), member[own]] -= 1
-            d *= weight[own][:, None]
-            g["to_word"][c] = states[own].T @ d
-            g["word_bias"][c] = d.sum(axis=0)
-            ds[own] += d @ p["to_word"][c].T
+    for c, own in groups:
+        some_states = states[own]
+        d, more = output(some_states @ p["to_word"][c] + p["word_bias"][c], member[own], weight[own])
+        loss += more
+        g["to_word"][c] = some_states.T @ d
+        g["word_bias"][c] = d.sum(axis=0)
+        ds[own] += d @ p["to_word"][c].T
     ds = ds.reshape(steps, lanes, HIDDEN)
     first = words == END
+    some, back = first.any(axis=1), np.ascontiguousarray(p["state"].T)
     gates = np.empty((steps, lanes, 3 * HIDDEN), dtype=np.float32)
+    inner = np.empty_like(gates)
     dh = np.zeros((lanes, HIDDEN), dtype=np.float32)
     for t in reversed(range(steps)):
         before, z, r, n, un = kept[t]
         dh = dh + ds[t]
         dn = dh * (1 - z) * (1 - n * n)
-        du = np.concatenate([dh * (before - n) * z * (1 - z), dn * un * r * (1 - r), dn * r], axis=1)
-        gates[t] = du
-        gates[t, :, 2 * HIDDEN :] = dn
-        g["state"] += before.T @ du
-        dh = np.where(first[t][:, None], np.float32(0), dh * z + du @ p["state"].T)
+        du, own = inner[t], gates[t]
+        own[:, :HIDDEN] = dh * (before - n) * z * (1 - z)
+        own[:, HIDDEN : 2 * HIDDEN] = dn * un * r * (1 - r)
+        own[:, 2 * HIDDEN :] = dn
+        du[:, : 2 * HIDDEN] = own[:, : 2 * HIDDEN]
+        du[:, 2 * HIDDEN :] = dn * r
+        dh = dh * z + du @ back
+        if some[t]:
+            dh = np.where(first[t][:, None], np.float32(0), dh)
+    g["state"][:] = np.concatenate([k[0] for k in kept]).T @ inner.reshape(-1, 3 * HIDDEN)
     flow, at = gates.reshape(-1, 3 * HIDDEN), words.ravel()
     order = np.argsort(at, kind="stable")
     sorted_at = at[order]
@@ -193,7 +209,7 @@ def text_logs(flat: np.ndarray, ranks: np.ndarray, first: np.ndarray, window: in
     step = start[doc] + np.arange(ranks.size) - first[:-1][doc]
     given = np.concatenate([[END], ranks[:-1]])
     given[first[:-1][length > 0]] = END
-    words, goals, owner = np.full((steps, lanes), END), np.full((steps, lanes), END), np.full((steps, lanes), -1)
+    words, goals, owner = (np.full((steps, lanes), x, dtype=np.int32) for x in (END, END, -1))
     words[step, lane_of[doc]], goals[step, lane_of[doc]], owner[step, lane_of[doc]] = given, ranks, doc
     h = np.zeros((lanes, HIDDEN), dtype=np.float32)
     for t in range(0, steps, window):

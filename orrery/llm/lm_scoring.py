@@ -31,6 +31,8 @@ HEAD = 1 << 16
 #: Documents of the first model, and how often they are read.
 WARM_TEXTS, WARM_ROUNDS = 400, 3
 PARTS = 16
+#: Row groups of scoring, in bytes: many lanes stay busy beside a long text.
+GROUP = 12 << 20
 FLUSH = 1 << 20
 HELD_OUT = (7, 2)
 #: The end of a text among words: the hash of a blank, which no word can be.
@@ -86,9 +88,9 @@ class Lexicon:
         return np.where(known, self.ranks[at], gru.OTHER), np.where(known, self.counts[at], 0), known
 
 
-def _streams(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, words with an end behind each text, firsts)."""
-    for rows, data, offsets in textops.documents(batches, "text"):
+    for rows, data, offsets in textops.documents(batches, "text", GROUP):
         _, _, first, h = textops.words(data, offsets)
         yield rows, np.insert(h, first[1:], END_WORD), first + np.arange(first.size)
 
@@ -100,7 +102,7 @@ def _models(df: DataFrame, lexicon, start: np.ndarray, rounds: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = gru.Trainer(shipped.value)
         kept = []
-        for _, h, _ in _streams(batches, lexicon.value):
+        for _, h, _ in _streams(batches):
             ranks = lexicon.value.look(h)[0]
             trainer.learn(ranks)
             if rounds > 1:  # of the bounded sample only
@@ -141,7 +143,7 @@ def _scored(df: DataFrame, lexicon, model: np.ndarray, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for rows, h, first in _streams(batches, lexicon.value):
+        for rows, h, first in _streams(batches):
             ranks, counts, known = lexicon.value.look(h)
             doc = np.repeat(np.arange(len(rows)), np.diff(first))
             add = lambda weights: np.bincount(doc, weights=weights, minlength=len(rows))  # noqa: E731, B023
