@@ -235,9 +235,9 @@ def ngp_sql(n: int = N, rows: str | None = None) -> str:
 
 def cic_sql(n: int = N) -> str:
     u = ", ".join(f"{c} / {num(L / n)} AS u{c}" for c in "xyz")
-    parts = ", ".join(f"CAST(floor(u{c}) AS INT) AS b{c}, u{c} - floor(u{c}) AS d{c}" for c in "xyz")
+    parts = ", ".join(f"CAST(floor(u{c}) AS INT) AS low{c}, u{c} - floor(u{c}) AS d{c}" for c in "xyz")
     corners = " CROSS JOIN ".join(f"(VALUES (0), (1)) s{c}(s{c})" for c in "xyz")
-    cells = ", ".join(f"(b{c} + s{c}) % {n} AS i{c}" for c in "xyz")
+    cells = ", ".join(f"(low{c} + s{c}) % {n} AS i{c}" for c in "xyz")
     weight = " * ".join(f"(CASE WHEN s{c} = 1 THEN d{c} ELSE 1 - d{c} END)" for c in "xyz")
     return f"SELECT ix, iy, iz, sum(w) AS rho FROM (SELECT {cells}, {weight} AS w FROM (SELECT {parts} FROM (SELECT {u} FROM ({particles_sql()}))) CROSS JOIN {corners}) GROUP BY 1, 2, 3"
 
@@ -357,9 +357,9 @@ def _(spark, sf):
     return rounded(spectrum.power_spectrum(particles(spark, sf), N, L, "ngp", edges=OWN_EDGES)[0])
 
 
-@query("q_pk_fine")
+@query("q_pk_fine", rounded_sql(bins_sql(modes_sql(cic_sql(N_FINE), N_FINE), [float(e) for e in spectrum.default_edges(N_FINE, L)])))
 def _(spark, sf):
-    return spectrum.power_spectrum(particles(spark, sf), 64, L, "cic")[0]
+    return rounded(spectrum.power_spectrum(particles(spark, sf), N_FINE, L, "cic")[0])
 
 
 @query("q_modes", f"SELECT round(k, 6) AS k, round(p, 4) AS p FROM ({modes_sql(ngp_sql())}) WHERE k > 0")
