@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from .byte_pair import op8_byte_pair
+from .image_copies import op9_media_columns
 from .license_scan import op4_license_scan
+from .lm_scoring import op1_lm_scoring
 from .mixing import op10_mixing
 from .ngram_join import op6_ngram_join
 from .quality_rules import op5_quality_rules
+from .token_files import op3_token_counts
 from .url_templates import op7_url_templates
 from .warc import op2_warc
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_warc": op2_warc,
+    "op3_token_counts": op3_token_counts,
     "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_ngram_join": op6_ngram_join,
     "op7_url_templates": op7_url_templates,
     "op8_byte_pair": op8_byte_pair,
+    "op9_media_columns": op9_media_columns,
     "op10_mixing": op10_mixing,
 }
 
