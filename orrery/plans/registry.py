@@ -434,12 +434,12 @@ _LIST = _regex("nSteps", r"\[([^\]]+)\]")
 @query(
     "q_param_parse",
     f"SELECT n_nationkey, nullif({_regex('achOutName', chr(34) + '([^' + chr(34) + ']+)' + chr(34))}, '') AS namespace, CAST({_regex('dRedshiftLCP', r'([-+]?[0-9]*[.]?[0-9]+(?:[eE][-+]?[0-9]+)?)')} AS DOUBLE) AS zmax, CAST({_regex('dBoxSize', '([-+]?[0-9]+)')} AS BIGINT) AS boxsize, "
-    f"CASE WHEN {_LIST} <> '' THEN CAST(list_sum(list_transform(string_split({_LIST}, ','), lambda x: CAST(trim(x) AS BIGINT))) AS BIGINT) ELSE CAST({_regex('nSteps', '([-+]?[0-9]+)')} AS BIGINT) END AS nsteps, TRY_CAST(nullif({_regex('nGrid', '([-+]?[0-9]+)')}, '') AS BIGINT) AS ngrid "
+    f"CASE WHEN {_LIST} <> '' THEN CAST(list_sum(list_transform(string_split({_LIST}, ','), lambda x: CAST(trim(x) AS BIGINT))) AS BIGINT) ELSE CAST({_regex('nSteps', '([-+]?[0-9]+)')} AS BIGINT) END AS nsteps, coalesce(TRY_CAST(nullif({_regex('nGrid', '([-+]?[0-9]+)')}, '') AS BIGINT), -1) AS ngrid "
     f"FROM (SELECT {_FILES.format(text='VARCHAR')} FROM nation)",
 )
 def _(spark, sf):
     nation = table(spark, sf, "nation").selectExpr(*_split_alias(_FILES.format(text="STRING")))
-    return metadata.parse_parameters(nation).select("n_nationkey", "namespace", "zmax", "boxsize", "nsteps", "ngrid")
+    return metadata.parse_parameters(nation).select("n_nationkey", "namespace", "zmax", "boxsize", "nsteps", F.coalesce("ngrid", F.lit(-1).cast("long")).alias("ngrid"))
 
 
 def _split_alias(text: str) -> list[str]:
