@@ -125,13 +125,22 @@ def described(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id long, x double, y double, level int, turn int, " + ", ".join(f"d{k} long" for k in range(PARTS)))
 
 
+def differing_bits():
+    """Of the descriptors of a pair of keypoints."""
+    return sum((F.bit_count(F.col(f"d{k}").bitwiseXOR(F.col(f"q_d{k}"))) for k in range(1, PARTS)), F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))))
+
+
 def search(index: DataFrame, queries: DataFrame, most_bits: int = MOST_BITS, votes: int = VOTES) -> DataFrame:
     """(query, image, votes, dx, dy) of queries and images (both keypoint tables) whose keypoints agree."""
     parts = F.posexplode(F.array(*[F.col(f"d{k}") for k in range(PARTS)])).alias("part", "bits")
     left = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], parts)
     right = index.select(*index.columns, parts)
-    differ = sum((F.bit_count(F.col(f"d{k}").bitwiseXOR(F.col(f"q_d{k}"))) for k in range(1, PARTS)), F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))))
-    pairs = left.join(right, ["part", "bits"]).filter(differ <= most_bits).dropDuplicates(["q_id", "q_x", "q_y", "q_level", "id", "x", "y", "level"])
+    pairs = left.join(right, ["part", "bits"]).filter(differing_bits() <= most_bits).dropDuplicates(["q_id", "q_x", "q_y", "q_level", "id", "x", "y", "level"])
+    return consensus(pairs, votes)
+
+
+def consensus(pairs: DataFrame, votes: int = VOTES) -> DataFrame:
+    """(query, image, votes, dx, dy) of pairs of images with enough matches that agree in shift, scale and turn."""
     turn = F.pmod(F.col("turn") - F.col("q_turn"), F.lit(TURNS))
     scale = F.element_at(F.array(*[F.lit(s) for s in SCALES]), F.col("level") + 1) / F.element_at(F.array(*[F.lit(s) for s in SCALES]), F.col("q_level") + 1)
     angle = turn * F.lit(2 * np.pi / TURNS)

@@ -63,8 +63,9 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 def hash_words(words: list[str | bytes]) -> np.ndarray:
     """The hashes that `words` gives these words."""
     raw = [w.encode() if isinstance(w, str) else w for w in words]
-    ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
-    starts = ends - [len(w) for w in raw]
+    lengths = np.array([len(w) for w in raw], dtype=np.int64)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
     return range_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), starts, ends)
 
 

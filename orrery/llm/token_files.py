@@ -91,11 +91,11 @@ def count_tokens(spark: SparkSession, path: str, scratch: Scratch, end: int = EN
     own = F.when(F.col("start") % 2 == 0, F.col("even")).otherwise(F.col("odd"))
     ends = F.transform(F.concat(F.when(stitched, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")), own), lambda p: ((p + F.col("start")) / 2).cast("long"))
     at = at.select("file", "split", "start", "bytes", ends.alias("ends"))
-    at = at.withColumn("docs_before", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0))).withColumn("end_before", F.coalesce(F.last(F.element_at("ends", -1), ignorenulls=True).over(before), F.lit(-1)))
+    at = at.withColumn("docs_before", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0))).withColumn("end_before", F.coalesce(F.last(F.try_element_at("ends", F.lit(-1)), ignorenulls=True).over(before), F.lit(-1)))
     starts = F.transform("ends", lambda e, i: F.when(i == 0, F.col("end_before")).otherwise(F.get("ends", i - 1)) + 1)
     each = at.select("file", "docs_before", F.posexplode(F.arrays_zip(starts.alias("a"), F.col("ends").alias("b"))))
     done = each.select("file", (F.col("docs_before") + F.col("pos")).alias("doc_index"), F.col("col.a").alias("first_token"), (F.col("col.b") - F.col("col.a")).alias("n_tokens"), F.lit(True).alias("finished"))
-    last = at.groupBy("file").agg(F.sum(F.size("ends")).alias("doc_index"), F.coalesce(F.max(F.element_at("ends", -1)), F.lit(-1)).alias("end")).join(sizes, "file")
+    last = at.groupBy("file").agg(F.sum(F.size("ends")).alias("doc_index"), F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))), F.lit(-1)).alias("end")).join(sizes, "file")
     rest = last.select("file", F.col("doc_index").cast("long"), (F.col("end") + 1).alias("first_token"), (F.floor(F.col("size") / 2) - F.col("end") - 1).alias("n_tokens"), F.lit(False).alias("finished")).filter("n_tokens > 0")
     return done.unionByName(rest)
 
