@@ -162,7 +162,7 @@ class Trainer:
 
     def learn(self, stream: np.ndarray) -> None:
         """stream: ranks of texts one after another, an END behind each; lanes are equal parts of it."""
-        lanes = max(1, min(LANES, stream.size // (4 * WINDOW)))
+        lanes = max(1, min(LANES, stream.size // (32 * WINDOW)))  # a short stream still makes some steps
         length = -(-stream.size // lanes)
         goal = np.full(lanes * length, END, dtype=np.int64)
         goal[: stream.size] = stream

@@ -28,8 +28,8 @@ from .shared import Scratch, table
 
 #: Words whose counts are broadcast: 16 bytes each, whatever the input.
 HEAD = 1 << 16
-#: Documents of the first model, and how often they are read.
-WARM_TEXTS, WARM_ROUNDS = 400, 3
+#: Documents of the first model, and how many steps it takes over them.
+WARM_TEXTS, WARM_STEPS = 400, 600
 PARTS = 16
 #: Row groups of scoring, in bytes: many lanes stay busy beside a long text.
 GROUP = 12 << 20
@@ -95,7 +95,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         yield rows, np.insert(h, first[1:], END_WORD), first + np.arange(first.size)
 
 
-def _models(df: DataFrame, lexicon, start: np.ndarray, rounds: int) -> DataFrame:
+def _models(df: DataFrame, lexicon, start: np.ndarray, steps: int) -> DataFrame:
     """(part, weight, values): a model of each task's texts, in PARTS parts."""
     shipped = df.sparkSession.sparkContext.broadcast(start)
 
@@ -105,9 +105,9 @@ def _models(df: DataFrame, lexicon, start: np.ndarray, rounds: int) -> DataFrame
         for _, h, _ in _streams(batches):
             ranks = lexicon.value.look(h)[0]
             trainer.learn(ranks)
-            if rounds > 1:  # of the bounded sample only
+            if steps:  # of the bounded sample only
                 kept.append(ranks)
-        for _ in range(rounds - 1):
+        while kept and trainer.steps < steps:
             for ranks in kept:
                 trainer.learn(ranks)
         if trainer.words:
@@ -127,9 +127,9 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "weight": pa.array([w for w, _ in sums.values()]), "values": pa.array([(x / w).astype("<f8").tobytes() for w, x in sums.values()], pa.binary())})
 
 
-def trained(df: DataFrame, lexicon, start: np.ndarray, rounds: int = 1) -> np.ndarray:
-    """The average of the tasks' models; one model comes to the driver."""
-    rows = _models(df, lexicon, start, rounds).repartition(PARTS, "part").mapInArrow(_average, "part int, weight double, values binary").collect()
+def trained(df: DataFrame, lexicon, start: np.ndarray, steps: int = 0) -> np.ndarray:
+    """The average of the tasks' models, each of one pass, or of so many steps at least; one model comes to the driver."""
+    rows = _models(df, lexicon, start, steps).repartition(PARTS, "part").mapInArrow(_average, "part int, weight double, values binary").collect()
     if not rows:
         return start
     return np.concatenate([np.frombuffer(r["values"], dtype="<f8") for r in sorted(rows, key=lambda r: r["part"])]).astype(np.float32)
@@ -174,7 +174,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train:
     lexicon = Lexicon(head_words, np.array([r["count"] for r in head], dtype=np.int64))
     shipped = df.sparkSession.sparkContext.broadcast(lexicon)
     warm = texts.orderBy(F.xxhash64("id"), "id").limit(WARM_TEXTS).select("text").coalesce(1)
-    model = trained(warm, shipped, gru.fresh(), WARM_ROUNDS)
+    model = trained(warm, shipped, gru.fresh(), WARM_STEPS)
     model = trained(texts.select("text"), shipped, model)
     rows = scratch.keep(_scored(docs, shipped, model, df.schema[id_col].dataType.simpleString()), "scored")
     tail = rows.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
