@@ -161,6 +161,17 @@ def _scored(df: DataFrame, lexicon, model: np.ndarray, kind: str) -> DataFrame:
     return df.mapInArrow(run, _SCORED.format(kind))
 
 
+def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts. A histogram of counts by eighths of powers of two comes first, so that hardly more than `most` words are sorted."""
+    size = F.floor(F.log2(F.col("count").cast("double")) * 8)
+    left, least = most, 0
+    for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():  # a few hundred rows, whatever the input
+        left, least = left - r["n"], r["size"]
+        if left <= 0:
+            break
+    return counts.filter(size >= least).orderBy(F.desc("count"), "word").limit(most)
+
+
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train: Column | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, log10_perplexity) of every text."""
     scratch = Scratch(df.sparkSession, "lm")
@@ -169,7 +180,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train:
     texts = docs.filter("NOT held_out").select("id", "text")
     counts = scratch.keep(texts.select("text").mapInArrow(_count, "word long, count long").groupBy("word").agg(F.sum("count").alias("count")), "counts")
     totals = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
-    head = counts.orderBy(F.desc("count"), "word").limit(HEAD).collect()  # a fixed number of words
+    head = _most_frequent(counts, HEAD).collect()  # a fixed number of words
     head_words = np.array([r["word"] for r in head], dtype=np.int64).view(np.uint64)
     lexicon = Lexicon(head_words, np.array([r["count"] for r in head], dtype=np.int64))
     shipped = df.sparkSession.sparkContext.broadcast(lexicon)
