@@ -49,6 +49,7 @@ class Scratch:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of finished steps as well
 
 
 def word_array(text: Column) -> Column:
