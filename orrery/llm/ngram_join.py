@@ -5,12 +5,14 @@
 2. Tiles. Two sets of that similarity share one of their first n - ceil(0.8 n) + 1 shingles in any common order, here
    rarest first by a counting sketch of fixed width over all shingles (an order needs no exact counts). A tile holds the sets that have one
    shingle among their first, by size; only neighbours in size (within 0.8) can be similar.
-3. First round. Each node is compared with one neighbour, the one next to it in most tiles. Most copies join their groups here.
-4. Second round. In tiles that still hold several components, blocks of rows by size are compared with blocks: hashed bitmaps give
-   an upper bound of the overlap from their differing bits, for whole blocks at a time. What passes is verified.
-5. Verification intersects the sorted arrays. Components are found by pointer jumping over links.
-
-Pairs in one component aren't compared any more, as nothing depends on them, so that a group of copies costs about a link for each copy; no pair
+3. Bounds. Blocks of a tile's rows are compared with blocks that are near in size: hashed bitmaps give an upper bound of the overlap from their
+   differing bits. Each row gives its best partner that the bound allows, so that a tile makes no more pairs than it has rows. Only sets with such
+   a partner go on.
+4. Rounds. The best partner of each set is verified by intersecting the sorted arrays, and links join components (by pointer jumping). Then the same
+   again between different components only, until a round finds no link.
+5. Last round. All pairs of different components that share a tile and pass the bound are verified: what is left there are near misses.
+
+Pairs in one component aren't compared any more, as nothing depends on them, so that a group of copies costs about a link for each copy in a round; no pair
 of different components is left out.
 
 Cases: a null, empty or blank text has no shingles and is linked with nothing (its component is its own id); fewer than five words are one shingle; equal rows
@@ -36,6 +38,8 @@ WORDS = 5
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
 BLOCK = 1024
+#: Rounds of best partners before all that is left is compared; a round without links ends them sooner.
+ROUNDS = 2
 MOST_BITS = 4096
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -150,19 +154,6 @@ def _rows(df: DataFrame, counts: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, "id long, n long, sig binary, bits binary, prefix array<long>")
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, a_n, b_n, a_bits, b_bits) whose bitmaps allow a link."""
-    for batch in batches:
-        cols = batch.to_pydict()
-        keep = []
-        for i, (an, bn, x, y) in enumerate(zip(cols["a_n"], cols["b_n"], cols["a_bits"], cols["b_bits"], strict=True)):
-            width = min(len(x), len(y))
-            x, y = (fold(np.frombuffer(v, dtype=np.uint8), width) for v in (x, y))
-            if linked(overlap_bounds(x[None], np.array([an]), y, bn), an + bn)[0]:
-                keep.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
-
-
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, sets in _sets(batches):
         yield pa.RecordBatch.from_pydict({"id": rows.column(0), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
@@ -180,59 +171,136 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Links among pairs (a, b); the sets are made again for the nodes of pairs only."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = scratch.keep(docs.join(ids, "id", "left_semi").mapInArrow(_set_rows, "id long, hashes binary"), f"{name}-sets")
+def _verify(scratch: Scratch, sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Links among pairs (a, b)."""
     a, b = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"{x}_set")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set")
-    links = scratch.keep(both.mapInArrow(_verified, "a long, b long").distinct(), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return links
-
-
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, low, high, side, node, n, component, bits) sorted by (key, low, high): pairs of different components that bitmaps allow.
+    return scratch.keep(both.mapInArrow(_verified, "a long, b long").distinct(), f"{name}-links")
+
+
+class _Tile:
+    """Rows (node, n, component, bits) of one or two blocks of a tile, by size; bits as bytes. side 0 is compared with side 1, or with itself if alone."""
+
+    def __init__(self, rows: list[tuple], alone: bool):
+        self.alone = alone
+        self.side, self.node, self.n, self.comp = ([r[k] for r in rows] for k in (3, 4, 5, 6))
+        self.bits = [r[7] for r in rows]
+
+    def few(self) -> Iterator[tuple[int, int, int]]:
+        """(i, j, bound) of pairs that may be linked, one by one."""
+        whole = [int.from_bytes(b, "little") for b in self.bits]
+        for i in range(len(whole)):
+            for j in range(i + 1 if self.alone else 0, len(whole)):
+                if not self.alone and (self.side[i] or not self.side[j]):
+                    continue
+                a, b = self.n[i], self.n[j]
+                if self.comp[i] == self.comp[j] or 5 * min(a, b) < 4 * max(a, b):
+                    continue
+                x, y, w, v = whole[i], whole[j], len(self.bits[i]) * 8, len(self.bits[j]) * 8
+                while w > v:
+                    w //= 2
+                    x = (x >> w) | (x & ((1 << w) - 1))
+                while v > w:
+                    v //= 2
+                    y = (y >> v) | (y & ((1 << v) - 1))
+                bound = min((a + b - (x ^ y).bit_count()) // 2, a, b)
+                if 9 * bound >= 4 * (a + b):
+                    yield i, j, bound
+
+    def many(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(i, all j of its pairs, bounds)."""
+        side, n, comp = np.array(self.side), np.array(self.n), np.array(self.comp)
+        width = np.array([len(b) for b in self.bits])
+        folded = {}
+        for w in np.unique(width).tolist():
+            wide = np.flatnonzero(width >= w)
+            place = np.full(width.size, -1)
+            place[wide] = np.arange(wide.size)
+            folded[w] = place, np.stack([fold(np.frombuffer(self.bits[k], dtype=np.uint8), w) for k in wide])
+        for i in range(n.size) if self.alone else np.flatnonzero(side == 0):
+            others = np.arange(i + 1, n.size) if self.alone else np.flatnonzero(side == 1)
+            m = others[(comp[others] != comp[i]) & (5 * np.minimum(n[others], n[i]) >= 4 * np.maximum(n[others], n[i]))]
+            for w in np.unique(np.minimum(width[m], width[i])).tolist():
+                own = m[np.minimum(width[m], width[i]) == w]
+                place, bits = folded[w]
+                bound = overlap_bounds(bits[place[own]], n[own], bits[place[i]], int(n[i]))
+                good = linked(bound, n[own] + n[i])
+                if good.any():
+                    yield int(i), own[good], bound[good]
+
+    def pairs(self) -> tuple[list[int], list[int], list[float]]:
+        if len(self.n) <= 8:
+            found = list(self.few())
+            return [i for i, _, _ in found], [j for _, j, _ in found], [b / (self.n[i] + self.n[j] - b) for i, j, b in found]
+        a, b, score = [], [], []
+        n = np.array(self.n)
+        for i, j, bound in self.many():
+            a += [i] * j.size
+            b += j.tolist()
+            score += (bound / (n[i] + n[j] - bound)).tolist()
+        return a, b, score
+
+
+def _compare(every: bool):
+    """Rows (key, low, high, side, node, n, component, bits) sorted by (key, low, high) to pairs (a, b, score): for each row its best partner, or all pairs.
 
     A run of rows with equal (key, low, high) is a tile of two blocks (side 0 and 1; the same rows when low = high), of at most BLOCK rows each.
     """
 
-    def tile(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        side, node, n, comp = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
-        alone = rows[0][1] == rows[0][2]
-        a_out, b_out = [], []
-        width = min(len(r[7]) for r in rows)
-        bits = np.stack([fold(np.frombuffer(r[7], dtype=np.uint8), width) for r in rows])
-        other = np.flatnonzero(side == (0 if alone else 1))
-        for k, i in enumerate(np.flatnonzero(side == 0)):
-            others = other[k + 1 :] if alone else other
-            m = others[(comp[others] != comp[i]) & (5 * np.minimum(n[others], n[i]) >= 4 * np.maximum(n[others], n[i]))]
-            if m.size:
-                m = m[linked(overlap_bounds(bits[m], n[m], bits[i], int(n[i])), n[m] + n[i])]
-                a_out += np.minimum(node[m], node[i]).tolist()
-                b_out += np.maximum(node[m], node[i]).tolist()
-        return a_out, b_out
-
-    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if len(rows) > 1:
-            a, b = tile(rows)
-            if a:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    run: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
-            if run and run[0][:3] != row[:3]:
-                yield from flush(run)
-                run = []
-            run.append(row)
-    if run:
-        yield from flush(run)
-
-
-def _second_round(tiles: DataFrame, found: DataFrame, bits: DataFrame, block: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a tile, fit in size and pass the bound."""
-    labelled = tiles.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def flush(rows: list[tuple], out: tuple[list, list, list]) -> None:
+        if len(rows) < 2:
+            return
+        tile = _Tile(rows, rows[0][1] == rows[0][2])
+        first, second, score = tile.pairs()
+        if not every and len(first) > 1:
+            best: dict[int, tuple[float, int]] = {}
+            for i, j, x in zip(first, second, score, strict=True):
+                for p, q in ((i, j), (j, i)):
+                    if p not in best or best[p] < (x, -tile.node[q]):
+                        best[p] = x, -tile.node[q]
+            for p, (x, q) in best.items():
+                out[0].append(tile.node[p])
+                out[1].append(-q)
+                out[2].append(x)
+            return
+        for i, j, x in zip(first, second, score, strict=True):
+            for p, q in ((i, j), (j, i)):
+                out[0].append(tile.node[p])
+                out[1].append(tile.node[q])
+                out[2].append(x)
+                if every:
+                    break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        out: tuple[list, list, list] = ([], [], [])
+
+        def batch_of() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_pydict({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+            for x in out:
+                x.clear()
+            return b
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
+                if rows and rows[0][:3] != row[:3]:
+                    flush(rows, out)
+                    rows = []
+                rows.append(row)
+                if len(out[0]) > 50_000:
+                    yield batch_of()
+        flush(rows, out)
+        yield batch_of()
+
+    return run
+
+
+def _pairs(tiles: DataFrame, found: DataFrame | None, bits: DataFrame, block: int, every: bool = False) -> DataFrame:
+    """Pairs (a, b, score) of different components that share a tile, fit in size and pass the bound."""
+    if found is None:
+        labelled = tiles.withColumn("component", F.col("node"))
+    else:
+        labelled = tiles.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).filter("x <> y").select("key", "rows")
     rows = labelled.join(mixed, "key")
     place = F.row_number().over(Window.partitionBy("key").orderBy("n", "node")) - 1
@@ -246,43 +314,60 @@ def _second_round(tiles: DataFrame, found: DataFrame, bits: DataFrame, block: in
     single = rows.filter("blocks = 1").select("key", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"), "node", "n", "component")
     several = rows.filter("blocks > 1").join(low.unionAll(high), ["key", "block"]).select("key", "low", "high", "side", "node", "n", "component")
     dealt = single.unionAll(several).join(bits, "node").select("key", "low", "high", "side", "node", "n", "component", "bits")
-    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "n", "node").mapInArrow(_compare_blocks, "a long, b long").distinct()
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "n", "node").mapInArrow(_compare(every), "a long, b long, score double")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """One pair (a, b) for each node a, a < b."""
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("score", F.col("b"))).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _joined(scratch: Scratch, found: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """found (node, component) after more links."""
+    label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).filter("a <> b")
+    top = components(scratch, between, name).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    moved = found.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    alone = top.join(found.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+    return scratch.keep(moved.unionAll(alone), f"{name}-found")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id): a row for each row of df."""
     scratch = Scratch(df.sparkSession, "jaccard")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = docs.select("text")
-    rows = scratch.keep(_rows(docs, sketch(texts)), "rows")
+    rows = scratch.keep(_rows(docs, sketch(docs.select("text"))), "rows")
     classes = rows.filter("n > 0").groupBy("sig")
     member = scratch.keep(classes.agg(F.min("id").alias("node")), "classes")
     nodes = classes.agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).filter("node IS NOT NULL")
     entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    by_size = Window.partitionBy("key").orderBy("n", "node")
-    tiles = entries.select("key", "node", "n", F.lag("node").over(by_size).alias("near"), F.lag("n").over(by_size).alias("near_n"), F.lead("node").over(by_size).alias("next"))
-    tiles = scratch.keep(tiles.filter("near IS NOT NULL OR next IS NOT NULL").drop("next"), "tiles")
-    bits = scratch.keep(classes.agg(F.min("id").alias("node"), F.first("bits").alias("bits")).filter("node IS NOT NULL"), "bits")
-
-    near = tiles.filter("node <> near AND 5 * near_n >= 4 * n").groupBy("node", "n", "near", "near_n").count()
-    near = near.groupBy("node").agg(F.max_by(F.struct("n", "near", "near_n"), F.struct("count", "near")).alias("best")).select("node", "best.*")
-    near = near.join(bits.withColumnRenamed("bits", "b_bits"), "node").join(bits.select(F.col("node").alias("near"), F.col("bits").alias("a_bits")), "near")
-    near = near.select(F.col("near").alias("a"), F.col("node").alias("b"), F.col("near_n").alias("a_n"), F.col("n").alias("b_n"), "a_bits", "b_bits")
-    first = _verify(scratch, docs, scratch.keep(near.mapInArrow(_bounded, "a long, b long"), "pairs-1"), "first")
-    found = components(scratch, first, "first")
-
-    second = scratch.keep(_second_round(tiles, found, bits, block), "pairs-2")
-    more = _verify(scratch, docs, second, "second")
-    label = found.select(F.col("node").alias("x"), "component")
-    joined = more.join(label.withColumnRenamed("x", "a").withColumnRenamed("component", "a_c"), "a", "left").join(label.withColumnRenamed("x", "b").withColumnRenamed("component", "b_c"), "b", "left")
-    joined = joined.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).filter("a <> b")
-    top = components(scratch, joined, "second").select(F.col("node").alias("component"), F.col("component").alias("top"))
-    reps = found.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    alone = top.join(found, top["component"] == found["node"], "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
-    reps = reps.unionAll(alone)
-    member = scratch.keep(member.join(reps, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id")), "members")
-    out = scratch.keep(rows.select("id", "n", "sig").join(member, "sig", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")), "result")
-    for name in ("rows", "tiles", "bits"):
+    # what shares its key with another row: neighbours in sorted partitions, so that no key's rows are gathered
+    by_node = Window.partitionBy("key").orderBy("node")
+    near = entries.select("key", "node", "n", F.lag("node").over(by_node).alias("before"), F.lead("node").over(by_node).alias("after"))
+    tiles = scratch.keep(near.filter("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "tiles")
+    shared = tiles.select("node").distinct()
+    bits = classes.agg(F.min("id").alias("node"), F.first("bits").alias("bits")).join(shared, "node", "left_semi")
+    bits = scratch.keep(bits, "bits")
+
+    pairs = scratch.keep(_pairs(tiles, None, bits, block), "pairs")
+    partnered = scratch.keep(pairs.select(F.col("a").alias("id")).distinct(), "partnered")
+    tiles = scratch.keep(tiles.join(partnered.withColumnRenamed("id", "node"), "node", "left_semi"), "tiles-kept")
+    for name in ("tiles",):
+        scratch.drop(name)
+    sets = scratch.keep(docs.join(partnered, "id", "left_semi").mapInArrow(_set_rows, "id long, hashes binary"), "sets")
+    found = components(scratch, _verify(scratch, sets, scratch.keep(_best(pairs), "best-0"), "round-0"), "found-0")
+    for k in range(1, ROUNDS + 1):
+        links = _verify(scratch, sets, scratch.keep(_best(_pairs(tiles, found, bits, block)), f"best-{k}"), f"round-{k}")
+        if links.isEmpty():
+            break
+        found = _joined(scratch, found, links, f"found-{k}")
+    last = scratch.keep(_pairs(tiles, found, bits, block, every=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "last-pairs")
+    found = _joined(scratch, found, _verify(scratch, sets, last, "last"), "found-last")
+    member = scratch.keep(member.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id")), "members")
+    out = rows.select("id", "n", "sig").join(member, "sig", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = scratch.keep(out, "result")
+    for name in ("rows", "tiles-kept", "bits", "pairs", "sets"):
         scratch.drop(name)
     return out
 
