@@ -45,6 +45,7 @@ class Campaign:
     def create(self, name: str) -> Path:
         """The files of a variant's run: transfer function, parameter file, job script."""
         params = self.parameters(name)
+        presets.check_run(params)
         cosmo = Cosmology(params["cosmo"])
         folder = sinks.run_folder(str(self.folder), name, self.settings.get("scratch_dir"))
         sinks.write_transfer(cosmo, str(folder / f"{name}.transfer"))

@@ -60,6 +60,26 @@ def cosmology(name: str, **changes) -> dict:
     return p
 
 
+def typed(text: str) -> int | float | str:
+    """A parameter from a command line: digits are whole numbers, decimals are numbers, all else is text."""
+    if text.isdigit():
+        return int(text)
+    try:
+        return float(text)
+    except ValueError:
+        return text
+
+
+def check_run(params: dict) -> None:
+    """Raises unless grid, nodes and GPUs are positive whole numbers and the box is a positive number."""
+    value = {k: typed(v) if isinstance(v, str) else v for k, v in params.items()}
+    bad = [k for k in ("nGrid", "nodes", "gpupern") if not (isinstance(value.get(k), int) and value[k] > 0)]
+    if not (isinstance(value.get("dBoxSize"), (int, float)) and value["dBoxSize"] > 0):
+        bad.append("dBoxSize")
+    if bad:
+        raise ValueError(f"Not positive numbers: {bad}")
+
+
 def preset_table(spark: SparkSession, presets: dict[str, dict]) -> DataFrame:
     """(name, params): values as text, nested ones as JSON."""
     text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v)

@@ -90,6 +90,29 @@ def modes(cells: DataFrame, ngrid: int, mean: float | None = None) -> DataFrame:
     return _half_transformed(cells, ngrid, mean).groupBy("kz").applyInArrow(run, "kx int, ky int, kz int, re double, im double")
 
 
+def field(transformed: DataFrame, ngrid: int) -> DataFrame:
+    """(ix, iy, iz, value) of modes (kx, ky, kz, re, im): the inverse of `modes`, by the same two shuffles in reverse."""
+    half = ngrid // 2 + 1
+
+    def columns(key: tuple, rows: pa.Table) -> pa.Table:
+        plane = np.zeros((ngrid, ngrid), dtype=complex)
+        plane[rows["kx"].to_numpy(), rows["ky"].to_numpy()] = rows["re"].to_numpy() + 1j * rows["im"].to_numpy()
+        out = np.fft.ifft(plane, axis=1).T
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(part).ravel()), ngrid).cast(pa.list_(pa.float64())) for part in (out.real, out.imag)]
+        return pa.table({"iy": pa.array(np.arange(ngrid), pa.int32()), "kz": pa.array(np.full(ngrid, key[0].as_py()), pa.int32()), "re": lists[0], "im": lists[1]})
+
+    def planes(key: tuple, rows: pa.Table) -> pa.Table:
+        out = np.zeros((ngrid, half), dtype=complex)
+        for kz, re, im in zip(rows["kz"].to_pylist(), rows["re"], rows["im"], strict=True):
+            out[:, kz] = np.array(re.values) + 1j * np.array(im.values)
+        values = np.fft.irfft(np.fft.ifft(out, axis=0), n=ngrid, axis=1)
+        ix, iz = (i.ravel().astype(np.int32) for i in np.indices(values.shape))
+        return pa.table({"ix": ix, "iy": np.full(ix.size, key[0].as_py(), np.int32), "iz": iz, "value": values.ravel()})
+
+    turned = transformed.groupBy("kz").applyInArrow(columns, "iy int, kz int, re array<double>, im array<double>")
+    return turned.groupBy("iy").applyInArrow(planes, "ix int, iy int, iz int, value double")
+
+
 def binned(cells: DataFrame, ngrid: int, box: float, edges: Sequence[float] | None = None, correct: str | None = None, mean: float | None = None) -> DataFrame:
     """(bin, k, p, n_modes): mean wave number and power by bin, counts over the half space; empty bins have no row.
 
@@ -157,6 +180,12 @@ def analysis(spectrum: DataFrame, ngrid: int, box: float) -> DataFrame:
     return out.select(F.lit(low).alias("k_fundamental"), F.lit(top).alias("k_nyquist"), F.lit(cut).alias("k_cutoff"), F.lit(box / ngrid).alias("cell_size"), "*")
 
 
+def density_check(stats: DataFrame, n_particles: int, box: float, ngrid: int) -> DataFrame:
+    """stats with the mean density by volume over that of the particle count, and whether they differ by more than a tenth."""
+    ratio = F.col("mean_density") * F.lit((ngrid / box) ** 3) / F.lit(n_particles / box**3)
+    return stats.withColumn("density_ratio", ratio).withColumn("density_differs", F.abs(ratio - 1) > 0.1)
+
+
 def validation(spectrum: DataFrame) -> DataFrame:
     """One row of checks. A spectrum has a row for each bin, so that one window over it is small."""
     steps = spectrum.withColumn("step", F.col("k") - F.lag("k").over(Window.orderBy("bin")))

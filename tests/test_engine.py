@@ -50,6 +50,12 @@ def test_transform_equals_numpy(noise):
     for r in spectrum.modes(cells, 16).toPandas().itertuples():
         got[r.kx, r.ky, r.kz] = complex(r.re, r.im)
     assert np.allclose(got, want, atol=1e-8)
+    back = spectrum.field(spectrum.modes(cells, 16), 16).toPandas()
+    value = np.zeros((16, 16, 16))
+    value[back["ix"], back["iy"], back["iz"]] = back["value"]
+    assert len(back) == 16**3 and np.allclose(value, rho / rho.mean() - 1, atol=1e-8)
+    stats = spectrum.density_check(grid.density_stats(cells, 16), 50_000, 100.0, 16).first()
+    assert stats["density_ratio"] == pytest.approx(1) and not stats["density_differs"]
 
 
 def test_empty_planes_and_conservation(spark):
@@ -104,6 +110,11 @@ def test_cosmology(spark, tmp_path):
 
 
 def test_presets():
+    assert (presets.typed("12"), presets.typed("1.5"), presets.typed("a")) == (12, 1.5, "a")
+    presets.check_run({"nGrid": "64", "nodes": 1, "gpupern": 4, "dBoxSize": 10.5})
+    for bad in ({"nGrid": 0}, {"nodes": "x"}, {"dBoxSize": -1}):
+        with pytest.raises(ValueError):
+            presets.check_run({"nGrid": 64, "nodes": 1, "gpupern": 4, "dBoxSize": 10} | bad)
     assert presets.cosmology("nothing")["h"] == pytest.approx(0.68906658)
     assert presets.cosmology("planck18", h=0.7)["omegam"] == pytest.approx((0.02237 + 0.12) / 0.49)
     assert presets.cosmology("lcdm", mnu=0.1, numnu=0)["numnu"] == 1
