@@ -2,8 +2,8 @@
 
 Keypoints are corners at several scales (local maxima of a structure-tensor response). A keypoint's direction is that of its patch's centroid; its
 descriptor is 128 brightness comparisons at places that turn with the direction, so that it doesn't change with rotation or brightness. The
-index is a table of (part, 32 bits of the descriptor): descriptors that differ in fewer bits than there are parts share one. Matches within
-MOST_BITS bits vote for a shift, a scale and a turn; a copy needs VOTES keypoints that agree.
+index is a table of (pair of parts, their 64 bits): descriptors whose differing bits lie in two of the four parts share a row. Single parts would
+match by chance as often as there are images times queries; a copy keeps many keypoints of which a few suffice. Matches within MOST_BITS bits vote for a shift, a scale and a turn; a copy needs VOTES keypoints that agree.
 
 Equal images are one class, searched and found once; every row of a query class gets the result. Images are 8-bit grey PGM files in a binary column.
 
@@ -24,7 +24,7 @@ from .shared import Scratch, table
 
 SCALES = (1.0, 1.5)
 PATCH = 7
-RESPONSE = 0.03
+RESPONSE = 0.12
 MOST_BITS = 16
 VOTES = 5
 PARTS = 4
@@ -132,7 +132,8 @@ def differing_bits():
 
 def search(index: DataFrame, queries: DataFrame, most_bits: int = MOST_BITS, votes: int = VOTES) -> DataFrame:
     """(query, image, votes, dx, dy) of queries and images (both keypoint tables) whose keypoints agree."""
-    parts = F.posexplode(F.array(*[F.col(f"d{k}") for k in range(PARTS)])).alias("part", "bits")
+    pairs = [(i, k) for i in range(PARTS) for k in range(i + 1, PARTS)]
+    parts = F.posexplode(F.array(*[F.shiftleft(f"d{i}", 32).bitwiseOR(F.col(f"d{k}")) for i, k in pairs])).alias("part", "bits")
     left = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], parts)
     right = index.select(*index.columns, parts)
     pairs = left.join(right, ["part", "bits"]).filter(differing_bits() <= most_bits).dropDuplicates(["q_id", "q_x", "q_y", "q_level", "id", "x", "y", "level"])
@@ -173,13 +174,15 @@ def image_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def painted(seed: bytes, side: int = 64) -> np.ndarray:
-    """A picture of rectangles that follows from bytes: the images of tables that have none."""
+    """A picture of clouds and rectangles that follows from bytes: the images of tables that have none."""
     rng = np.random.default_rng(np.frombuffer(seed, dtype=np.uint8))
     out = np.full((side, side), 128.0)
-    for _ in range(24):
+    for cells in (8, 16, 32):
+        out += _resized(rng.normal(0, 30, (cells + 1, cells + 1)), cells / side)[:side, :side]
+    for _ in range(8):
         x, y = rng.integers(0, side - 6, 2)
         w, h = rng.integers(6, side // 2, 2)
-        out[y : y + h, x : x + w] = rng.integers(0, 256)
+        out[y : y + h, x : x + w] += rng.integers(-60, 61)
     return np.clip(_smooth(out), 0, 255)
 
 
