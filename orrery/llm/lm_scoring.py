@@ -184,7 +184,10 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train:
     head_words = np.array([r["word"] for r in head], dtype=np.int64).view(np.uint64)
     lexicon = Lexicon(head_words, np.array([r["count"] for r in head], dtype=np.int64))
     shipped = df.sparkSession.sparkContext.broadcast(lexicon)
-    warm = texts.orderBy(F.xxhash64("id"), "id").limit(WARM_TEXTS).select("text").coalesce(1)
+    # hashes alone find the edge of the sample, so that a task sees no texts but those of the sample
+    order = F.xxhash64("id")
+    edge = texts.select(order.alias("h")).orderBy("h").limit(WARM_TEXTS).agg(F.max("h")).first()[0]
+    warm = texts.filter(order <= F.lit(edge)).orderBy(order, F.xxhash64("text")).limit(WARM_TEXTS).select("text").coalesce(1)
     model = trained(warm, shipped, gru.fresh(), WARM_STEPS)
     model = trained(texts.select("text"), shipped, model)
     rows = scratch.keep(_scored(docs, shipped, model, df.schema[id_col].dataType.simpleString()), "scored")
