@@ -342,19 +342,20 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = scratch.keep(classes.agg(F.min("id").alias("node")), "classes")
     nodes = classes.agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).filter("node IS NOT NULL")
     entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    # what shares its key with another row: neighbours in sorted partitions, so that no key's rows are gathered
-    by_node = Window.partitionBy("key").orderBy("node")
-    near = entries.select("key", "node", "n", F.lag("node").over(by_node).alias("before"), F.lead("node").over(by_node).alias("after"))
-    tiles = scratch.keep(near.filter("before IS NOT NULL OR after IS NOT NULL").drop("before", "after"), "tiles")
+    # what has a row of fitting size in its tile: by size, the nearest ones are its neighbours, so that no key's rows are gathered
+    by_size = Window.partitionBy("key").orderBy("n", "node")
+    near = entries.select("key", "node", "n", F.lag("n").over(by_size).alias("before"), F.lead("n").over(by_size).alias("after"))
+    tiles = scratch.keep(near.filter("5 * before >= 4 * n OR 5 * n >= 4 * after").drop("before", "after"), "tiles")
     shared = tiles.select("node").distinct()
     bits = classes.agg(F.min("id").alias("node"), F.first("bits").alias("bits")).join(shared, "node", "left_semi")
     bits = scratch.keep(bits, "bits")
+    every = scratch.keep(rows.select("id", "n", "sig"), "documents")
+    scratch.drop("rows")
 
     pairs = scratch.keep(_pairs(tiles, None, bits, block), "pairs")
     partnered = scratch.keep(pairs.select(F.col("a").alias("id")).distinct(), "partnered")
     tiles = scratch.keep(tiles.join(partnered.withColumnRenamed("id", "node"), "node", "left_semi"), "tiles-kept")
-    for name in ("tiles",):
-        scratch.drop(name)
+    scratch.drop("tiles")
     sets = scratch.keep(docs.join(partnered, "id", "left_semi").mapInArrow(_set_rows, "id long, hashes binary"), "sets")
     found = components(scratch, _verify(scratch, sets, scratch.keep(_best(pairs), "best-0"), "round-0"), "found-0")
     for k in range(1, ROUNDS + 1):
@@ -365,9 +366,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last = scratch.keep(_pairs(tiles, found, bits, block, every=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "last-pairs")
     found = _joined(scratch, found, _verify(scratch, sets, last, "last"), "found-last")
     member = scratch.keep(member.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id")), "members")
-    out = rows.select("id", "n", "sig").join(member, "sig", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = every.join(member, "sig", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     out = scratch.keep(out, "result")
-    for name in ("rows", "tiles-kept", "bits", "pairs", "sets"):
+    for name in ("documents", "tiles-kept", "bits", "pairs", "sets"):
         scratch.drop(name)
     return out
 
