@@ -2,7 +2,7 @@
 
 Words of the model are ranks: 0 is any word outside the shortlist, 1 the end of a text (also what comes before its first word), then words by
 frequency. Rank 0 is a class of its own; of the others, MEMBERS in a row are a class. The probability of a word is that of its class times that
-within the class.
+within the class. A window touches few of the words: its gradient has rows of input vectors and of classes, and Adam moves those alone.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN = 16
-CLASSES = 32
-MEMBERS = 32
+CLASSES = 256
+MEMBERS = 256
 SHORTLIST = 1 + (CLASSES - 1) * MEMBERS
 OTHER, END = 0, 1
 SHAPES = {
@@ -27,6 +27,8 @@ WINDOW = 16
 LANES = 256
 RATE = 0.004
 CLIP = 5.0
+#: Rows of class logits made at once.
+BLOCK = 4096
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -39,10 +41,15 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def fresh(seed: int = 7) -> np.ndarray:
+def fresh(seed: int = 7, counts: np.ndarray | None = None) -> np.ndarray:
+    """Parameters before training; with counts by rank, the biases are those of a model of words alone."""
     flat = np.random.default_rng(seed).normal(0, 0.1, SIZE).astype(np.float32)
+    p = views(flat)
     for name in ("class_bias", "word_bias"):
-        views(flat)[name][:] = 0
+        p[name][:] = 0
+    if counts is not None:
+        p["word_bias"][1:] = np.log(counts[1:] + 1.0).reshape(CLASSES - 1, MEMBERS)
+        p["class_bias"][:] = np.log(np.append(counts[0], counts[1:].reshape(CLASSES - 1, MEMBERS).sum(axis=1)) + 1.0)
     return flat
 
 
@@ -83,7 +90,7 @@ def _softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _by_class(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
     """(class, member, positions by class) of ranks; the class of OTHER has one member, and no positions."""
     kind, member = np.divmod(ranks + (MEMBERS - 1), MEMBERS)
-    order = np.argsort(kind.astype(np.int8), kind="stable")
+    order = np.argsort(kind.astype(np.int16), kind="stable")
     ends = np.cumsum(np.bincount(kind, minlength=CLASSES))
     return kind, member, [(c, order[ends[c - 1] : ends[c]]) for c in range(1, CLASSES) if ends[c] > ends[c - 1]]
 
@@ -91,16 +98,29 @@ def _by_class(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int
 def word_logs(p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of targets (a rank for each state)."""
     kind, member, groups = _by_class(targets)
-    out = _softmax(states @ p["to_class"] + p["class_bias"], kind)[1]
+    out = np.concatenate([_softmax(states[k : k + BLOCK] @ p["to_class"] + p["class_bias"], kind[k : k + BLOCK])[1] for k in range(0, max(1, kind.size), BLOCK)])
     for c, own in groups:
         out[own] += _softmax(states[own] @ p["to_word"][c] + p["word_bias"][c], member[own])[1]
     return out
 
 
+#: All rows of a parameter.
+EVERY = slice(None)
+Rows = dict[str, tuple[slice | np.ndarray, np.ndarray]]
+
+
 def gradient(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(gradient of the mean loss of a window, the state behind it, the loss). Backpropagation ends at the window's start."""
+    """(gradient of the mean loss of a window, the state behind it, the loss), with the zeros of what the window doesn't touch."""
     flat = np.zeros(SIZE, dtype=np.float32)
-    g = views(flat)
+    g, last, loss = gradient_rows(p, words, targets, mask, h)
+    for name, (rows, values) in g.items():
+        views(flat)[name][rows] = values
+    return flat, last, loss
+
+
+def gradient_rows(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[Rows, np.ndarray, float]:
+    """(rows that a window touches and their gradient, by parameter, the state behind it, the loss). Backpropagation ends at the window's start."""
+    g: Rows = {}
     out, last, kept = run(p, words, h)
     steps, lanes = words.shape
     states, goal, weight = out.reshape(-1, HIDDEN), targets.ravel(), mask.ravel().astype(np.float32)
@@ -115,15 +135,18 @@ def gradient(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarray, m
         return x, -float(logs @ shares)
 
     d, loss = output(states @ p["to_class"] + p["class_bias"], kind, weight)
-    g["to_class"][:] = states.T @ d
-    g["class_bias"][:] = d.sum(axis=0)
+    g["to_class"] = EVERY, states.T @ d
+    g["class_bias"] = EVERY, d.sum(axis=0)
     ds = d @ p["to_class"].T
-    for c, own in groups:
+    touched = np.array([c for c, _ in groups], dtype=np.int64)
+    to_word, word_bias = np.empty((touched.size, HIDDEN, MEMBERS), dtype=np.float32), np.empty((touched.size, MEMBERS), dtype=np.float32)
+    g["to_word"], g["word_bias"] = (touched, to_word), (touched, word_bias)
+    for k, (c, own) in enumerate(groups):
         some_states = states[own]
         d, more = output(some_states @ p["to_word"][c] + p["word_bias"][c], member[own], weight[own])
         loss += more
-        g["to_word"][c] = some_states.T @ d
-        g["word_bias"][c] = d.sum(axis=0)
+        to_word[k] = some_states.T @ d
+        word_bias[k] = d.sum(axis=0)
         ds[own] += d @ p["to_word"][c].T
     ds = ds.reshape(steps, lanes, HIDDEN)
     first = words == END
@@ -144,21 +167,23 @@ def gradient(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarray, m
         dh = dh * z + du @ back
         if some[t]:
             dh = np.where(first[t][:, None], np.float32(0), dh)
-    g["state"][:] = np.concatenate([k[0] for k in kept]).T @ inner.reshape(-1, 3 * HIDDEN)
+    g["state"] = EVERY, np.concatenate([k[0] for k in kept]).T @ inner.reshape(-1, 3 * HIDDEN)
     flow, at = gates.reshape(-1, 3 * HIDDEN), words.ravel()
     order = np.argsort(at, kind="stable")
     sorted_at = at[order]
     heads = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-    g["inputs"][sorted_at[heads]] = np.add.reduceat(flow[order], heads, axis=0)
-    return flat, last, loss
+    g["inputs"] = sorted_at[heads], np.add.reduceat(flow[order], heads, axis=0)
+    return g, last, loss
 
 
 class Trainer:
-    """Adam over windows of lanes; a lane carries its state from window to window."""
+    """Adam over windows of lanes, each row by its own number of steps; a lane carries its state from window to window."""
 
     def __init__(self, flat: np.ndarray):
         self.flat = flat.copy()
-        self.mean, self.square, self.steps, self.words = np.zeros_like(flat), np.zeros_like(flat), 0, 0
+        self.values, self.mean, self.square = (views(x) for x in (self.flat, np.zeros_like(flat), np.zeros_like(flat)))
+        self.rows = {name: np.zeros(shape[0], dtype=np.int64) for name, shape in SHAPES.items()}
+        self.steps, self.words = 0, 0
 
     def learn(self, stream: np.ndarray) -> None:
         """stream: ranks of texts one after another, an END behind each; lanes are equal parts of it."""
@@ -171,19 +196,24 @@ class Trainer:
         goal = goal.reshape(lanes, length).T
         h = np.zeros((lanes, HIDDEN), dtype=np.float32)
         for t in range(0, length, WINDOW):
-            flat, h, _ = gradient(views(self.flat), given[t : t + WINDOW], goal[t : t + WINDOW], real[t : t + WINDOW], h)
-            self._step(flat)
+            g, h, _ = gradient_rows(self.values, given[t : t + WINDOW], goal[t : t + WINDOW], real[t : t + WINDOW], h)
+            self._step(g)
         self.words += stream.size
 
-    def _step(self, g: np.ndarray) -> None:
-        norm = float(np.sqrt(g @ g))
-        if norm > CLIP:
-            g *= CLIP / norm
+    def _step(self, g: Rows) -> None:
+        norm = float(np.sqrt(sum(float(x.ravel() @ x.ravel()) for _, x in g.values())))
         self.steps += 1
-        self.mean += 0.1 * (g - self.mean)
-        self.square += 0.001 * (g * g - self.square)
-        scale = RATE * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
-        self.flat -= scale * self.mean / (np.sqrt(self.square) + 1e-8)
+        for name, (rows, x) in g.items():
+            if norm > CLIP:
+                x *= CLIP / norm
+            self.rows[name][rows] += 1
+            n = self.rows[name][rows].reshape(-1, *[1] * (x.ndim - 1))
+            mean, square = self.mean[name][rows], self.square[name][rows]
+            mean += 0.1 * (x - mean)
+            square += 0.001 * (x * x - square)
+            self.mean[name][rows], self.square[name][rows] = mean, square
+            scale = (RATE * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)).astype(np.float32)
+            self.values[name][rows] -= scale * mean / (np.sqrt(square) + np.float32(1e-8))
 
 
 def text_logs(flat: np.ndarray, ranks: np.ndarray, first: np.ndarray, window: int = 64, most_lanes: int = 512) -> np.ndarray:

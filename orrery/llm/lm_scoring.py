@@ -1,9 +1,10 @@
 """Scores of whole documents under a gated recurrent language model that is trained on the corpus, and under word counts.
 
 1. Counts of all training words: each task adds up its own words, then they meet by word. They give the base score and the shortlist.
-2. Training. WARM_TEXTS documents (those of least hash) give a first model in one task. From it, each task trains on all
-   training documents of its partition, once; the tasks' models are averaged with the weights of their words, by parts of the parameter
-   vector, so that what is gathered grows with the input while no task holds more than a part of each model.
+2. Training. WARM_TEXTS documents (those of least hash) give a first model in one task, whose biases start from the counts. From it,
+   each task trains on all training documents of its partition, once (small partitions share a task); the tasks' models are averaged
+   with the weights of their words, by parts of the parameter vector, so that what is gathered grows with the input while no task holds
+   more than a part of each model.
 3. Scoring. The recurrent state goes through all windows of a document. Words outside the shortlist get the model's
    probability of such a word times (count + 1) / (words + kinds + 1) among those. Counts of HEAD frequent words are broadcast (a fixed size);
    rarer words meet the table of counts by a join on the word, and are summed up by document.
@@ -24,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru, textops
-from .shared import Scratch, table
+from .shared import Scratch, spread, table
 
 #: Words whose counts are broadcast: 16 bytes each, whatever the input.
 HEAD = 1 << 16
 #: Documents of the first model, and how many steps it takes over them.
 WARM_TEXTS, WARM_STEPS = 400, 600
-PARTS = 16
+#: A model is averaged in so many parts, and has at least so many words to learn from (where there are as many), so that the
+#: models' size stays in proportion to the input.
+PARTS, MODEL_WORDS = 256, 1 << 22
 #: Row groups of scoring, in bytes: many lanes stay busy beside a long text.
 GROUP = 12 << 20
 FLUSH = 1 << 20
@@ -112,7 +115,7 @@ def _models(df: DataFrame, lexicon, start: np.ndarray, steps: int) -> DataFrame:
                 trainer.learn(ranks)
         if trainer.words:
             parts = np.array_split(trainer.flat, PARTS)
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "weight": pa.array([float(trainer.words)] * PARTS), "values": pa.array([x.astype("<f8").tobytes() for x in parts], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "weight": pa.array([float(trainer.words)] * PARTS), "values": pa.array([x.astype("<f4").tobytes() for x in parts], pa.binary())})
 
     return df.mapInArrow(run, "part int, weight double, values binary")
 
@@ -122,14 +125,14 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, weight, values in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             before, total = sums.get(part, (0.0, 0.0))
-            sums[part] = before + weight, total + weight * np.frombuffer(values, dtype="<f8")
+            sums[part] = before + weight, total + weight * np.frombuffer(values, dtype="<f4").astype(float)
     if sums:
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "weight": pa.array([w for w, _ in sums.values()]), "values": pa.array([(x / w).astype("<f8").tobytes() for w, x in sums.values()], pa.binary())})
 
 
 def trained(df: DataFrame, lexicon, start: np.ndarray, steps: int = 0) -> np.ndarray:
     """The average of the tasks' models, each of one pass, or of so many steps at least; one model comes to the driver."""
-    rows = _models(df, lexicon, start, steps).repartition(PARTS, "part").mapInArrow(_average, "part int, weight double, values binary").collect()
+    rows = _models(df, lexicon, start, steps).repartition(min(PARTS, spread(df.sparkSession)), "part").mapInArrow(_average, "part int, weight double, values binary").collect()
     if not rows:
         return start
     return np.concatenate([np.frombuffer(r["values"], dtype="<f8") for r in sorted(rows, key=lambda r: r["part"])]).astype(np.float32)
@@ -188,14 +191,16 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train:
     order = F.xxhash64("id")
     edge = texts.select(order.alias("h")).orderBy("h").limit(WARM_TEXTS).agg(F.max("h")).first()[0]
     warm = texts.filter(order <= F.lit(edge)).orderBy(order, F.xxhash64("text")).limit(WARM_TEXTS).select("text").coalesce(1)
-    model = trained(warm, shipped, gru.fresh(), WARM_STEPS)
-    model = trained(texts.select("text"), shipped, model)
+    tokens, kinds = int(totals["tokens"]), int(totals["kinds"])
+    by_rank = np.bincount(lexicon.ranks, weights=lexicon.counts, minlength=gru.SHORTLIST)
+    by_rank[gru.OTHER] = tokens - by_rank[gru.END :].sum()
+    model = trained(warm, shipped, gru.fresh(counts=by_rank), WARM_STEPS)
+    model = trained(texts.select("text").coalesce(max(1, -(-tokens // MODEL_WORDS))), shipped, model)
     rows = scratch.keep(_scored(docs, shipped, model, df.schema[id_col].dataType.simpleString()), "scored")
     tail = rows.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("count", F.lit(0)) + 1.0)).alias("tail_logs"), F.count("count").alias("n_tail"))
     short = lexicon.ranks != gru.OTHER
     others = int(totals["tokens"] - lexicon.counts[short].sum()) + int(totals["kinds"] - (lexicon.counts[short] > 0).sum()) + 1
-    tokens, kinds = int(totals["tokens"]), int(totals["kinds"])
     seen = F.coalesce("tail_logs", F.lit(0.0))
     out = rows.drop("tail").join(tail, "row", "left")
     return out.select(

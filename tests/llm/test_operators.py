@@ -270,6 +270,17 @@ def test_the_model_learns():
     assert gru.text_logs(trainer.flat, text[:5], np.array([0, 5]))[0] > before / 3
 
 
+def test_frequent_words_of_a_large_vocabulary_are_known_to_the_state():
+    lexicon = lm_scoring.Lexicon(np.append(np.arange(1, 60_000, dtype=np.uint64) << np.uint64(20), lm_scoring.END_WORD), np.arange(60_000, 0, -1))
+    assert (lexicon.ranks != gru.OTHER).all() and np.unique(lexicon.ranks).size == 60_000
+    text = np.array([20_000, 50_000, 20_001, 50_001, gru.END] * 600)
+    trainer = gru.Trainer(gru.fresh())
+    for _ in range(40):
+        trainer.learn(text)
+    right, wrong = (gru.text_logs(trainer.flat, np.array([20_000, w, gru.END]), np.array([0, 3]))[0] for w in (50_000, 50_001))
+    assert right > wrong + 1
+
+
 def test_held_out_texts_score_above_counts(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(" ".join(rng.permutation([f"a{k} b{k} c{k}" for k in range(12)])) for _ in range(6))) for i in range(150)]
