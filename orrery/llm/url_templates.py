@@ -2,10 +2,12 @@
 
 The tree. Pages are summed by (host, path) first. Then, level by level, a segment of a path is generalised: by form (numbers, hexadecimal
 and long mixed strings become wildcards, with their file ending), or because its parent has many different children with few pages each.
-Next, branches of a host that differ in one segment only are merged if their shares of blocked pages are alike within
+Next, branches of a host that differ in one segment only are merged if their shares of blocked among labelled pages are alike within
 Z standard errors of the branches' common share. A template is rejected if its smoothed purity passes a limit:
-purity = (blocked + STRENGTH * prior) / (pages + STRENGTH), where `blocked` are pages that a blocking rule fits, and the prior
-is their share among all pages; pages without a label count as not blocked, so that a few labels don't condemn a large branch.
+purity = (blocked + STRENGTH * prior) / (labelled + STRENGTH), where `labelled` are pages that a rule fits, `blocked` those that a
+blocking rule fits, and the prior is the share of blocked among all labelled pages. Pages without a label say nothing about their
+template. A branch of such pages only joins its siblings where two labelled ones at least are merged, or none has labels; a template
+without labels has the prior as its purity, and is allowed.
 
 Cases: a null url, or one without "://", has an empty host and path, no rule, and is allowed; equal urls get equal verdicts; of fitting rules the longest wins (of equal length
 the first by code point); paths of more than DEPTH segments share one wildcard for the rest; an empty table gives an empty result;
@@ -55,7 +57,7 @@ def _form(segment: Column) -> Column:
 
 
 def templates(scratch: Scratch, paths: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """paths (host, path, pages, blocked) with `template`: an array of segments."""
+    """paths (host, path, pages, labelled, blocked) with `template`: an array of segments."""
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
     start = F.when(F.col("path").isin("", "/"), F.array().cast("array<string>")).otherwise(parts)
     cut = F.when(F.size(start) > depth, F.concat(F.slice(start, 1, depth), F.array(F.lit("**")))).otherwise(start)
@@ -74,19 +76,22 @@ def templates(scratch: Scratch, paths: DataFrame, depth: int = DEPTH) -> DataFra
 
 def merged(scratch: Scratch, rows: DataFrame, prior: float, depth: int = DEPTH) -> DataFrame:
     """(host, template, final): the templates of a host, branches that are alike merged, from the deepest segment upwards."""
-    sums = rows.groupBy("host", "template").agg(F.sum("pages").alias("pages"), F.sum("blocked").alias("blocked"))
+    sums = rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     state = scratch.keep(sums.withColumn("final", F.col("template")), "merge-0")
     for step, level in enumerate(reversed(range(depth)), 1):
-        branch = state.groupBy("host", "final").agg(F.sum("pages").alias("pages"), F.sum("blocked").alias("blocked"))
+        branch = state.groupBy("host", "final").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
         wild = F.transform("final", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))  # noqa: B023
         branch = branch.filter(F.size("final") > level).withColumn("wild", wild)
-        common = branch.groupBy("host", "wild").agg(F.sum("pages").alias("all_pages"), F.sum("blocked").alias("all_blocked"), F.count("*").alias("branches")).filter("branches > 1")
-        share = (F.col("all_blocked") + STRENGTH * prior) / (F.col("all_pages") + STRENGTH)
-        own = (F.col("blocked") + STRENGTH * prior) / (F.col("pages") + STRENGTH)
-        alike = F.abs(own - share) <= Z * F.sqrt(share * (1 - share) / F.col("pages"))
-        moved = branch.join(common, ["host", "wild"]).filter(alike).select("host", "final", "wild")
+        common = branch.groupBy("host", "wild").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"), F.count("*").alias("branches")).filter("branches > 1")
+        share = (F.col("all_blocked") + STRENGTH * prior) / (F.col("all_labelled") + STRENGTH)
+        own = (F.col("blocked") + STRENGTH * prior) / (F.col("labelled") + STRENGTH)
+        alike = (F.col("labelled") > 0) & (F.abs(own - share) <= Z * F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1))))
+        branch = branch.join(common, ["host", "wild"]).withColumn("alike", alike)
+        joined = branch.groupBy("host", "wild").agg(F.count_if("alike").alias("joined"))
+        follows = (F.col("labelled") == 0) & ((F.col("joined") > 1) | (F.col("all_labelled") == 0))
+        moved = branch.join(joined, ["host", "wild"]).filter(((F.col("joined") > 1) & F.col("alike")) | follows).select("host", "final", "wild")
         out = state.join(moved, ["host", "final"], "left").withColumn("final", F.coalesce("wild", "final")).drop("wild")
-        state = scratch.keep(out.select("host", "template", "pages", "blocked", "final"), f"merge-{step}")
+        state = scratch.keep(out.select("host", "template", "labelled", "blocked", "final"), f"merge-{step}")
     return state
 
 
@@ -97,16 +102,16 @@ def url_verdicts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", r
     pages = df.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     pages = pages.select("*", rule.alias("rule"), verdict.alias("rule_verdict"))
-    paths = pages.filter("host <> ''").groupBy("host", "path").agg(F.count("*").alias("pages"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"))
+    paths = pages.filter("host <> ''").groupBy("host", "path").agg(F.count("*").alias("pages"), F.count("rule").alias("labelled"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"))
     rows = templates(scratch, scratch.keep(paths, "paths"))
-    prior = rows.agg(F.sum("blocked") / F.sum("pages")).first()[0] or 0.0
+    prior = rows.agg(F.try_divide(F.sum("blocked"), F.sum("labelled"))).first()[0] or 0.0
     state = merged(scratch, rows, prior)
-    finals = state.groupBy("host", "final").agg(F.sum("pages").alias("pages"), F.sum("blocked").alias("blocked"))
-    finals = finals.select("host", "final", ((F.col("blocked") + STRENGTH * prior) / (F.col("pages") + STRENGTH)).alias("purity"))
+    finals = state.groupBy("host", "final").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    finals = finals.select("host", "final", "labelled", ((F.col("blocked") + STRENGTH * prior) / (F.col("labelled") + STRENGTH)).alias("purity"))
     known = rows.select("host", "path", "template").join(state.select("host", "template", "final"), ["host", "template"]).join(finals, ["host", "final"])
-    known = scratch.keep(known.select("host", "path", F.concat(F.lit("/"), F.concat_ws("/", "final")).alias("template"), "purity"), "known")
+    known = scratch.keep(known.select("host", "path", F.concat(F.lit("/"), F.concat_ws("/", "final")).alias("template"), "purity", "labelled"), "known")
     out = pages.join(known, ["host", "path"], "left")
-    method = F.when(F.col("purity") > limit, F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when((F.col("purity") > limit) & (F.col("labelled") > 0), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "template", "purity")
 
 

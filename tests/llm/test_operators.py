@@ -352,6 +352,19 @@ def test_urls(spark):
     assert url_templates.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_purity_is_over_labelled_pages(spark):
+    paths = [f"/shop/{a}" for a in ("x1", "x2", "x3")] * 20 + [f"/shop/{i}" for i in range(100)] + [f"/news/{i}" for i in range(100)]
+    urls = [f"http://a.org{p}" for p in paths] + ["http://a.org/shop/7/bad"] * 40 + ["http://a.org/shop/8/good"] * 3
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = (("block", "a.org/shop/1"), ("allow", "a.org/news/1"))
+    by = {r["path"]: r for r in url_templates.url_verdicts(df, rules=rules).collect()}
+    # 11 of the 100 numbered pages have a label, and all of these say block
+    assert by["/shop/2"]["rule"] is None and by["/shop/2"]["verdict"] == "block" and by["/news/2"]["verdict"] == "allow"
+    assert by["/shop/2"]["purity"] == pytest.approx((11 + 4 * 0.5) / (11 + 4))
+    # a branch without labels has the prior
+    assert by["/shop/7/bad"]["purity"] == pytest.approx(0.5) and by["/shop/7/bad"]["verdict"] == "allow"
+
+
 def test_byte_pairs(spark, docs, texts):
     tokenizers = pytest.importorskip("tokenizers")
     path = byte_pair.default_path()
