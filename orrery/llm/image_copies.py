@@ -2,8 +2,9 @@
 
 Keypoints are corners at several scales (local maxima of a structure-tensor response). A keypoint's direction is that of its patch's centroid; its
 descriptor is 128 brightness comparisons at places that turn with the direction, so that it doesn't change with rotation or brightness. The
-index is a table of (pair of parts, their 64 bits): descriptors whose differing bits lie in two of the four parts share a row. Single parts would
-match by chance as often as there are images times queries; a copy keeps many keypoints of which a few suffice. Matches within MOST_BITS bits vote for a shift, a scale and a turn; a copy needs VOTES keypoints that agree.
+index is a table of (part, its 21 or 22 bits), six parts to a descriptor. A query asks for its parts with up to two bits changed: of descriptors that
+differ in MOST_BITS bits at most, one part at least differs so little (pigeonhole), so that the search misses none. Wide parts keep matches by chance
+at about 6 in 10,000 pairs of keypoints. Matches within MOST_BITS bits vote for a shift, a scale and a turn; a copy needs VOTES keypoints that agree.
 
 Equal images are one class, searched and found once; every row of a query class gets the result. Images are 8-bit grey PGM files in a binary column.
 
@@ -14,10 +15,11 @@ table gives an empty result; other columns don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table
@@ -28,6 +30,8 @@ RESPONSE = 0.12
 MOST_BITS = 16
 VOTES = 5
 PARTS = 4
+#: Bits of the parts of the index, three in each half of a descriptor.
+WIDTHS = (21, 21, 22, 21, 21, 22)
 TURNS = 24
 SHIFT_BIN = 4.0
 
@@ -81,8 +85,10 @@ def keypoints(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b, c = (_smooth(v) for v in (gx * gx, gy * gy, gx * gy))
         r = a * b - c * c - 0.05 * (a + b) ** 2
         near = np.max([np.roll(r, (i, j), (0, 1)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j], axis=0)
-        good = (r > near) & (r > RESPONSE * max(r.max(), 1.0))
+        good = (r > near) & (r > RESPONSE)
         good[:PATCH], good[-PATCH:], good[:, :PATCH], good[:, -PATCH:] = False, False, False, False
+        # a tenth of the corners may be stamped ones: the strongest of the others sets the scale
+        good &= r > RESPONSE * (np.quantile(r[good], 0.9) if good.any() else 1.0)
         ys, xs = np.nonzero(good)
         if not ys.size:
             continue
@@ -130,12 +136,29 @@ def differing_bits():
     return sum((F.bit_count(F.col(f"d{k}").bitwiseXOR(F.col(f"q_d{k}"))) for k in range(1, PARTS)), F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))))
 
 
+def _parts() -> list[Column]:
+    """The parts of a descriptor, of WIDTHS bits."""
+    out = []
+    for half, widths in enumerate((WIDTHS[:3], WIDTHS[3:])):
+        whole, at = F.shiftleft(f"d{2 * half + 1}", 32).bitwiseOR(F.col(f"d{2 * half}")), 0
+        for w in widths:
+            out.append(F.shiftrightunsigned(whole, at).bitwiseAND(F.lit((1 << w) - 1)).cast("long"))
+            at += w
+    return out
+
+
+def _changed(part: int, width: int, radius: int, bits: Column) -> Column:
+    """An array of (part, bits) with up to `radius` of the bits changed."""
+    masks = [sum(1 << b for b in at) for k in range(radius + 1) for at in combinations(range(width), k)]
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.struct(F.lit(part).alias("part"), bits.bitwiseXOR(m).alias("bits")))
+
+
 def search(index: DataFrame, queries: DataFrame, most_bits: int = MOST_BITS, votes: int = VOTES) -> DataFrame:
     """(query, image, votes, dx, dy) of queries and images (both keypoint tables) whose keypoints agree."""
-    pairs = [(i, k) for i in range(PARTS) for k in range(i + 1, PARTS)]
-    parts = F.posexplode(F.array(*[F.shiftleft(f"d{i}", 32).bitwiseOR(F.col(f"d{k}")) for i, k in pairs])).alias("part", "bits")
-    left = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], parts)
-    right = index.select(*index.columns, parts)
+    radii = [most_bits // len(WIDTHS) - (k > most_bits % len(WIDTHS)) for k in range(len(WIDTHS))]  # that all parts differ by more needs more than most_bits
+    asked = [_changed(k, w, r, b) for k, (w, r, b) in enumerate(zip(WIDTHS, radii, _parts(), strict=True)) if r >= 0]
+    left = queries.withColumn("key", F.explode(F.concat(*asked))).select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], "key.part", "key.bits")
+    right = index.select(*index.columns, F.posexplode(F.array(*_parts())).alias("part", "bits"))
     pairs = left.join(right, ["part", "bits"]).filter(differing_bits() <= most_bits).dropDuplicates(["q_id", "q_x", "q_y", "q_level", "id", "x", "y", "level"])
     return consensus(pairs, votes)
 

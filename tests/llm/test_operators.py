@@ -481,3 +481,25 @@ def test_index_finds_what_brute_force_finds(spark):
     pairs = lambda x: {(r["query"], r["image"]) for r in x.collect()}
     want, got = pairs(image_copies.consensus(every)), pairs(image_copies.search(index, queries))
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 22
+
+
+def test_index_misses_no_pair_within_the_bits(spark):
+    rng = np.random.default_rng(12)
+    codes = rng.integers(0, 1 << 32, (60, 4), dtype=np.int64)
+    near = codes.copy()
+    for i in range(60):  # all of these differ in just as many bits as are allowed
+        for b in rng.choice(128, image_copies.MOST_BITS, replace=False):
+            near[i, b // 32] ^= 1 << int(b % 32)
+    frame = lambda x: spark.createDataFrame([(i, 0.0, 0.0, 0, 0, *map(int, x[i])) for i in range(60)], "id long, x double, y double, level int, turn int, d0 long, d1 long, d2 long, d3 long")
+    found = {(r["query"], r["image"]) for r in image_copies.search(frame(codes), frame(near), votes=1).collect()}
+    assert found >= {(i, i) for i in range(60)}
+
+
+def test_a_stamp_leaves_keypoints():
+    for k in range(10):
+        x = image_copies.painted(bytes([k, 1, 2, 3]))
+        before = image_copies.keypoints(x.astype(np.uint8))[1]
+        x[20:34, 20:34] = 255
+        x[20:34, 26:30] = 0
+        after = {c.tobytes() for c in image_copies.keypoints(x.astype(np.uint8))[1]}
+        assert sum(c.tobytes() in after for c in before) >= image_copies.VOTES
