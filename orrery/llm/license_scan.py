@@ -3,6 +3,9 @@
 A text is reduced to its lower-cased words with single blanks between them. A notice of which k edits are allowed is cut into
 k + 1 pieces: a place with at most k edits leaves one piece untouched (pigeonhole), so that exact searches for pieces find every candidate.
 Around a candidate, the regex library matches the whole notice with at most k errors, and reports the span and its errors.
+Notices of different labels can be fewer edits apart than that. So a place with another version number than the notice, or with
+a condition that the notice lacks (nc, nd, sa), is none; of places of different labels that share half of the shorter one, those with
+the fewest errors stay.
 The base phrases are found as runs of equal words.
 
 Cases: a null, empty or blank text has no words, no labels and the score 0; of overlapping places of one label that with the fewest
@@ -29,6 +32,11 @@ from .shared import table
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 
+#: What tells licences of the cc family apart.
+CONDITIONS = {b"nc", b"nd", b"sa", b"noncommercial", b"noderivatives", b"noderivs", b"sharealike"}
+DIGITS = b"0123456789"
+
+
 @dataclass(frozen=True)
 class Notice:
     """A notice as normalised words, its label, and how many edits (of characters) still make it."""
@@ -36,6 +44,15 @@ class Notice:
     words: str
     label: str
     edits: int
+    versioned: bool = False
+
+    def decides(self, found: bytes) -> bool:
+        """Whether the whole words of a place have no other version and no other condition; lost or garbled ones are edits."""
+        if self.versioned:
+            left = iter(c for c in self.words.encode() if c in DIGITS)
+            if not all(c in left for c in found if c in DIGITS):  # in this order
+                return False
+        return not self.label.startswith("cc-") or not CONDITIONS & (set(found.split()) - set(self.words.encode().split()))
 
     @property
     def pieces(self) -> list[tuple[int, bytes]]:
@@ -45,19 +62,18 @@ class Notice:
         return [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-#: Edits are fewer than what tells two notices of different labels apart.
 NOTICES = (
     Notice("released under the mit license", "mit", 2),
     Notice("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", 8),
-    Notice("licensed under the apache license version 2 0", "apache-2", 3),
+    Notice("licensed under the apache license version 2 0", "apache-2", 3, versioned=True),
     Notice("licensed under cc by nc 4 0", "cc-by-nc", 1),
     Notice("creative commons attribution noncommercial 4 0 international", "cc-by-nc", 4),
     Notice("creative commons attribution 4 0 international", "cc-by", 3),
     Notice("creative commons attribution sharealike 4 0 international", "cc-by-sa", 4),
-    Notice("licensed under the gnu general public license version 3", "gpl-3", 4),
-    Notice("licensed under the gnu general public license version 2", "gpl-2", 0),
+    Notice("licensed under the gnu general public license version 3", "gpl-3", 4, versioned=True),
+    Notice("licensed under the gnu general public license version 2", "gpl-2", 4, versioned=True),
     Notice("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 8),
-    Notice("subject to the terms of the mozilla public license v 2 0", "mpl-2", 4),
+    Notice("subject to the terms of the mozilla public license v 2 0", "mpl-2", 4, versioned=True),
     Notice("this is free and unencumbered software released into the public domain", "unlicense", 6),
 )
 
@@ -82,14 +98,36 @@ def _fuzzy(text: bytes, notices: tuple[Notice, ...]) -> list[tuple[int, int, int
                 hi = hi if end < 0 else end
                 if (lo, hi) not in done:
                     done.add((lo, hi))
-                    if m := _pattern(notice).search(text, lo, hi):
+                    if (m := _pattern(notice).search(text, lo, hi)) and notice.decides(_whole_words(text, m.start(), m.end())):
                         found.append((m.start(), m.end(), sum(m.fuzzy_counts), notice))
                 at = text.find(piece, at + 1)
     best: list[tuple[int, int, int, Notice]] = []
     for s, e, errors, notice in sorted(found, key=lambda x: (x[3].label, x[2], x[0], -x[1])):
         if not any(b[3].label == notice.label and s < b[1] and b[0] < e for b in best[-8:]):
             best.append((s, e, errors, notice))
-    return best
+    return _nearest(best)
+
+
+def _whole_words(text: bytes, start: int, end: int) -> bytes:
+    """The words that a place has letters of."""
+    while start and text[start] not in b" \n" and text[start - 1] not in b" \n":
+        start -= 1
+    while end < len(text) and text[end - 1] not in b" \n" and text[end] not in b" \n":
+        end += 1
+    return text[start:end]
+
+
+def _nearest(places: list[tuple[int, int, int, Notice]]) -> list[tuple[int, int, int, Notice]]:
+    """Without the places that share half of the shorter one with a place of another label and fewer errors."""
+    order, lost = sorted(places, key=lambda x: x[0]), set()
+    for i, a in enumerate(order):
+        for k in range(i + 1, len(order)):
+            b = order[k]
+            if b[0] >= a[1]:
+                break
+            if a[3].label != b[3].label and a[2] != b[2] and 2 * (min(a[1], b[1]) - b[0]) >= min(a[1] - a[0], b[1] - b[0]):
+                lost.add(i if a[2] > b[2] else k)
+    return [x for i, x in enumerate(order) if i not in lost]
 
 
 def scan(data: np.ndarray, offsets: np.ndarray, phrases=PHRASES, notices: tuple[Notice, ...] = NOTICES) -> tuple[np.ndarray, list[list[tuple[int, str]]], list[list[dict]]]:

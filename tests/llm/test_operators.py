@@ -352,6 +352,13 @@ def test_urls(spark):
     assert url_templates.url_verdicts(df.limit(0)).count() == 0
 
 
+def test_versions_and_conditions_tell_notices_apart(spark):
+    gpl = "under the gnu general public license version"
+    want = {f"licensed {gpl} 2": "gpl-2", f"licenced {gpl} 2": "gpl-2", f"licensed {gpl} 3": "gpl-3", f"licenced {gpl} 3": "gpl-3", f"licensed {gpl} 30": "", "licensed under cc by nd 4 0": "", "licensed under cc by nc 3 0": "cc-by-nc", "licensed under the apache license version 1 1": "", "licensed under teh apache license version 2 0": "apache-2"}
+    rows = license_scan.license_notices(spark.createDataFrame([(i, f"aa bb {t} cc dd") for i, t in enumerate(want)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == dict(enumerate(want.values()))
+
+
 def test_purity_is_over_labelled_pages(spark):
     paths = [f"/shop/{a}" for a in ("x1", "x2", "x3")] * 20 + [f"/shop/{i}" for i in range(100)] + [f"/news/{i}" for i in range(100)]
     urls = [f"http://a.org{p}" for p in paths] + ["http://a.org/shop/7/bad"] * 40 + ["http://a.org/shop/8/good"] * 3
