@@ -10,7 +10,7 @@ template. A branch of such pages only joins its siblings where two labelled ones
 without labels has the prior as its purity, and is allowed.
 
 Cases: a null url, or one without "://", has an empty host and path, no rule, and is allowed; equal urls get equal verdicts; of fitting rules the longest wins (of equal length
-the first by code point); paths of more than DEPTH segments share one wildcard for the rest; an empty table gives an empty result;
+the first by code point); the levels go to the last segment of the longest path; an empty table gives an empty result;
 other columns don't matter. No group of a host meets in one task: sums are made by (host, prefix, segment) with partial sums, and joined back.
 """
 
@@ -23,7 +23,6 @@ from .shared import Scratch, table
 
 #: (verdict, host and path)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DEPTH = 4
 MANY = 16
 FEW_PAGES = 4.0
 Z = 2.0
@@ -56,13 +55,17 @@ def _form(segment: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, ending)).otherwise(segment)
 
 
-def templates(scratch: Scratch, paths: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _depth(rows: DataFrame) -> int:
+    """Segments of the longest template."""
+    return rows.agg(F.max(F.size("template"))).first()[0] or 0
+
+
+def templates(scratch: Scratch, paths: DataFrame) -> DataFrame:
     """paths (host, path, pages, labelled, blocked) with `template`: an array of segments."""
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
     start = F.when(F.col("path").isin("", "/"), F.array().cast("array<string>")).otherwise(parts)
-    cut = F.when(F.size(start) > depth, F.concat(F.slice(start, 1, depth), F.array(F.lit("**")))).otherwise(start)
-    rows = scratch.keep(paths.withColumn("template", F.transform(cut, _form)), "level-0")
-    for level in range(depth):
+    rows = scratch.keep(paths.withColumn("template", F.transform(start, _form)), "level-0")
+    for level in range(_depth(rows)):
         prefix = F.concat_ws("/", F.slice("template", 1, level)) if level else F.lit("")
         deep = rows.filter(F.size("template") > level).select("host", prefix.alias("prefix"), F.col("template")[level].alias("segment"), "pages")
         children = deep.groupBy("host", "prefix", "segment").agg(F.sum("pages").alias("pages"))
@@ -74,11 +77,11 @@ def templates(scratch: Scratch, paths: DataFrame, depth: int = DEPTH) -> DataFra
     return rows
 
 
-def merged(scratch: Scratch, rows: DataFrame, prior: float, depth: int = DEPTH) -> DataFrame:
+def merged(scratch: Scratch, rows: DataFrame, prior: float) -> DataFrame:
     """(host, template, final): the templates of a host, branches that are alike merged, from the deepest segment upwards."""
     sums = rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     state = scratch.keep(sums.withColumn("final", F.col("template")), "merge-0")
-    for step, level in enumerate(reversed(range(depth)), 1):
+    for step, level in enumerate(reversed(range(_depth(rows))), 1):
         branch = state.groupBy("host", "final").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
         wild = F.transform("final", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))  # noqa: B023
         branch = branch.filter(F.size("final") > level).withColumn("wild", wild)

@@ -372,6 +372,15 @@ def test_purity_is_over_labelled_pages(spark):
     assert by["/shop/7/bad"]["purity"] == pytest.approx(0.5) and by["/shop/7/bad"]["verdict"] == "allow"
 
 
+def test_deep_branches_get_their_own_verdicts(spark):
+    urls = [f"http://a.org/a/b/c/d/{kind}/{i}" for kind in ("spam", "good") for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = (("block", "a.org/a/b/c/d/spam/1"), ("allow", "a.org/a/b/c/d/good/1"))
+    by = {r["path"]: r for r in url_templates.url_verdicts(df, rules=rules).collect()}
+    assert by["/a/b/c/d/spam/2"]["template"] == "/a/b/c/d/spam/{number}" and by["/a/b/c/d/spam/2"]["verdict"] == "block"
+    assert by["/a/b/c/d/good/2"]["template"] == "/a/b/c/d/good/{number}" and by["/a/b/c/d/good/2"]["verdict"] == "allow"
+
+
 def test_byte_pairs(spark, docs, texts):
     tokenizers = pytest.importorskip("tokenizers")
     path = byte_pair.default_path()
