@@ -27,8 +27,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
-    return byte_pair.encode_documents(docs, byte_pair.default_path(), with_ids=False)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (the tokens) of each document."""
+    return byte_pair.encode_documents(docs, byte_pair.default_path()).drop("decoded")
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_copies), ("mixing sources to target weights", mix), ("BPE encoding and decoding", encode)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
 
 import duckdb
@@ -37,6 +38,14 @@ def test_stages(spark):
     assert key(whole) == key(last)
 
 
+def test_the_last_stage_returns_tokens(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(20)
+    rows = corpus_pipeline.encode(spark, docs, SMALL).collect()
+    assert len(rows) == 20
+    for r in rows:
+        assert len(r["ids"]) == r["n_tokens"] and hashlib.sha256(np.array(r["ids"], dtype="<u4").tobytes()).hexdigest() == r["ids_sha256"]
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
