@@ -32,6 +32,8 @@ SHORT = 48
 GROUP = 1 << 20
 KEPT_WORDS = 400_000
 NO_RANK = np.int32(2**31 - 1)
+#: Seed of the second hash of a word. Ids are used again only where both hashes of a word are those of the word that they were made of.
+CHECK = 0x5851F42D4C957F2D
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 0
 
 
@@ -248,7 +250,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.first, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.check, self.first, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _sections(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """Where texts or what stands between added tokens start; the added tokens as (start, end, id)."""
@@ -286,6 +288,7 @@ class Encoder:
             starts = starts[~drop]
         ends = np.append(starts[1:], data.size)
         keys, back = np.unique(textops.range_hashes(data, starts, ends), return_inverse=True)
+        check = textops.range_hashes(data, starts, ends, CHECK)
         one = np.empty(keys.size, dtype=np.int64)
         one[back] = np.arange(starts.size)  # a word of each key
         ids = {s: i for s, _, i in special}
@@ -298,14 +301,20 @@ class Encoder:
             flat, counts = self.codec.encode_words(data, starts[one[new]], ends[one[new]])
             first = self.flat.size + np.cumsum(counts) - counts
             self.flat = np.concatenate([self.flat, flat])
-            self.keys, self.first, self.count = (np.insert(a, place[new], b) for a, b in ((self.keys, keys[new]), (self.first, first), (self.count, counts)))
+            added = ((self.keys, keys[new]), (self.check, check[one[new]]), (self.first, first), (self.count, counts))
+            self.keys, self.check, self.first, self.count = (np.insert(a, place[new], b) for a, b in added)
             place = np.searchsorted(self.keys, keys)
         count, first = self.count[place][back], self.first[place][back]
         flat = self.flat
+        other = np.flatnonzero(self.check[place][back] != check)
+        if other.size:  # words that only share another word's key
+            ids_of, count[other] = self.codec.encode_words(data, starts[other], ends[other])
+            first[other] = flat.size + np.cumsum(count[other]) - count[other]
+            flat = np.concatenate([flat, ids_of])
         if ids:
             which = np.flatnonzero(np.isin(starts, list(ids)))
+            first[which], count[which] = flat.size + np.arange(which.size), 1
             flat = np.concatenate([flat, np.array([ids[int(starts[w])] for w in which], dtype=np.int32)])
-            first[which], count[which] = self.flat.size + np.arange(which.size), 1
         out = flat[spans(first, count)]
         upto = np.concatenate([[0], np.cumsum(count)])
         by_text = upto[np.searchsorted(starts, offsets)]

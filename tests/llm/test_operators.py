@@ -410,6 +410,42 @@ def test_encoder_equals_the_library(rows):
 _cache: list = []
 
 
+def _thue_morse(n: int) -> list[int]:
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return out[:n]
+
+
+@pytest.mark.parametrize("size", [64, 200, 1024, 4096])
+def test_words_of_alternating_form_have_hashes_of_their_own(size):
+    """Such words collide under any polynomial hash modulo 2**64."""
+    one, two = ("".join(p[x] for x in _thue_morse(size)) for p in ("ab", "ba"))
+    assert len(set(textops.hash_words([one, two, one + "a", two + "b"]).tolist())) == 4
+    tokenizers = pytest.importorskip("tokenizers")
+    whole = tokenizers.Tokenizer.from_file(byte_pair.default_path())
+    rows = [one, two, f"{two} {one}"]
+    data, offsets = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0] + [len(r) for r in rows])
+    ids, first = byte_pair.Encoder(byte_pair.read_codec(byte_pair.default_path())).encode(data, offsets)
+    for i, r in enumerate(rows):
+        assert ids[first[i] : first[i + 1]].tolist() == whole.encode(r, add_special_tokens=False).ids
+    hashes, where = ngram_join.shingles(data, offsets)
+    assert len(set(hashes[where[:-1]].tolist())) == 3
+
+
+def test_words_that_share_a_key_keep_their_own_ids(monkeypatch, texts):
+    tokenizers = pytest.importorskip("tokenizers")
+    whole = tokenizers.Tokenizer.from_file(byte_pair.default_path())
+    sound = textops.range_hashes
+    monkeypatch.setattr(textops, "range_hashes", lambda data, s, e, seed=0: sound(data, s, e, seed) if seed else sound(data, s, e) % np.uint64(5))
+    encoder = byte_pair.Encoder(byte_pair.read_codec(byte_pair.default_path()))
+    for rows in (texts[:10], texts[10:]):
+        raw = [(t or "").encode() for t in rows]
+        ids, first = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+        for i, r in enumerate(raw):
+            assert ids[first[i] : first[i + 1]].tolist() == whole.encode(r.decode(), add_special_tokens=False).ids
+
+
 def _library(tokenizers):
     if not _cache:
         _cache.append((tokenizers.Tokenizer.from_file(byte_pair.default_path()), byte_pair.Encoder(byte_pair.read_codec(byte_pair.default_path()))))
