@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the checkpoint folder that the context was given.
+
+    Only a session without executors of its own gets a temporary folder; on a cluster that would be another one on each machine.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside deletes its shuffle files as it ends: what is written needs them no more."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Tables written under the shared folder. A written table cuts lineage and survives the loss of an executor."""
 
@@ -41,15 +62,36 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet and read it back with the same schema."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        with shuffles_end(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str = "") -> None:
-        """Delete one table, or all of them."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()  # lets Spark's cleaner delete the shuffle files of finished steps as well
+    def drop(self, *names: str) -> None:
+        """Delete these tables."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop_but(self, *names: str) -> None:
+        """Delete all tables but these."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
+        self.drop(*({f.getPath().getName() for f in found} - set(names)))
+
+
+#: Rows of a table that may be broadcast: about 100 bytes each.
+BROADCAST_ROWS = 1 << 18
+
+
+def join_left(left: DataFrame, right: DataFrame, keys: list[str], weight: str, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """left with its row of right (a written table of distinct keys), if there is one. The `bound` rows of right that most rows of left look for,
+    by the column `weight`, are broadcast, so that no hot key meets in one task; only where there are more, the other rows of left are shuffled."""
+    if right.count() <= bound:
+        return left.join(F.broadcast(right), keys, "left")
+    order = [F.desc(weight), *keys]
+    hot = F.broadcast(right.orderBy(*order).limit(bound))
+    rest = right.join(hot.select(*keys), keys, "left_anti")
+    return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(rest, keys, "left"))
 
 
 def word_array(text: Column) -> Column:

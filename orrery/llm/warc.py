@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table
+from .shared import Scratch, join_left, shuffles_end, table
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -38,13 +38,18 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*fours), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> None:
-    """One record for each row of df."""
+def write_archives(df: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> str:
+    """One record for each row of df, in the folder that is returned.
+
+    The first page of each payload is found by digests alone; payloads stay where they are, as the digests that occur more than once are broadcast
+    (the most frequent ones, if they are many).
+    """
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     pages = pages.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    firsts = pages.filter((F.col("bytes") >= least_bytes) & F.col("id").isNotNull()).groupBy("digest", "bytes").agg(F.min("id").alias("first"))
-    dealt = pages.join(firsts, ["digest", "bytes"], "left")
-    again = F.coalesce(F.col("first") != F.coalesce("id", F.lit(-1).cast("long")), F.lit(False))
+    firsts = pages.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("pages"))
+    repeated = scratch.keep(firsts.filter("first IS NOT NULL AND pages > 1"), "repeated")
+    dealt = join_left(pages, repeated, ["digest", "bytes"], "pages")
+    again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
     url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "")
     head = F.concat(
@@ -60,7 +65,9 @@ def write_archives(df: DataFrame, path: str, id_col: str = "page_id", url_col: s
         F.lit("\r\n"),
     )
     record = F.concat(head, F.when(again, "").otherwise(F.col("payload")))
-    dealt.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    with shuffles_end(df.sparkSession):
+        dealt.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(scratch.path("archives"))
+    return scratch.path("archives")
 
 
 def _fields(head: bytes) -> dict[bytes, bytes]:
@@ -141,6 +148,7 @@ def boundary_chain(scratch: Scratch, candidates: DataFrame) -> DataFrame:
         if reach.count() == count:
             break
         jump = scratch.keep(further, f"jump-{step}")
+        scratch.drop(f"jump-{step - 1}", f"reach-{step - 1}")
     entries = reach.select("file", F.col("at").alias("place"), F.lit(True).alias("entry"))
     marked = rows.filter("place >= 0").join(entries, ["file", "place"], "left").select("file", "split", "place", "after", F.coalesce("entry", F.lit(False)).alias("entry"))
     return marked.groupBy("file", "split").applyInArrow(_reached, "file string, place long, after long")
@@ -165,6 +173,7 @@ def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame
     starts = scratch.keep(by_split.select("file", "split", before.alias("start")), "starts")
     placed = local.join(starts, ["file", "split"]).withColumn("place", F.col("place") + F.col("start")).withColumn("after", F.when(F.col("after") >= 0, F.col("after") + F.col("start")).otherwise(-1))
     placed = scratch.keep(placed.drop("start"), "placed")
+    scratch.drop("local")
     chain = scratch.keep(boundary_chain(scratch, placed), "chain")
     records = placed.join(chain.select("file", "place"), ["file", "place"], "left_semi")
     parted = chain.join(placed.filter("NOT whole").select("file", "place"), ["file", "place"], "left_semi")
@@ -195,11 +204,12 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def archived_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, intact), from archives that were written and read back."""
     scratch = Scratch(df.sparkSession, "warc")
-    write_archives(df, scratch.path("archives"), id_col, url_col, payload_col, least_bytes)
-    records = scratch.keep(read_archives(df.sparkSession, scratch.path("archives"), scratch).select("kind", "page_id", "refers_to", "head_digest", "bytes", "digest"), "records")
-    scratch.drop("archives")
+    path = write_archives(df, scratch, id_col, url_col, payload_col, least_bytes)
+    records = scratch.keep(read_archives(df.sparkSession, path, scratch).select("kind", "page_id", "refers_to", "head_digest", "bytes", "digest"), "records")
+    scratch.drop_but("records")
+    asked = records.filter("kind = 'revisit'").groupBy("refers_to", "head_digest").agg(F.count("*").alias("pages"))
     responses = records.filter("kind = 'response'").select(F.col("page_id").alias("refers_to"), F.col("digest").alias("head_digest"), F.col("bytes").alias("full")).distinct()
-    out = records.join(responses, ["refers_to", "head_digest"], "left")
+    out = join_left(records, scratch.keep(asked.join(responses, ["refers_to", "head_digest"]), "asked"), ["refers_to", "head_digest"], "pages")
     again = F.col("kind") == "revisit"
     return out.select(
         F.col("page_id").alias(id_col), F.when(again, F.col("full")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(again, F.col("head_digest")).otherwise(F.col("digest")).alias("payload_digest"),
