@@ -1,39 +1,56 @@
 """A gated recurrent language model in numpy: class-factored output softmax, truncated backpropagation through time.
 
 Words of the model are ranks: 0 is any word outside the shortlist, 1 the end of a text (also what comes before its first word), then words by
-frequency. Rank 0 is a class of its own; of the others, MEMBERS in a row are a class. The probability of a word is that of its class times that
-within the class. A window touches few of the words: its gradient has rows of input vectors and of classes, and Adam moves those alone.
+frequency. Rank 0 is a class of its own; the others are cut into classes of neighbouring ranks, small ones of frequent words and large ones of rare
+words, so that a word costs about CLASSES plus 140 exponentials on average. The probability of a word is that of its class times that within the
+class. A window touches few of the words: its gradient has rows of input vectors and of words, which Adagrad moves by one rate for each row; the
+dense parameters are moved by Adam.
 """
 
 from __future__ import annotations
 
+from heapq import heapreplace
+
 import numpy as np
 
-HIDDEN = 16
-CLASSES = 256
-MEMBERS = 256
-SHORTLIST = 1 + (CLASSES - 1) * MEMBERS
+HIDDEN = 24
+CLASSES = 160
+SHORTLIST = 1 << 16
 OTHER, END = 0, 1
 SHAPES = {
     "inputs": (SHORTLIST, 3 * HIDDEN),
     "state": (HIDDEN, 3 * HIDDEN),
     "to_class": (HIDDEN, CLASSES),
     "class_bias": (CLASSES,),
-    "to_word": (CLASSES, HIDDEN, MEMBERS),
-    "word_bias": (CLASSES, MEMBERS),
+    "to_word": (SHORTLIST, HIDDEN),
+    "word_bias": (SHORTLIST,),
 }
+DENSE = ("state", "to_class", "class_bias")
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 WINDOW = 16
-LANES = 256
-RATE = 0.004
+LANES = 512
+RATE, ROW_RATE = 0.004, 0.1
 CLIP = 5.0
 #: Rows of class logits made at once.
-BLOCK = 4096
+BLOCK = 2048
+
+
+def class_bounds(counts: np.ndarray | None = None) -> np.ndarray:
+    """Class c has the ranks bounds[c]:bounds[c+1]: OTHER, then classes of equal sums of the square roots of counts."""
+    weight = np.ones(SHORTLIST - 1) if counts is None else np.sqrt(counts[1:] + 1.0)
+    upto = np.cumsum(weight)
+    cuts = np.searchsorted(upto, upto[-1] * np.arange(1, CLASSES - 1) / (CLASSES - 1)) + 1
+    cuts = np.maximum.accumulate(np.maximum(cuts, np.arange(1, CLASSES - 1)))
+    cuts = np.minimum(cuts, SHORTLIST - 1 - np.arange(CLASSES - 2, 0, -1))
+    return np.concatenate([[0, 1], 1 + cuts, [SHORTLIST]]).astype(np.int64)
 
 
-def views(flat: np.ndarray) -> dict[str, np.ndarray]:
-    """The parameters, as views of one vector."""
-    out, at = {}, 0
+EQUAL = class_bounds()
+
+
+def views(flat: np.ndarray, bounds: np.ndarray = EQUAL) -> dict[str, np.ndarray]:
+    """The parameters, as views of one vector, and the bounds of classes."""
+    out, at = {"bounds": bounds}, 0
     for name, shape in SHAPES.items():
         n = int(np.prod(shape))
         out[name] = flat[at : at + n].reshape(shape)
@@ -41,15 +58,15 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def fresh(seed: int = 7, counts: np.ndarray | None = None) -> np.ndarray:
+def fresh(seed: int = 7, counts: np.ndarray | None = None, bounds: np.ndarray = EQUAL) -> np.ndarray:
     """Parameters before training; with counts by rank, the biases are those of a model of words alone."""
     flat = np.random.default_rng(seed).normal(0, 0.1, SIZE).astype(np.float32)
-    p = views(flat)
+    p = views(flat, bounds)
     for name in ("class_bias", "word_bias"):
         p[name][:] = 0
     if counts is not None:
-        p["word_bias"][1:] = np.log(counts[1:] + 1.0).reshape(CLASSES - 1, MEMBERS)
-        p["class_bias"][:] = np.log(np.append(counts[0], counts[1:].reshape(CLASSES - 1, MEMBERS).sum(axis=1)) + 1.0)
+        p["word_bias"][:] = np.log(counts + 1.0)
+        p["class_bias"][:] = np.log(np.add.reduceat(counts, bounds[:-1]) + 1.0)
     return flat
 
 
@@ -87,45 +104,53 @@ def _softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, at - np.log(total)
 
 
-def _by_class(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """(class, member, positions by class) of ranks; the class of OTHER has one member, and no positions."""
-    kind, member = np.divmod(ranks + (MEMBERS - 1), MEMBERS)
-    order = np.argsort(kind.astype(np.int16), kind="stable")
-    ends = np.cumsum(np.bincount(kind, minlength=CLASSES))
-    return kind, member, [(c, order[ends[c - 1] : ends[c]]) for c in range(1, CLASSES) if ends[c] > ends[c - 1]]
+def _by_class(p: dict[str, np.ndarray], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """(class, order of positions by class, members in that order, (first rank, end, first position, end) of each class); OTHER's class has one member and isn't listed."""
+    bounds = p["bounds"]
+    kind = (np.searchsorted(bounds, ranks, side="right") - 1).astype(np.int16)
+    order = np.argsort(kind, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=CLASSES))])
+    member = (ranks - bounds[kind])[order]
+    spans = [(int(bounds[c]), int(bounds[c + 1]), int(ends[c]), int(ends[c + 1])) for c in range(1, CLASSES) if ends[c + 1] > ends[c]]
+    return kind, order, member, spans
 
 
 def word_logs(p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of targets (a rank for each state)."""
-    kind, member, groups = _by_class(targets)
+    kind, order, member, spans = _by_class(p, targets)
     out = np.concatenate([_softmax(states[k : k + BLOCK] @ p["to_class"] + p["class_bias"], kind[k : k + BLOCK])[1] for k in range(0, max(1, kind.size), BLOCK)])
-    for c, own in groups:
-        out[own] += _softmax(states[own] @ p["to_word"][c] + p["word_bias"][c], member[own])[1]
+    sorted_states, inner = states[order], np.zeros(order.size)
+    for a, b, i, j in spans:
+        for k in range(i, j, BLOCK):
+            s = slice(k, min(j, k + BLOCK))
+            inner[s] = _softmax(sorted_states[s] @ p["to_word"][a:b].T + p["word_bias"][a:b], member[s])[1]
+    out[order] += inner
     return out
 
 
 #: All rows of a parameter.
 EVERY = slice(None)
-Rows = dict[str, tuple[slice | np.ndarray, np.ndarray]]
+Rows = dict[str, list[tuple[slice | np.ndarray, np.ndarray]]]
 
 
 def gradient(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(gradient of the mean loss of a window, the state behind it, the loss), with the zeros of what the window doesn't touch."""
     flat = np.zeros(SIZE, dtype=np.float32)
     g, last, loss = gradient_rows(p, words, targets, mask, h)
-    for name, (rows, values) in g.items():
-        views(flat)[name][rows] = values
+    for name, parts in g.items():
+        for rows, values in parts:
+            views(flat)[name][rows] = values
     return flat, last, loss
 
 
 def gradient_rows(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[Rows, np.ndarray, float]:
     """(rows that a window touches and their gradient, by parameter, the state behind it, the loss). Backpropagation ends at the window's start."""
-    g: Rows = {}
+    g: Rows = {"to_word": [], "word_bias": []}
     out, last, kept = run(p, words, h)
     steps, lanes = words.shape
     states, goal, weight = out.reshape(-1, HIDDEN), targets.ravel(), mask.ravel().astype(np.float32)
     weight = weight / max(1.0, float(weight.sum()))
-    kind, member, groups = _by_class(goal)
+    kind, order, member, spans = _by_class(p, goal)
 
     def output(x: np.ndarray, at: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, float]:
         """(gradient of logits, loss)."""
@@ -134,20 +159,24 @@ def gradient_rows(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarr
         x[np.arange(at.size), at] -= shares
         return x, -float(logs @ shares)
 
-    d, loss = output(states @ p["to_class"] + p["class_bias"], kind, weight)
-    g["to_class"] = EVERY, states.T @ d
-    g["class_bias"] = EVERY, d.sum(axis=0)
-    ds = d @ p["to_class"].T
-    touched = np.array([c for c, _ in groups], dtype=np.int64)
-    to_word, word_bias = np.empty((touched.size, HIDDEN, MEMBERS), dtype=np.float32), np.empty((touched.size, MEMBERS), dtype=np.float32)
-    g["to_word"], g["word_bias"] = (touched, to_word), (touched, word_bias)
-    for k, (c, own) in enumerate(groups):
-        some_states = states[own]
-        d, more = output(some_states @ p["to_word"][c] + p["word_bias"][c], member[own], weight[own])
+    ds, loss = np.empty_like(states), 0.0
+    to_class, class_bias = np.zeros(SHAPES["to_class"], dtype=np.float32), np.zeros(CLASSES, dtype=np.float32)
+    for k in range(0, kind.size, BLOCK):
+        s = slice(k, k + BLOCK)
+        d, more = output(states[s] @ p["to_class"] + p["class_bias"], kind[s], weight[s])
+        loss += more
+        to_class += states[s].T @ d
+        class_bias += d.sum(axis=0)
+        ds[s] = d @ p["to_class"].T
+    g["to_class"], g["class_bias"] = [(EVERY, to_class)], [(EVERY, class_bias)]
+    sorted_states, sorted_weight, inner = states[order], weight[order], np.zeros_like(states)
+    for a, b, i, j in spans:
+        d, more = output(sorted_states[i:j] @ p["to_word"][a:b].T + p["word_bias"][a:b], member[i:j], sorted_weight[i:j])
         loss += more
-        to_word[k] = some_states.T @ d
-        word_bias[k] = d.sum(axis=0)
-        ds[own] += d @ p["to_word"][c].T
+        g["to_word"].append((slice(a, b), d.T @ sorted_states[i:j]))
+        g["word_bias"].append((slice(a, b), d.sum(axis=0)))
+        inner[i:j] = d @ p["to_word"][a:b]
+    ds[order] += inner
     ds = ds.reshape(steps, lanes, HIDDEN)
     first = words == END
     some, back = first.any(axis=1), np.ascontiguousarray(p["state"].T)
@@ -167,22 +196,23 @@ def gradient_rows(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarr
         dh = dh * z + du @ back
         if some[t]:
             dh = np.where(first[t][:, None], np.float32(0), dh)
-    g["state"] = EVERY, np.concatenate([k[0] for k in kept]).T @ inner.reshape(-1, 3 * HIDDEN)
+    g["state"] = [(EVERY, np.concatenate([k[0] for k in kept]).T @ inner.reshape(-1, 3 * HIDDEN))]
     flow, at = gates.reshape(-1, 3 * HIDDEN), words.ravel()
-    order = np.argsort(at, kind="stable")
-    sorted_at = at[order]
+    by_word = np.argsort(at, kind="stable")
+    sorted_at = at[by_word]
     heads = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-    g["inputs"] = sorted_at[heads], np.add.reduceat(flow[order], heads, axis=0)
+    g["inputs"] = [(sorted_at[heads], np.add.reduceat(flow[by_word], heads, axis=0))]
     return g, last, loss
 
 
 class Trainer:
-    """Adam over windows of lanes, each row by its own number of steps; a lane carries its state from window to window."""
+    """Moves parameters by windows of lanes; a lane carries its state from window to window."""
 
-    def __init__(self, flat: np.ndarray):
+    def __init__(self, flat: np.ndarray, bounds: np.ndarray = EQUAL):
         self.flat = flat.copy()
-        self.values, self.mean, self.square = (views(x) for x in (self.flat, np.zeros_like(flat), np.zeros_like(flat)))
-        self.rows = {name: np.zeros(shape[0], dtype=np.int64) for name, shape in SHAPES.items()}
+        self.values = views(self.flat, bounds)
+        self.mean, self.square = ({name: np.zeros(SHAPES[name], dtype=np.float32) for name in DENSE} for _ in range(2))
+        self.seen = {name: np.zeros(shape[0], dtype=np.float32) for name, shape in SHAPES.items() if name not in DENSE}
         self.steps, self.words = 0, 0
 
     def learn(self, stream: np.ndarray) -> None:
@@ -201,40 +231,45 @@ class Trainer:
         self.words += stream.size
 
     def _step(self, g: Rows) -> None:
-        norm = float(np.sqrt(sum(float(x.ravel() @ x.ravel()) for _, x in g.values())))
+        norm = float(np.sqrt(sum(float(x.ravel() @ x.ravel()) for parts in g.values() for _, x in parts)))
         self.steps += 1
-        for name, (rows, x) in g.items():
-            if norm > CLIP:
-                x *= CLIP / norm
-            self.rows[name][rows] += 1
-            n = self.rows[name][rows].reshape(-1, *[1] * (x.ndim - 1))
-            mean, square = self.mean[name][rows], self.square[name][rows]
-            mean += 0.1 * (x - mean)
-            square += 0.001 * (x * x - square)
-            self.mean[name][rows], self.square[name][rows] = mean, square
-            scale = (RATE * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)).astype(np.float32)
-            self.values[name][rows] -= scale * mean / (np.sqrt(square) + np.float32(1e-8))
-
-
-def text_logs(flat: np.ndarray, ranks: np.ndarray, first: np.ndarray, window: int = 64, most_lanes: int = 512) -> np.ndarray:
+        scale = np.float32(RATE * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps))
+        for name, parts in g.items():
+            for rows, x in parts:
+                if norm > CLIP:
+                    x *= CLIP / norm
+                if name in DENSE:
+                    mean, square = self.mean[name], self.square[name]
+                    mean += 0.1 * (x - mean)
+                    square += 0.001 * (x * x - square)
+                    self.values[name] -= scale * mean / (np.sqrt(square) + np.float32(1e-8))
+                    continue
+                seen = self.seen[name]
+                seen[rows] += x * x if x.ndim == 1 else np.einsum("ij,ij->i", x, x) / np.float32(x.shape[1])
+                rate = np.float32(ROW_RATE) / (np.sqrt(seen[rows]) + np.float32(1e-8))
+                x *= rate if x.ndim == 1 else rate[:, None]
+                self.values[name][rows] -= x
+
+
+def text_logs(flat: np.ndarray, ranks: np.ndarray, first: np.ndarray, window: int = 64, most_lanes: int = 512, bounds: np.ndarray = EQUAL) -> np.ndarray:
     """Natural log-probabilities of whole texts: ranks[first[i]:first[i+1]], each with its END.
 
     Texts are laid into lanes, the longest first, and the state goes through all windows of a lane; a text's first input resets it.
     """
-    p, n = views(flat), first.size - 1
+    p, n = views(flat, bounds), first.size - 1
     length = np.diff(first)
     total = np.zeros(n)
     if not ranks.size:
         return total
     lanes = int(max(1, min(most_lanes, ranks.size // max(int(length.max()), 64))))
     order = np.argsort(-length, kind="stable")
-    load = np.zeros(lanes, dtype=np.int64)
+    load = [(0, k) for k in range(lanes)]
     lane_of, start = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-    for i in order:
-        k = int(load.argmin())
-        lane_of[i], start[i] = k, load[k]
-        load[k] += length[i]
-    steps = int(load.max())
+    for i in order.tolist():
+        at, k = load[0]
+        lane_of[i], start[i] = k, at
+        heapreplace(load, (at + int(length[i]), k))
+    steps = max(at for at, _ in load)
     doc = np.repeat(np.arange(n), length)
     step = start[doc] + np.arange(ranks.size) - first[:-1][doc]
     given = np.concatenate([[END], ranks[:-1]])

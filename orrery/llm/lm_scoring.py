@@ -1,10 +1,11 @@
 """Scores of whole documents under a gated recurrent language model that is trained on the corpus, and under word counts.
 
 1. Counts of all training words: each task adds up its own words, then they meet by word. They give the base score and the shortlist.
-2. Training. WARM_TEXTS documents (those of least hash) give a first model in one task, whose biases start from the counts. From it,
-   each task trains on all training documents of its partition, once (small partitions share a task); the tasks' models are averaged
-   with the weights of their words, by parts of the parameter vector, so that what is gathered grows with the input while no task holds
-   more than a part of each model.
+2. Training. The training documents are dealt into ROUNDS equal shares by hash. In a round each task trains on the documents of the share in
+   its partitions (small partitions share a task), from the model of the round before; the first one has the biases of the counts. Then the tasks'
+   models are averaged with the weights of their words, by parts of the parameter vector, so that what is gathered grows with the input while
+   no task holds more than a part of each model. So every training document is learnt from, once; where a task has too few words for
+   MIN_STEPS steps, it repeats them. Scores depend a little on how the documents are partitioned, as the averages do; counts and base scores don't.
 3. Scoring. The recurrent state goes through all windows of a document. Words outside the shortlist get the model's
    probability of such a word times (count + 1) / (words + kinds + 1) among those. Counts of HEAD frequent words are broadcast (a fixed size);
    rarer words meet the table of counts by a join on the word, and are summed up by document.
@@ -25,15 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru, textops
-from .shared import Scratch, spread, table
+from .shared import Scratch, shuffles_end, spread, table
 
 #: Words whose counts are broadcast: 16 bytes each, whatever the input.
 HEAD = 1 << 16
-#: Documents of the first model, and how many steps it takes over them.
-WARM_TEXTS, WARM_STEPS = 400, 600
+#: Shares of the documents with an average of models behind each, and the least number of steps of a model in a round.
+ROUNDS, MIN_STEPS = 3, 100
 #: A model is averaged in so many parts, and has at least so many words to learn from (where there are as many), so that the
 #: models' size stays in proportion to the input.
-PARTS, MODEL_WORDS = 256, 1 << 22
+PARTS, MODEL_WORDS = 256, 1 << 21
 #: Row groups of scoring, in bytes: many lanes stay busy beside a long text.
 GROUP = 12 << 20
 FLUSH = 1 << 20
@@ -98,54 +99,56 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         yield rows, np.insert(h, first[1:], END_WORD), first + np.arange(first.size)
 
 
-def _models(df: DataFrame, lexicon, start: np.ndarray, steps: int) -> DataFrame:
-    """(part, weight, values): a model of each task's texts, in PARTS parts."""
-    shipped = df.sparkSession.sparkContext.broadcast(start)
+def _models(df: DataFrame, lexicon, start: np.ndarray, bounds: np.ndarray) -> DataFrame:
+    """(part, weight, moves): how far a model of each task's texts is from `start`, in PARTS parts."""
+    shipped = df.sparkSession.sparkContext.broadcast((start, bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = gru.Trainer(shipped.value)
+        trainer = gru.Trainer(*shipped.value)
         kept = []
         for _, h, _ in _streams(batches):
             ranks = lexicon.value.look(h)[0]
-            trainer.learn(ranks)
-            if steps:  # of the bounded sample only
+            if trainer.steps < MIN_STEPS:
                 kept.append(ranks)
-        while kept and trainer.steps < steps:
+            trainer.learn(ranks)
+        words = trainer.words
+        while kept and trainer.steps < MIN_STEPS:
             for ranks in kept:
                 trainer.learn(ranks)
-        if trainer.words:
-            parts = np.array_split(trainer.flat, PARTS)
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "weight": pa.array([float(trainer.words)] * PARTS), "values": pa.array([x.astype("<f4").tobytes() for x in parts], pa.binary())})
+        if words:
+            parts = np.array_split(trainer.flat - shipped.value[0], PARTS)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "weight": pa.array([float(words)] * PARTS), "moves": pa.array([x.astype("<f2").tobytes() for x in parts], pa.binary())})
 
-    return df.mapInArrow(run, "part int, weight double, values binary")
+    return df.mapInArrow(run, "part int, weight double, moves binary")
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, tuple[float, np.ndarray]] = {}
     for batch in batches:
-        for part, weight, values in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for part, weight, moves in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             before, total = sums.get(part, (0.0, 0.0))
-            sums[part] = before + weight, total + weight * np.frombuffer(values, dtype="<f4").astype(float)
+            sums[part] = before + weight, total + weight * np.frombuffer(moves, dtype="<f2").astype(float)
     if sums:
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "weight": pa.array([w for w, _ in sums.values()]), "values": pa.array([(x / w).astype("<f8").tobytes() for w, x in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "moves": pa.array([(x / w).astype("<f4").tobytes() for w, x in sums.values()], pa.binary())})
 
 
-def trained(df: DataFrame, lexicon, start: np.ndarray, steps: int = 0) -> np.ndarray:
-    """The average of the tasks' models, each of one pass, or of so many steps at least; one model comes to the driver."""
-    rows = _models(df, lexicon, start, steps).repartition(min(PARTS, spread(df.sparkSession)), "part").mapInArrow(_average, "part int, weight double, values binary").collect()
+def trained(df: DataFrame, lexicon, start: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """`start` and the average of the tasks' moves; one model comes to the driver."""
+    rows = _models(df, lexicon, start, bounds).repartition(min(PARTS, spread(df.sparkSession)), "part").mapInArrow(_average, "part int, moves binary").collect()
     if not rows:
         return start
-    return np.concatenate([np.frombuffer(r["values"], dtype="<f8") for r in sorted(rows, key=lambda r: r["part"])]).astype(np.float32)
+    return start + np.concatenate([np.frombuffer(r["moves"], dtype="<f4") for r in sorted(rows, key=lambda r: r["part"])])
 
 
 _SCORED = "row long, id {}, held_out boolean, n_tokens long, n_head long, n_other long, logs double, head_logs double, other_logs double, tail array<long>"
 
 
-def _scored(df: DataFrame, lexicon, model: np.ndarray, kind: str) -> DataFrame:
-    shipped = df.sparkSession.sparkContext.broadcast(model)
+def _scored(df: DataFrame, lexicon, model: np.ndarray, bounds: np.ndarray, kind: str) -> DataFrame:
+    shipped = df.sparkSession.sparkContext.broadcast((model, bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
+        model, bounds = shipped.value
         for rows, h, first in _streams(batches):
             ranks, counts, known = lexicon.value.look(h)
             doc = np.repeat(np.arange(len(rows)), np.diff(first))
@@ -156,7 +159,7 @@ def _scored(df: DataFrame, lexicon, model: np.ndarray, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "row": pa.array(row + np.arange(len(rows))), "id": rows.column(0), "held_out": rows.column(1), "n_tokens": pa.array(np.diff(first)),
                 "n_head": pa.array(add(known & (counts > 0)).astype(np.int64)), "n_other": pa.array(add(other).astype(np.int64)),
-                "logs": pa.array(gru.text_logs(shipped.value, ranks, first) / np.log(10)), "head_logs": pa.array(add(log)), "other_logs": pa.array(add(np.where(other, log, 0.0))),
+                "logs": pa.array(gru.text_logs(model, ranks, first, bounds=bounds) / np.log(10)), "head_logs": pa.array(add(log)), "other_logs": pa.array(add(np.where(other, log, 0.0))),
                 "tail": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(add(~known))]).astype(np.int32)), pa.array(tail)),
             })
             row += len(rows)
@@ -187,16 +190,16 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train:
     head_words = np.array([r["word"] for r in head], dtype=np.int64).view(np.uint64)
     lexicon = Lexicon(head_words, np.array([r["count"] for r in head], dtype=np.int64))
     shipped = df.sparkSession.sparkContext.broadcast(lexicon)
-    # hashes alone find the edge of the sample, so that a task sees no texts but those of the sample
-    order = F.xxhash64("id")
-    edge = texts.select(order.alias("h")).orderBy("h").limit(WARM_TEXTS).agg(F.max("h")).first()[0]
-    warm = texts.filter(order <= F.lit(edge)).orderBy(order, F.xxhash64("text")).limit(WARM_TEXTS).select("text").coalesce(1)
     tokens, kinds = int(totals["tokens"]), int(totals["kinds"])
     by_rank = np.bincount(lexicon.ranks, weights=lexicon.counts, minlength=gru.SHORTLIST)
     by_rank[gru.OTHER] = tokens - by_rank[gru.END :].sum()
-    model = trained(warm, shipped, gru.fresh(counts=by_rank), WARM_STEPS)
-    model = trained(texts.select("text").coalesce(max(1, -(-tokens // MODEL_WORDS))), shipped, model)
-    rows = scratch.keep(_scored(docs, shipped, model, df.schema[id_col].dataType.simpleString()), "scored")
+    bounds = gru.class_bounds(by_rank)
+    model = gru.fresh(counts=by_rank, bounds=bounds)
+    share = F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        with shuffles_end(df.sparkSession):
+            model = trained(texts.filter(share == k).select("text").coalesce(max(1, -(-tokens // (ROUNDS * MODEL_WORDS)))), shipped, model, bounds)
+    rows = scratch.keep(_scored(docs, shipped, model, bounds, df.schema[id_col].dataType.simpleString()), "scored")
     tail = rows.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("count", F.lit(0)) + 1.0)).alias("tail_logs"), F.count("count").alias("n_tail"))
     short = lexicon.ranks != gru.OTHER
