@@ -1,15 +1,23 @@
-"""Copies of images by local descriptors: cropped, brightened or noisy copies are found by agreeing keypoints.
+"""Copies of images by local descriptors: cropped, turned, resized, brightened or noisy copies are found by agreeing keypoints.
 
-Keypoints are corners at several scales (local maxima of a structure-tensor response). A keypoint's direction is that of its patch's centroid; its
-descriptor is 128 brightness comparisons at places that turn with the direction, so that it doesn't change with rotation or brightness. The
-index is a table of (part, its 21 or 22 bits), six parts to a descriptor. A query asks for its parts with up to two bits changed: of descriptors that
-differ in MOST_BITS bits at most, one part at least differs so little (pigeonhole), so that the search misses none. Wide parts keep matches by chance
-at about 6 in 10,000 pairs of keypoints. Matches within MOST_BITS bits vote for a shift, a scale and a turn; a copy needs VOTES keypoints that agree.
+Keypoints are corners (local maxima of a structure-tensor response) on a pyramid of LEVELS levels, each smaller by STEP. A keypoint's direction
+is that of its patch's centroid; its descriptor is 128 brightness comparisons at interpolated places that turn with the direction, so that it
+doesn't change with rotation or brightness.
 
-Equal images are one class, searched and found once; every row of a query class gets the result. Images are 8-bit grey PGM files in a binary column.
+Search. A descriptor has six parts of 21 or 22 bits. Query descriptors go to all tasks in blocks of BLOCK keypoints, as a table by the bits of
+each part; a task asks them for the parts of its own descriptors with up to one bit changed, and compares all bits of what it meets. That finds a pair
+of descriptors surely if a part differs in one bit at most, and 95 of 100 pairs that differ in 12 bits of 128; `exact=True` changes as many bits as
+it takes (pigeonhole) to find all pairs within MOST_BITS. Nothing of the index is shuffled.
 
-Cases: null, empty or broken images have no keypoints and match nothing, nor do blank ones; rows with equal images share a class (the least id); an empty
-table gives an empty result; other columns don't matter.
+Consensus. Matches vote for where the query's centre lies, for a scale and a turn, in cells that overlap by half. A copy needs VOTES
+keypoints that agree, and VOTE_SHARE of the keypoints of the image that has fewer; they mustn't lie within a patch of each other, as one
+corner is a keypoint on several levels.
+
+Equal images are one class, searched and found once; every row of a query class gets the result, and `image_classes` names every row's class. Images are
+8-bit grey PGM files in a binary column.
+
+Cases: null, empty or broken images have no keypoints and match nothing, nor do blank ones; rows with equal images share a class (the least id); a row without
+an id is in no class; large images are handled whole, their keypoints in groups; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -19,24 +27,27 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table
+from .shared import Scratch, join_left, table
 
-SCALES = (1.0, 1.5)
+STEP, LEVELS = 1.2, 5
 PATCH = 7
-RESPONSE = 0.12
+RESPONSE = 0.05
 MOST_BITS = 16
-VOTES = 5
-PARTS = 4
-#: Bits of the parts of the index, three in each half of a descriptor.
-WIDTHS = (21, 21, 22, 21, 21, 22)
+VOTES, VOTE_SHARE = 6, 0.05
+#: Lowest bit and number of bits of the parts of a descriptor, three in each half.
+PARTS = tuple((half, at, width) for half in (0, 1) for at, width in ((0, 21), (21, 21), (42, 22)))
 TURNS = 24
-SHIFT_BIN = 4.0
+SHIFT_BIN = 6.0
+#: Query keypoints that are sent to all tasks at once, 60 bytes each; index keypoints that are compared at once.
+BLOCK, GROUP = 1 << 17, 1 << 15
 
 _RNG = np.random.default_rng(20)
 _TESTS = np.clip(_RNG.normal(0, PATCH / 2.2, (128, 4)), -PATCH + 1, PATCH - 1)
+_SIDE = np.arange(-PATCH + 1, PATCH)
+_DISC = _SIDE[:, None] ** 2 + _SIDE**2 <= (PATCH - 1) ** 2 + 1
 
 
 def read_pgm(raw: bytes | None) -> np.ndarray | None:
@@ -64,136 +75,199 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]) / 16
 
 
-def _resized(x: np.ndarray, scale: float) -> np.ndarray:
-    if scale == 1:
-        return x
-    h, w = (int(s / scale) for s in x.shape)
-    y, z = (np.minimum(np.arange(n) * scale, s - 1.001) for n, s in ((h, x.shape[0]), (w, x.shape[1])))
-    a, b = y.astype(int), z.astype(int)
-    fy, fz = (y - a)[:, None], (z - b)[None, :]
-    return (x[a][:, b] * (1 - fy) + x[a + 1][:, b] * fy) * (1 - fz) + (x[a][:, b + 1] * (1 - fy) + x[a + 1][:, b + 1] * fy) * fz
+def sampled(x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Grey levels between pixels, by bilinear interpolation; the edge holds beyond it."""
+    rows, columns = (np.clip(v, 0, n - 1.001) for v, n in ((rows, x.shape[0]), (columns, x.shape[1])))
+    a, b = rows.astype(int), columns.astype(int)
+    fy, fx = rows - a, columns - b
+    return (x[a, b] * (1 - fy) + x[a + 1, b] * fy) * (1 - fx) + (x[a, b + 1] * (1 - fy) + x[a + 1, b + 1] * fy) * fx
+
+
+def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    rows, columns = ((np.arange(n) + 0.5) * (s / n) - 0.5 for n, s in ((height, x.shape[0]), (width, x.shape[1])))
+    return sampled(x, rows[:, None], columns[None, :])
+
+
+def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of corners, but those whose patch crosses the edge."""
+    gy, gx = np.gradient(x)
+    a, b, c = (_smooth(_smooth(v)) for v in (gx * gx, gy * gy, gx * gy))
+    r = a * b - c * c - 0.05 * (a + b) ** 2
+    p = np.pad(r, 1, constant_values=-np.inf)
+    near = np.max([p[1 + i : 1 + i + r.shape[0], 1 + j : 1 + j + r.shape[1]] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j], axis=0)
+    good = (r > near) & (r > 0.12)
+    good[:PATCH], good[-PATCH:], good[:, :PATCH], good[:, -PATCH:] = False, False, False, False
+    # a tenth of the corners may be stamped ones: the strongest of the others sets the scale
+    good &= r > RESPONSE * (np.quantile(r[good], 0.9) if good.any() else 1.0)
+    return np.nonzero(good)
 
 
 def keypoints(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """((x, y, scale index, turn) of each keypoint in the image's own pixels, descriptors as PARTS 32-bit numbers)."""
-    spots, codes = [], []
-    for level, scale in enumerate(SCALES):
-        x = _smooth(_resized(image.astype(float), scale))
-        if min(x.shape) < 2 * PATCH + 3:
-            continue
-        gy, gx = np.gradient(x)
-        a, b, c = (_smooth(v) for v in (gx * gx, gy * gy, gx * gy))
-        r = a * b - c * c - 0.05 * (a + b) ** 2
-        near = np.max([np.roll(r, (i, j), (0, 1)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j], axis=0)
-        good = (r > near) & (r > RESPONSE)
-        good[:PATCH], good[-PATCH:], good[:, :PATCH], good[:, -PATCH:] = False, False, False, False
-        # a tenth of the corners may be stamped ones: the strongest of the others sets the scale
-        good &= r > RESPONSE * (np.quantile(r[good], 0.9) if good.any() else 1.0)
-        ys, xs = np.nonzero(good)
-        if not ys.size:
-            continue
-        side = np.arange(-PATCH + 1, PATCH)
-        patch = x[ys[:, None, None] + side[:, None], xs[:, None, None] + side]
-        turn = np.arctan2((patch * side[:, None]).sum((1, 2)), (patch * side).sum((1, 2)))
-        turn = np.round(turn / (2 * np.pi) * TURNS).astype(int) % TURNS
-        angle = turn * (2 * np.pi / TURNS)
-        cos, sin = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        at = []
-        for k in (0, 2):
-            u, v = _TESTS[:, k], _TESTS[:, k + 1]
-            px = np.clip(np.rint(xs[:, None] + u * cos - v * sin).astype(int), 0, x.shape[1] - 1)
-            py = np.clip(np.rint(ys[:, None] + u * sin + v * cos).astype(int), 0, x.shape[0] - 1)
-            at.append(x[py, px])
-        codes.append(np.packbits(at[0] < at[1], axis=1, bitorder="little").view("<u4"))
-        spots.append(np.stack([xs * scale, ys * scale, np.full(xs.size, level), turn], axis=1))
-    if not spots:
-        return np.zeros((0, 4)), np.zeros((0, PARTS), dtype=np.uint32)
+    """((x, y, level, turn) of each keypoint, in the image's own pixels and radians; descriptors as two 64-bit numbers)."""
+    spots, codes = [np.zeros((0, 4))], [np.zeros((0, 2), dtype=np.uint64)]
+    level_image = image.astype(float)
+    for level in range(LEVELS):
+        if level:
+            level_image = resized(_smooth(level_image), *(max(2, round(n / STEP)) for n in level_image.shape))
+        if min(level_image.shape) < 2 * PATCH + 3:
+            break
+        x = _smooth(_smooth(level_image))
+        all_rows, all_columns = _corners(x)
+        for k in range(0, all_rows.size, 8192):
+            ys, xs = all_rows[k : k + 8192], all_columns[k : k + 8192]
+            patch = x[ys[:, None, None] + _SIDE[:, None], xs[:, None, None] + _SIDE] * _DISC
+            turn = np.arctan2((patch * _SIDE[:, None]).sum((1, 2)), (patch * _SIDE).sum((1, 2)))
+            cos, sin = np.cos(turn)[:, None], np.sin(turn)[:, None]
+            at = [sampled(x, ys[:, None] + _TESTS[:, j] * sin + _TESTS[:, j + 1] * cos, xs[:, None] + _TESTS[:, j] * cos - _TESTS[:, j + 1] * sin) for j in (0, 2)]
+            codes.append(np.packbits(at[0] < at[1], axis=1, bitorder="little").view("<u8"))
+            spots.append(np.stack([(xs + 0.5) * (image.shape[1] / x.shape[1]), (ys + 0.5) * (image.shape[0] / x.shape[0]), np.full(xs.size, level), turn], axis=1))
     return np.concatenate(spots), np.concatenate(codes)
 
 
+KEYPOINT = "id long, k int, n int, x float, y float, level int, turn float, cx float, cy float, d0 long, d1 long"
+_NUMBERS = {"long": np.int64, "int": np.int32, "float": np.float32}
+
+
+def _names(schema: str) -> dict[str, type]:
+    return {name: _NUMBERS[kind] for name, kind in (field.split(" ") for field in schema.split(", "))}
+
+
 def described(df: DataFrame) -> DataFrame:
-    """(id, x, y, level, turn, d0 .. d3): a row for each keypoint of the images (id, image)."""
+    """A row for each keypoint of the images (id, image): its number among the image's n, its place, level and turn, the image's centre, its descriptor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spots, codes = [], [np.zeros((0, 4))], [np.zeros((0, PARTS), dtype=np.uint32)]
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                image = read_pgm(raw)
+            found = []
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                image = read_pgm(raw.as_py())
                 if image is not None:
                     s, c = keypoints(image)
-                    ids += [i] * len(s)
-                    spots.append(s)
-                    codes.append(c)
-            s, c = np.concatenate(spots), np.concatenate(codes).astype(np.int64)
-            columns = {"id": pa.array(ids, pa.int64()), "x": pa.array(s[:, 0]), "y": pa.array(s[:, 1]), "level": pa.array(s[:, 2].astype(np.int32)), "turn": pa.array(s[:, 3].astype(np.int32))}
-            yield pa.RecordBatch.from_pydict(columns | {f"d{k}": pa.array(np.ascontiguousarray(c[:, k])) for k in range(PARTS)})
-
-    return df.mapInArrow(run, "id long, x double, y double, level int, turn int, " + ", ".join(f"d{k} long" for k in range(PARTS)))
-
-
-def differing_bits():
-    """Of the descriptors of a pair of keypoints."""
-    return sum((F.bit_count(F.col(f"d{k}").bitwiseXOR(F.col(f"q_d{k}"))) for k in range(1, PARTS)), F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))))
-
-
-def _parts() -> list[Column]:
-    """The parts of a descriptor, of WIDTHS bits."""
-    out = []
-    for half, widths in enumerate((WIDTHS[:3], WIDTHS[3:])):
-        whole, at = F.shiftleft(f"d{2 * half + 1}", 32).bitwiseOR(F.col(f"d{2 * half}")), 0
-        for w in widths:
-            out.append(F.shiftrightunsigned(whole, at).bitwiseAND(F.lit((1 << w) - 1)).cast("long"))
-            at += w
-    return out
-
-
-def _changed(part: int, width: int, radius: int, bits: Column) -> Column:
-    """An array of (part, bits) with up to `radius` of the bits changed."""
-    masks = [sum(1 << b for b in at) for k in range(radius + 1) for at in combinations(range(width), k)]
-    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.struct(F.lit(part).alias("part"), bits.bitwiseXOR(m).alias("bits")))
-
-
-def search(index: DataFrame, queries: DataFrame, most_bits: int = MOST_BITS, votes: int = VOTES) -> DataFrame:
-    """(query, image, votes, dx, dy) of queries and images (both keypoint tables) whose keypoints agree."""
-    radii = [most_bits // len(WIDTHS) - (k > most_bits % len(WIDTHS)) for k in range(len(WIDTHS))]  # that all parts differ by more needs more than most_bits
-    asked = [_changed(k, w, r, b) for k, (w, r, b) in enumerate(zip(WIDTHS, radii, _parts(), strict=True)) if r >= 0]
-    left = queries.withColumn("key", F.explode(F.concat(*asked))).select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], "key.part", "key.bits")
-    right = index.select(*index.columns, F.posexplode(F.array(*_parts())).alias("part", "bits"))
-    pairs = left.join(right, ["part", "bits"]).filter(differing_bits() <= most_bits).dropDuplicates(["q_id", "q_x", "q_y", "q_level", "id", "x", "y", "level"])
-    return consensus(pairs, votes)
-
-
-def consensus(pairs: DataFrame, votes: int = VOTES) -> DataFrame:
-    """(query, image, votes, dx, dy) of pairs of images with enough matches that agree in shift, scale and turn."""
-    turn = F.pmod(F.col("turn") - F.col("q_turn"), F.lit(TURNS))
-    scale = F.element_at(F.array(*[F.lit(s) for s in SCALES]), F.col("level") + 1) / F.element_at(F.array(*[F.lit(s) for s in SCALES]), F.col("q_level") + 1)
-    angle = turn * F.lit(2 * np.pi / TURNS)
-    dx = F.col("x") - scale * (F.col("q_x") * F.cos(angle) - F.col("q_y") * F.sin(angle))
-    dy = F.col("y") - scale * (F.col("q_x") * F.sin(angle) + F.col("q_y") * F.cos(angle))
-    # each match votes for the four cells around its shift, so that no cell's edge parts those who agree
+                    n = len(s)
+                    found.append((np.full(n, i), np.arange(n), np.full(n, n), *s.T, np.full(n, image.shape[1] / 2), np.full(n, image.shape[0] / 2), *c.view(np.int64).T))
+            if found:
+                columns = (np.concatenate(c) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_pydict({name: pa.array(c.astype(kind)) for (name, kind), c in zip(_names(KEYPOINT).items(), columns, strict=True)})
+
+    return df.mapInArrow(run, KEYPOINT)
+
+
+def _radii(most_bits: int, exact: bool) -> list[int]:
+    """Bits to change in each part. That all parts differ by more needs more than most_bits, if `exact`."""
+    return [most_bits // len(PARTS) - (k > most_bits % len(PARTS)) if exact else 1 for k in range(len(PARTS))]
+
+
+def _part(codes: np.ndarray, part: tuple[int, int, int]) -> np.ndarray:
+    half, at, width = part
+    return ((codes[:, half] >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+class _Block:
+    """Descriptors by the bits of each part."""
+
+    def __init__(self, codes: np.ndarray, radii: list[int]):
+        self.codes, self.tables = codes, []
+        for part, radius in zip(PARTS, radii, strict=True):
+            if radius < 0:
+                continue
+            bits = _part(codes, part)
+            starts = np.concatenate([[0], np.cumsum(np.bincount(bits, minlength=1 << part[2]))]).astype(np.int32)
+            masks = [sum(1 << b for b in at) for k in range(radius + 1) for at in combinations(range(part[2]), k)]
+            self.tables.append((part, np.argsort(bits, kind="stable").astype(np.int32), starts, masks))
+
+    def near(self, codes: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of codes, row of the block) that meet and differ in most_bits at most."""
+        found = [np.zeros(0, dtype=np.int64)]
+        for part, order, starts, masks in self.tables:
+            bits = _part(codes, part)
+            for mask in masks:
+                at = bits ^ mask
+                first = starts[at]
+                count = starts[at + 1] - first
+                some = np.flatnonzero(count)
+                many = count[some]
+                row = np.repeat(some, many)
+                other = order[np.repeat(first[some] - np.cumsum(many) + many, many) + np.arange(row.size)]
+                differ = np.bitwise_count(codes[row] ^ self.codes[other]).sum(axis=1, dtype=np.int64)
+                good = differ <= most_bits
+                found.append(row[good] * self.codes.shape[0] + other[good])
+        return np.divmod(np.unique(np.concatenate(found)), max(1, self.codes.shape[0]))
+
+
+_PAIR = ", ".join(f"q_{field}" for field in KEYPOINT.split(", ")[:-2]) + ", " + ", ".join(KEYPOINT.split(", ")[:-2])
+
+
+def matches(index: DataFrame, block: DataFrame, most_bits: int = MOST_BITS, exact: bool = False) -> DataFrame:
+    """Pairs of keypoints of a block of queries (of bounded size) and of the index whose descriptors meet and are within most_bits."""
+    rows = block.toArrow()
+    shipped = index.sparkSession.sparkContext.broadcast({name: rows.column(name).to_numpy() for name in _names(KEYPOINT)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shipped.value
+        table_ = None
+        for whole in batches:
+            for k in range(0, whole.num_rows, GROUP):
+                batch = whole.slice(k, GROUP)
+                table_ = table_ or _Block(np.stack([asked["d0"], asked["d1"]], axis=1).view(np.uint64), _radii(most_bits, exact))
+                codes = np.stack([batch.column(c).to_numpy() for c in ("d0", "d1")], axis=1).view(np.uint64)
+                own, other = table_.near(codes, most_bits)
+                names = list(_names(KEYPOINT))[:-2]
+                columns = {f"q_{c}": pa.array(asked[c][other]) for c in names} | {c: batch.column(c).take(pa.array(own)) for c in names}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return index.mapInArrow(run, _PAIR)
+
+
+def search(scratch: Scratch, index: DataFrame, queries: DataFrame, most_bits: int = MOST_BITS, votes: int = VOTES, share: float = VOTE_SHARE, exact: bool = False, block: int = BLOCK) -> DataFrame:
+    """(query, image, votes, dx, dy) of queries and images (both keypoint tables) whose keypoints agree; queries are dealt into blocks by hash."""
+    blocks = max(1, -(-queries.count() // block))
+    of = F.pmod(F.xxhash64("id", "k"), F.lit(blocks))
+    found = None
+    for k in range(blocks):
+        pairs = scratch.keep(matches(index, queries.filter(of == k), most_bits, exact), f"pairs-{k}")
+        found = pairs if found is None else found.unionByName(pairs)
+    return consensus(found, votes, share)
+
+
+def consensus(pairs: DataFrame, votes: int = VOTES, share: float = VOTE_SHARE) -> DataFrame:
+    """(query, image, votes, dx, dy) of pairs of images with enough matches that agree on the place of the query's centre, the scale and the turn."""
+    levels = F.col("level") - F.col("q_level")
+    scale, turn = F.pow(F.lit(STEP), levels), F.col("turn") - F.col("q_turn")
+    ux, uy = (F.col(f"q_c{c}") - F.col(f"q_{c}") for c in "xy")
+    at = {"x": F.col("x") + scale * (ux * F.cos(turn) - uy * F.sin(turn)), "y": F.col("y") + scale * (ux * F.sin(turn) + uy * F.cos(turn))}
+    part = F.pmod(turn / (2 * np.pi), F.lit(1.0)) * TURNS
+    # each match votes for the cells around its own values, so that no cell's edge parts those who agree
     near = lambda d: F.array(F.floor(d / SHIFT_BIN), F.floor(d / SHIFT_BIN + 0.5) + F.lit(1_000_000))
-    cells = pairs.select("q_id", "id", "q_x", "q_y", F.round(scale, 3).alias("scale"), turn.alias("turn"), dx.alias("dx"), dy.alias("dy"))
-    cells = cells.withColumn("bx", F.explode(near(F.col("dx")))).withColumn("by", F.explode(near(F.col("dy"))))
-    counted = cells.groupBy("q_id", "id", "scale", "turn", "bx", "by").agg(F.count_distinct("q_x", "q_y").alias("votes"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
-    best = counted.filter(F.col("votes") >= votes).groupBy("q_id", "id").agg(F.max(F.struct("votes", "dx", "dy")).alias("b"))
+    cells = pairs.select("q_id", "id", "q_k", "q_x", "q_y", F.least("q_n", "n").alias("least"), *[(at[c] - F.col(f"q_c{c}")).alias(f"d{c}") for c in "xy"], levels.alias("levels"), part.alias("part"), *[near(at[c]).alias(f"b{c}") for c in "xy"])
+    cells = cells.withColumn("scale", F.explode(F.array(F.col("levels"), F.col("levels") + 1)))
+    cells = cells.withColumn("turn", F.explode(F.array(F.floor("part") % TURNS, F.floor(F.col("part") + 0.5) % TURNS + 1000)))
+    cells = cells.withColumn("bx", F.explode("bx")).withColumn("by", F.explode("by"))
+    extent = F.max("q_x") - F.min("q_x") + F.max("q_y") - F.min("q_y")
+    counted = cells.groupBy("q_id", "id", "scale", "turn", "bx", "by").agg(F.count_distinct("q_k").alias("votes"), F.first("least").alias("least"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"), extent.alias("extent"))
+    best = counted.filter((F.col("votes") >= votes + share * F.col("least")) & (F.col("extent") >= 2 * PATCH)).groupBy("q_id", "id").agg(F.max(F.struct("votes", "dx", "dy")).alias("b"))
     return best.select(F.col("q_id").alias("query"), F.col("id").alias("image"), "b.votes", "b.dx", "b.dy")
 
 
-def _classes(scratch: Scratch, images: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(id, class) of all rows, and (id, image) of one row of each class."""
+def image_classes(scratch: Scratch, images: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(id, class) of all rows, and (id, image) of one row of each class. Classes are found by digests alone, images stay where they are."""
     keyed = images.withColumn("digest", F.sha2("image", 256))
-    classes = scratch.keep(keyed.groupBy("digest").agg(F.min("id").alias("class"), F.first("image").alias("image")), name)
-    return keyed.select("id", "digest").join(classes.select("digest", "class"), "digest", "left").select("id", F.coalesce("class", "id").alias("class")), classes.filter("digest IS NOT NULL AND class IS NOT NULL").select(F.col("class").alias("id"), "image")
+    rows = scratch.keep(keyed.select("id", "digest"), f"{name}-digests")
+    repeated = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("class"), F.count("*").alias("rows")).filter("rows > 1")
+    repeated = scratch.keep(repeated, f"{name}-repeated")
+    members = join_left(rows, repeated, ["digest"], "rows").select("id", F.coalesce("class", "id").alias("class"))
+    ones = join_left(keyed, repeated, ["digest"], "rows").filter("id IS NOT NULL AND digest IS NOT NULL AND (class IS NULL OR class = id)").select("id", "image")
+    return members, ones
 
 
-def image_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, match_id, votes, dx, dy): for every row of queries, the classes of images that it is a copy of. Both are (id, image)."""
+def image_copies(images: DataFrame, queries: DataFrame, exact: bool = False) -> DataFrame:
+    """(role, id, class_id, votes, dx, dy). Rows of the role `match` name, for every row of queries, a class of images that it is a copy of (null, once, if
+    there is none), and how far its centre moved; rows of the role `member` name the class of every row of images. Both inputs are (id, image)."""
     scratch = Scratch(images.sparkSession, "images")
-    _, ones = _classes(scratch, images, "index-classes")
-    members, asked = _classes(scratch, queries, "query-classes")
-    found = search(scratch.keep(described(ones), "index"), scratch.keep(described(asked), "queries"))
-    out = members.select(F.col("id").alias("query_id"), F.col("class").alias("query")).join(found, "query")
-    return out.select("query_id", F.col("image").alias("match_id"), "votes", F.round("dx", 2).alias("dx"), F.round("dy", 2).alias("dy"))
+    members, ones = image_classes(scratch, images, "index")
+    rows, asked = image_classes(scratch, queries, "query")
+    found = search(scratch, scratch.keep(described(ones), "index"), scratch.keep(described(asked), "queries"), exact=exact)
+    matched = rows.select("id", F.col("class").alias("query")).join(found, "query", "left")
+    matched = matched.select(F.lit("match").alias("role"), "id", F.col("image").alias("class_id"), "votes", F.round("dx", 2).alias("dx"), F.round("dy", 2).alias("dy"))
+    return matched.unionByName(members.select(F.lit("member").alias("role"), "id", F.col("class").alias("class_id")), allowMissingColumns=True)
 
 
 def painted(seed: bytes, side: int = 64) -> np.ndarray:
@@ -201,7 +275,7 @@ def painted(seed: bytes, side: int = 64) -> np.ndarray:
     rng = np.random.default_rng(np.frombuffer(seed, dtype=np.uint8))
     out = np.full((side, side), 128.0)
     for cells in (8, 16, 32):
-        out += _resized(rng.normal(0, 30, (cells + 1, cells + 1)), cells / side)[:side, :side]
+        out += resized(rng.normal(0, 30, (cells + 1, cells + 1)), side, side)
     for _ in range(8):
         x, y = rng.integers(0, side - 6, 2)
         w, h = rng.integers(6, side // 2, 2)
@@ -209,26 +283,47 @@ def painted(seed: bytes, side: int = 64) -> np.ndarray:
     return np.clip(_smooth(out), 0, 255)
 
 
-def edited(image: np.ndarray) -> np.ndarray:
-    """A cropped and darker copy."""
-    return np.clip(image[6:-5, 4:-7] * 0.8 + 10, 0, 255)
+def turned(image: np.ndarray, angle: float) -> np.ndarray:
+    """An image turned about its centre, in a frame of the same size; what comes into the frame is black."""
+    height, width = image.shape
+    v, u = np.mgrid[:height, :width] - np.array([(height - 1) / 2, (width - 1) / 2])[:, None, None]
+    rows, columns = (height - 1) / 2 - u * np.sin(angle) + v * np.cos(angle), (width - 1) / 2 + u * np.cos(angle) + v * np.sin(angle)
+    inside = (rows >= 0) & (rows <= height - 1) & (columns >= 0) & (columns <= width - 1)
+    return np.where(inside, sampled(image.astype(float), rows, columns), 0)
+
+
+def edited(image: np.ndarray, kind: int = 0) -> np.ndarray:
+    """A copy that is cropped and darker, turned, smaller, larger, noisy, or half as wide and high: the kind modulo 6."""
+    image = image.astype(float)
+    if kind % 6 == 1:
+        image = turned(image, kind * 0.1)
+    elif kind % 6 in (2, 3):
+        image = resized(_smooth(image), *(round(n * (0.75, 1.4)[kind % 6 - 2]) for n in image.shape))
+    elif kind % 6 == 4:
+        image = image + np.random.default_rng(kind).normal(0, 10, image.shape)
+    elif kind % 6 == 5:
+        image = image[image.shape[0] // 4 : -(image.shape[0] // 4), image.shape[1] // 4 : -(image.shape[1] // 4)]
+    else:
+        image = image[6:-5, 4:-7] * 0.8 + 10
+    return np.clip(np.rint(image), 0, 255)
 
 
 def painted_images(df: DataFrame, id_col: str, seed_col: str, edit: bool = False) -> DataFrame:
-    """(id, image) of rows, painted from their values."""
+    """(id, image) of rows, painted from their values; with `edit` copies of these, edited in the way of their first value's bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for seed in batch.column(1).to_pylist():
-                image = painted(np.asarray([0.0 if v is None else v for v in seed], dtype="<f4").tobytes()) if seed else None
-                out.append(None if image is None else write_pgm(edited(image) if edit else image))
+                raw = np.asarray([0.0 if v is None else v for v in seed], dtype="<f4").tobytes() if seed else b""
+                image = painted(raw) if raw else None
+                out.append(None if image is None else write_pgm(edited(np.rint(image), int.from_bytes(raw[:4], "little") >> 4) if edit else np.rint(image)))
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "image": pa.array(out, pa.binary())})
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(seed_col).cast("array<float>").alias("seed")).mapInArrow(run, "id long, image binary")
 
 
 def op9_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Edited copies of the images of every row whose id is divisible by 50, searched in the images of all rows."""
+    """Edited copies of the images of every row whose id is divisible by 50, searched in the images of all rows; and the classes of all rows."""
     rows = table(spark, sf_dir, "embeddings")
     return image_copies(painted_images(rows, "vec_id", "embedding"), painted_images(rows.filter("vec_id % 50 = 0"), "vec_id", "embedding", edit=True))

@@ -99,9 +99,8 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         yield rows, np.insert(h, first[1:], END_WORD), first + np.arange(first.size)
 
 
-def _models(df: DataFrame, lexicon, start: np.ndarray, bounds: np.ndarray) -> DataFrame:
-    """(part, weight, moves): how far a model of each task's texts is from `start`, in PARTS parts."""
-    shipped = df.sparkSession.sparkContext.broadcast((start, bounds))
+def _models(df: DataFrame, lexicon, shipped) -> DataFrame:
+    """(part, weight, moves): how far a model of each task's texts is from the one that is shipped, in PARTS parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = gru.Trainer(*shipped.value)
@@ -134,7 +133,10 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def trained(df: DataFrame, lexicon, start: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """`start` and the average of the tasks' moves; one model comes to the driver."""
-    rows = _models(df, lexicon, start, bounds).repartition(min(PARTS, spread(df.sparkSession)), "part").mapInArrow(_average, "part int, moves binary").collect()
+    shipped = df.sparkSession.sparkContext.broadcast((start, bounds))
+    with shuffles_end(df.sparkSession):
+        rows = _models(df, lexicon, shipped).repartition(min(PARTS, spread(df.sparkSession)), "part").mapInArrow(_average, "part int, moves binary").collect()
+    shipped.destroy()  # its files would stay with the executors
     if not rows:
         return start
     return start + np.concatenate([np.frombuffer(r["moves"], dtype="<f4") for r in sorted(rows, key=lambda r: r["part"])])
@@ -143,9 +145,7 @@ def trained(df: DataFrame, lexicon, start: np.ndarray, bounds: np.ndarray) -> np
 _SCORED = "row long, id {}, held_out boolean, n_tokens long, n_head long, n_other long, logs double, head_logs double, other_logs double, tail array<long>"
 
 
-def _scored(df: DataFrame, lexicon, model: np.ndarray, bounds: np.ndarray, kind: str) -> DataFrame:
-    shipped = df.sparkSession.sparkContext.broadcast((model, bounds))
-
+def _scored(df: DataFrame, lexicon, shipped, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         model, bounds = shipped.value
@@ -197,9 +197,10 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train:
     model = gru.fresh(counts=by_rank, bounds=bounds)
     share = F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        with shuffles_end(df.sparkSession):
-            model = trained(texts.filter(share == k).select("text").coalesce(max(1, -(-tokens // (ROUNDS * MODEL_WORDS)))), shipped, model, bounds)
-    rows = scratch.keep(_scored(docs, shipped, model, bounds, df.schema[id_col].dataType.simpleString()), "scored")
+        model = trained(texts.filter(share == k).select("text").coalesce(max(1, -(-tokens // (ROUNDS * MODEL_WORDS)))), shipped, model, bounds)
+    last = df.sparkSession.sparkContext.broadcast((model, bounds))
+    rows = scratch.keep(_scored(docs, shipped, last, df.schema[id_col].dataType.simpleString()), "scored")
+    last.destroy()
     tail = rows.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("count", F.lit(0)) + 1.0)).alias("tail_logs"), F.count("count").alias("n_tail"))
     short = lexicon.ranks != gru.OTHER
