@@ -4,10 +4,11 @@ Keypoints are corners (local maxima of a structure-tensor response) on a pyramid
 is that of its patch's centroid; its descriptor is 128 brightness comparisons at interpolated places that turn with the direction, so that it
 doesn't change with rotation or brightness.
 
-Search. A descriptor has six parts of 21 or 22 bits. Query descriptors go to all tasks in blocks of BLOCK keypoints, as a table by the bits of
-each part; a task asks them for the parts of its own descriptors with up to one bit changed, and compares all bits of what it meets. That finds a pair
-of descriptors surely if a part differs in one bit at most, and 95 of 100 pairs that differ in 12 bits of 128; `exact=True` changes as many bits as
-it takes (pigeonhole) to find all pairs within MOST_BITS. Nothing of the index is shuffled.
+Search. A descriptor has four parts of 32 bits. Query images go to all tasks in blocks of BLOCK keypoints, as a hash table
+of each part; a task asks them for the parts of its own descriptors as they are and with each bit changed, and compares all bits of what it meets:
+a pair of descriptors is found if a part differs in one bit at most. Short parts would find more pairs, but corners look alike: parts of 21 bits
+meet for 3 in 100 keypoints of unlike images, those of 32 for 15 in 10,000. `exact=True` compares all pairs instead. The index has a row for each image, so that its matches with a query are counted where
+they are found, and nothing of the index or of the matches is shuffled.
 
 Consensus. Matches vote for where the query's centre lies, for a scale and a turn, in cells that overlap by half. A copy needs VOTES
 keypoints that agree, and VOTE_SHARE of the keypoints of the image that has fewer; they mustn't lie within a patch of each other, as one
@@ -23,7 +24,6 @@ an id is in no class; large images are handled whole, their keypoints in groups;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +33,20 @@ from pyspark.sql import functions as F
 from .shared import Scratch, join_left, table
 
 STEP, LEVELS = 1.2, 5
-PATCH = 7
+PATCH = 8
 RESPONSE = 0.05
-MOST_BITS = 16
-VOTES, VOTE_SHARE = 6, 0.05
-#: Lowest bit and number of bits of the parts of a descriptor, three in each half.
-PARTS = tuple((half, at, width) for half in (0, 1) for at, width in ((0, 21), (21, 21), (42, 22)))
+MOST_BITS = 12
+VOTES, VOTE_SHARE = 5, 0.05
+PARTS, WIDTH = 4, 32
+#: Slots of the hash table of a part, as bits.
+SLOTS = 22
 TURNS = 24
 SHIFT_BIN = 6.0
-#: Query keypoints that are sent to all tasks at once, 60 bytes each; index keypoints that are compared at once.
+#: Query keypoints that are sent to all tasks at once, 32 bytes each; index keypoints that are compared at once.
 BLOCK, GROUP = 1 << 17, 1 << 15
 
 _RNG = np.random.default_rng(20)
-_TESTS = np.clip(_RNG.normal(0, PATCH / 2.2, (128, 4)), -PATCH + 1, PATCH - 1)
+_TESTS = np.clip(_RNG.normal(0, PATCH / 2.25, (128, 4)), -PATCH + 1, PATCH - 1)
 _SIDE = np.arange(-PATCH + 1, PATCH)
 _DISC = _SIDE[:, None] ** 2 + _SIDE**2 <= (PATCH - 1) ** 2 + 1
 
@@ -111,7 +112,7 @@ def keypoints(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             level_image = resized(_smooth(level_image), *(max(2, round(n / STEP)) for n in level_image.shape))
         if min(level_image.shape) < 2 * PATCH + 3:
             break
-        x = _smooth(_smooth(level_image))
+        x = _smooth(level_image)
         all_rows, all_columns = _corners(x)
         for k in range(0, all_rows.size, 8192):
             ys, xs = all_rows[k : k + 8192], all_columns[k : k + 8192]
@@ -124,127 +125,156 @@ def keypoints(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(spots), np.concatenate(codes)
 
 
-KEYPOINT = "id long, k int, n int, x float, y float, level int, turn float, cx float, cy float, d0 long, d1 long"
-_NUMBERS = {"long": np.int64, "int": np.int32, "float": np.float32}
-
-
-def _names(schema: str) -> dict[str, type]:
-    return {name: _NUMBERS[kind] for name, kind in (field.split(" ") for field in schema.split(", "))}
+#: An image's keypoints: its centre, (x, y, level, turn) of each as 32-bit numbers, descriptors.
+IMAGE = "id long, n int, cx float, cy float, spots binary, codes binary"
 
 
 def described(df: DataFrame) -> DataFrame:
-    """A row for each keypoint of the images (id, image): its number among the image's n, its place, level and turn, the image's centre, its descriptor."""
+    """IMAGE rows of the images (id, image) that have keypoints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found: list[tuple] = []
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 image = read_pgm(raw.as_py())
                 if image is not None:
                     s, c = keypoints(image)
-                    n = len(s)
-                    found.append((np.full(n, i), np.arange(n), np.full(n, n), *s.T, np.full(n, image.shape[1] / 2), np.full(n, image.shape[0] / 2), *c.view(np.int64).T))
-            if found:
-                columns = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_pydict({name: pa.array(c.astype(kind)) for (name, kind), c in zip(_names(KEYPOINT).items(), columns, strict=True)})
+                    if len(s):
+                        found.append((i, len(s), image.shape[1] / 2, image.shape[0] / 2, s.astype("<f4").tobytes(), c.tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.float32(), pa.float32(), pa.binary(), pa.binary())
+            columns = list(zip(*found, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], [f.split(" ")[0] for f in IMAGE.split(", ")])
+
+    return df.mapInArrow(run, IMAGE)
+
 
-    return df.mapInArrow(run, KEYPOINT)
+class _Images:
+    """IMAGE rows as arrays: id, n and centre by image; owner, spot and code by keypoint."""
 
+    def __init__(self, rows: pa.RecordBatch | pa.Table):
+        self.id, self.n, cx, cy = (rows.column(k).to_numpy() for k in range(4))
+        self.centre = np.stack([cx, cy], axis=1).astype(float)
+        self.owner = np.repeat(np.arange(self.n.size), self.n)
+        self.spots = np.frombuffer(b"".join(rows.column(4).to_pylist()), dtype="<f4").reshape(-1, 4).astype(float)
+        self.codes = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype="<u8").reshape(-1, 2)
 
-def _radii(most_bits: int, exact: bool) -> list[int]:
-    """Bits to change in each part. That all parts differ by more needs more than most_bits, if `exact`."""
-    return [most_bits // len(PARTS) - (k > most_bits % len(PARTS)) if exact else 1 for k in range(len(PARTS))]
 
+def _part(codes: np.ndarray, k: int) -> np.ndarray:
+    return (codes[:, k // 2] >> np.uint64(WIDTH * (k % 2))) & np.uint64((1 << WIDTH) - 1)
 
-def _part(codes: np.ndarray, part: tuple[int, int, int]) -> np.ndarray:
-    half, at, width = part
-    return ((codes[:, half] >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+def _slot(bits: np.ndarray) -> np.ndarray:
+    return ((bits * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
 class _Block:
     """Descriptors by the bits of each part."""
 
-    def __init__(self, codes: np.ndarray, radii: list[int]):
-        self.codes, self.tables = codes, []
-        for part, radius in zip(PARTS, radii, strict=True):
-            if radius < 0:
-                continue
-            bits = _part(codes, part)
-            starts = np.concatenate([[0], np.cumsum(np.bincount(bits, minlength=1 << part[2]))]).astype(np.int32)
-            masks = [sum(1 << b for b in at) for k in range(radius + 1) for at in combinations(range(part[2]), k)]
-            self.tables.append((part, np.argsort(bits, kind="stable").astype(np.int32), starts, masks))
-
-    def near(self, codes: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row of codes, row of the block) that meet and differ in most_bits at most."""
-        found = [np.zeros(0, dtype=np.int64)]
-        for part, order, starts, masks in self.tables:
-            bits = _part(codes, part)
-            for mask in masks:
-                at = bits ^ mask
-                first = starts[at]
-                count = starts[at + 1] - first
+    def __init__(self, codes: np.ndarray, exact: bool = False):
+        self.codes, self.exact, self.tables = codes, exact, []
+        for k in range(0 if exact else PARTS):
+            slot = _slot(_part(codes, k))
+            starts = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=1 << SLOTS))]).astype(np.int32)
+            self.tables.append((np.argsort(slot, kind="stable").astype(np.int32), starts))
+
+    def _met(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates (row of codes, row of the block)."""
+        if self.exact:
+            for k in range(codes.shape[0]):
+                yield np.full(self.codes.shape[0], k), np.arange(self.codes.shape[0])
+        for k, (order, starts) in enumerate(self.tables):
+            bits = _part(codes, k)
+            for mask in (0, *(1 << b for b in range(WIDTH))):
+                slot = _slot(bits ^ np.uint64(mask))
+                first = starts[slot]
+                count = starts[slot + 1] - first
                 some = np.flatnonzero(count)
                 many = count[some]
                 row = np.repeat(some, many)
-                other = order[np.repeat(first[some] - np.cumsum(many) + many, many) + np.arange(row.size)]
-                differ = np.bitwise_count(codes[row] ^ self.codes[other]).sum(axis=1, dtype=np.int64)
-                good = differ <= most_bits
-                found.append(row[good] * self.codes.shape[0] + other[good])
-        return np.divmod(np.unique(np.concatenate(found)), max(1, self.codes.shape[0]))
+                yield row, order[np.repeat(first[some] - np.cumsum(many) + many, many) + np.arange(row.size)]
 
-
-_PAIR = ", ".join(f"q_{field}" for field in KEYPOINT.split(", ")[:-2]) + ", " + ", ".join(KEYPOINT.split(", ")[:-2])
+    def near(self, codes: np.ndarray, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of codes, row of the block) that meet and differ in most_bits at most."""
+        found = [np.zeros(0, dtype=np.int64)]
+        for row, other in self._met(codes):
+            differ = np.bitwise_count(codes[row] ^ self.codes[other]).sum(axis=1, dtype=np.int64)
+            good = differ <= most_bits
+            found.append(row[good] * np.int64(self.codes.shape[0]) + other[good])
+        return np.divmod(np.unique(np.concatenate(found)), max(1, self.codes.shape[0]))
 
 
-def matches(index: DataFrame, block: DataFrame, most_bits: int = MOST_BITS, exact: bool = False) -> DataFrame:
-    """Pairs of keypoints of a block of queries (of bounded size) and of the index whose descriptors meet and are within most_bits."""
-    rows = block.toArrow()
-    shipped = index.sparkSession.sparkContext.broadcast({name: rows.column(name).to_numpy() for name in _names(KEYPOINT)})
+def consensus(queries: _Images, images: _Images, q: np.ndarray, t: np.ndarray, votes: int = VOTES, share: float = VOTE_SHARE) -> tuple[np.ndarray, ...]:
+    """(query, image, votes, dx, dy), by place, of pairs of images with enough matches that agree on the place of the query's centre, the scale and the
+    turn; q and t are the keypoints of each match."""
+    pair = images.owner[t].astype(np.int64) * max(1, queries.n.size) + queries.owner[q]
+    _, back, count = np.unique(pair, return_inverse=True, return_counts=True)
+    some = count[back] >= votes
+    q, t, pair = q[some], t[some], pair[some]
+    a, b = queries.spots[q], images.spots[t]
+    levels, turn = (b[:, 2] - a[:, 2]).astype(np.int64), b[:, 3] - a[:, 3]
+    centre = queries.centre[queries.owner[q]]
+    (ux, uy), cos, sin, scale = (centre - a[:, :2]).T, np.cos(turn), np.sin(turn), STEP**levels
+    at = np.stack([b[:, 0] + scale * (ux * cos - uy * sin), b[:, 1] + scale * (ux * sin + uy * cos)])
+    part = turn / (2 * np.pi) % 1 * TURNS
+    # each match votes for the cells around its own values, so that no cell's edge parts those who agree
+    cells = []
+    for up, half, sx, sy in ((u, h, x, y) for u in (0, 1) for h in (0, 1) for x in (0, 1) for y in (0, 1)):
+        turns = np.floor(part + half / 2).astype(np.int64) % TURNS
+        places = [np.floor(v / SHIFT_BIN + s / 2).astype(np.int64) for v, s in zip(at, (sx, sy), strict=True)]
+        cells.append(np.stack([pair, levels + up, turns * 8 + half * 4 + sx * 2 + sy, *places], axis=1))
+    if not pair.size:
+        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, float, float))
+    every = np.concatenate(cells)
+    match = np.tile(np.arange(pair.size), len(cells))
+    order = np.lexsort((q[match], *every.T[::-1]))  # by cell, then by keypoint of the query
+    every, match = every[order], match[order]
+    head = np.concatenate([[True], (every[1:] != every[:-1]).any(axis=1)])
+    fresh = head | np.concatenate([[True], q[match[1:]] != q[match[:-1]]])
+    first = np.flatnonzero(head)
+    number = np.add.reduceat(fresh.astype(np.int64), first)
+    size = np.diff(np.append(first, match.size))
+    spread = sum(np.maximum.reduceat(v, first) - np.minimum.reduceat(v, first) for v in a[match, :2].T)
+    image, query = np.divmod(every[first, 0], queries.n.size)
+    least = np.minimum(images.n[image], queries.n[query])
+    good = np.flatnonzero((number >= votes + share * least) & (spread >= 2 * PATCH))
+    moved = [np.add.reduceat((v - c)[match], first) / size for v, c in zip(at, centre.T, strict=True)]
+    best = good[np.lexsort((first[good], -number[good], every[first[good], 0]))]
+    best = best[np.concatenate([[True], every[first[best[1:]], 0] != every[first[best[:-1]], 0]])] if best.size else best
+    return query[best], image[best], number[best], moved[0][best], moved[1][best]
+
+
+def found_in(index: DataFrame, block: DataFrame, most_bits: int = MOST_BITS, votes: int = VOTES, share: float = VOTE_SHARE, exact: bool = False) -> DataFrame:
+    """(query, image, votes, dx, dy) of a block of queries (of bounded size) and all images of the index."""
+    shipped = index.sparkSession.sparkContext.broadcast(block.toArrow().combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shipped.value
-        table_ = None
-        for whole in batches:
-            for k in range(0, whole.num_rows, GROUP):
-                batch = whole.slice(k, GROUP)
-                table_ = table_ or _Block(np.stack([asked["d0"], asked["d1"]], axis=1).view(np.uint64), _radii(most_bits, exact))
-                codes = np.stack([batch.column(c).to_numpy() for c in ("d0", "d1")], axis=1).view(np.uint64)
-                own, other = table_.near(codes, most_bits)
-                names = list(_names(KEYPOINT))[:-2]
-                columns = {f"q_{c}": pa.array(asked[c][other]) for c in names} | {c: batch.column(c).take(pa.array(own)) for c in names}
-                yield pa.RecordBatch.from_pydict(columns)
-
-    return index.mapInArrow(run, _PAIR)
-
-
-def search(scratch: Scratch, index: DataFrame, queries: DataFrame, most_bits: int = MOST_BITS, votes: int = VOTES, share: float = VOTE_SHARE, exact: bool = False, block: int = BLOCK) -> DataFrame:
-    """(query, image, votes, dx, dy) of queries and images (both keypoint tables) whose keypoints agree; queries are dealt into blocks by hash."""
-    blocks = max(1, -(-queries.count() // block))
-    of = F.pmod(F.xxhash64("id", "k"), F.lit(blocks))
+        queries = near = None
+        for batch in batches:
+            if near is None:
+                queries = _Images(shipped.value)
+                near = _Block(queries.codes, exact)
+            upto = np.cumsum(batch.column(1).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + GROUP, side="right")))
+                images = _Images(batch.slice(at, to - at))
+                own, other = near.near(images.codes, most_bits)
+                query, image, *rest = consensus(queries, images, other, own, votes, share)
+                yield pa.RecordBatch.from_pydict({"query": pa.array(queries.id[query]), "image": pa.array(images.id[image]), **{k: pa.array(v) for k, v in zip(("votes", "dx", "dy"), rest, strict=True)}})
+                at = to
+
+    return index.mapInArrow(run, "query long, image long, votes long, dx double, dy double")
+
+
+def search(scratch: Scratch, index: DataFrame, queries: DataFrame, block: int = BLOCK, **how) -> DataFrame:
+    """(query, image, votes, dx, dy) of queries and images (both IMAGE tables) whose keypoints agree; queries are dealt into blocks by hash."""
+    blocks = max(1, -(-(queries.agg(F.sum("n")).first()[0] or 0) // block))
+    of = F.pmod(F.xxhash64("id"), F.lit(blocks))
     found = None
     for k in range(blocks):
-        pairs = scratch.keep(matches(index, queries.filter(of == k), most_bits, exact), f"pairs-{k}")
-        found = pairs if found is None else found.unionByName(pairs)
-    return consensus(found, votes, share)
-
-
-def consensus(pairs: DataFrame, votes: int = VOTES, share: float = VOTE_SHARE) -> DataFrame:
-    """(query, image, votes, dx, dy) of pairs of images with enough matches that agree on the place of the query's centre, the scale and the turn."""
-    levels = F.col("level") - F.col("q_level")
-    scale, turn = F.pow(F.lit(STEP), levels), F.col("turn") - F.col("q_turn")
-    ux, uy = (F.col(f"q_c{c}") - F.col(f"q_{c}") for c in "xy")
-    at = {"x": F.col("x") + scale * (ux * F.cos(turn) - uy * F.sin(turn)), "y": F.col("y") + scale * (ux * F.sin(turn) + uy * F.cos(turn))}
-    part = F.pmod(turn / (2 * np.pi), F.lit(1.0)) * TURNS
-    # each match votes for the cells around its own values, so that no cell's edge parts those who agree
-    near = lambda d: F.array(F.floor(d / SHIFT_BIN), F.floor(d / SHIFT_BIN + 0.5) + F.lit(1_000_000))
-    cells = pairs.select("q_id", "id", "q_k", "q_x", "q_y", F.least("q_n", "n").alias("least"), *[(at[c] - F.col(f"q_c{c}")).alias(f"d{c}") for c in "xy"], levels.alias("levels"), part.alias("part"), *[near(at[c]).alias(f"b{c}") for c in "xy"])
-    cells = cells.withColumn("scale", F.explode(F.array(F.col("levels"), F.col("levels") + 1)))
-    cells = cells.withColumn("turn", F.explode(F.array(F.floor("part") % TURNS, F.floor(F.col("part") + 0.5) % TURNS + 1000)))
-    cells = cells.withColumn("bx", F.explode("bx")).withColumn("by", F.explode("by"))
-    extent = F.max("q_x") - F.min("q_x") + F.max("q_y") - F.min("q_y")
-    counted = cells.groupBy("q_id", "id", "scale", "turn", "bx", "by").agg(F.count_distinct("q_k").alias("votes"), F.first("least").alias("least"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"), extent.alias("extent"))
-    best = counted.filter((F.col("votes") >= votes + share * F.col("least")) & (F.col("extent") >= 2 * PATCH)).groupBy("q_id", "id").agg(F.max(F.struct("votes", "dx", "dy")).alias("b"))
-    return best.select(F.col("q_id").alias("query"), F.col("id").alias("image"), "b.votes", "b.dx", "b.dy")
+        part = scratch.keep(found_in(index, queries.filter(of == k), **how), f"found-{k}")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def image_classes(scratch: Scratch, images: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -274,9 +304,9 @@ def painted(seed: bytes, side: int = 64) -> np.ndarray:
     """A picture of clouds and rectangles that follows from bytes: the images of tables that have none."""
     rng = np.random.default_rng(np.frombuffer(seed, dtype=np.uint8))
     out = np.full((side, side), 128.0)
-    for cells in (8, 16, 32):
-        out += resized(rng.normal(0, 30, (cells + 1, cells + 1)), side, side)
-    for _ in range(8):
+    for cells, depth in ((6, 25), (12, 35), (20, 45)):
+        out += resized(rng.normal(0, depth, (cells + 1, cells + 1)), side, side)
+    for _ in range(6):
         x, y = rng.integers(0, side - 6, 2)
         w, h = rng.integers(6, side // 2, 2)
         out[y : y + h, x : x + w] += rng.integers(-60, 61)

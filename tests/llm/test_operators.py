@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -546,28 +547,58 @@ EDITS = {
 
 @pytest.mark.parametrize("name", EDITS)
 def test_index_finds_what_brute_force_finds(spark, name):
-    n = 12
+    n = 40
     index, queries = _pictures(spark, n, EDITS[name])
-    differ = F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("q_d1")))
-    every = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).crossJoin(index).filter(differ <= image_copies.MOST_BITS)
-    pairs = lambda x: {(r["query"], r["image"]) for r in x.collect()}
-    want, got = pairs(image_copies.consensus(every)), pairs(image_copies.search(Scratch(spark, "t"), index, queries, block=1000))
+    some, every = (image_copies._Images(x.toArrow().combine_chunks()) for x in (queries, index))
+    own, other = np.nonzero(np.bitwise_count(every.codes[:, None] ^ some.codes[None]).sum(axis=2) <= image_copies.MOST_BITS)
+    query, image, *_ = image_copies.consensus(some, every, other, own)
+    want = {(int(some.id[q]), int(every.id[i])) for q, i in zip(query, image, strict=True)}
+    got = {(r["query"], r["image"]) for r in image_copies.search(Scratch(spark, "t"), index, queries, block=1000).collect()}
     assert got <= want and len(got) >= 0.9 * len(want) and len(got) >= 0.9 * n
     assert want <= {(i, i) for i in range(n)}
 
 
-def test_exact_search_misses_no_pair_within_the_bits(spark):
+def test_votes_are_those_of_a_count_by_hand():
+    rng = np.random.default_rng(4)
+    pictures = [np.rint(image_copies.painted(rng.bytes(16))) for _ in range(3)]
+
+    def images(frames):
+        rows = [(i, *image_copies.keypoints(p.astype(np.uint8)), p.shape) for i, p in enumerate(frames)]
+        return image_copies._Images(pa.table({"id": [i for i, *_ in rows], "n": [len(s) for _, s, _, _ in rows], "cx": [h[1] / 2 for *_, h in rows], "cy": [h[0] / 2 for *_, h in rows], "spots": [s.astype("<f4").tobytes() for _, s, _, _ in rows], "codes": [c.tobytes() for _, _, c, _ in rows]}))
+
+    some, every = images([image_copies.edited(p, k) for k, p in enumerate(pictures)]), images(pictures)
+    own, other = image_copies._Block(some.codes, exact=True).near(every.codes)
+    got = {(int(q), int(i)): (int(v), float(dx), float(dy)) for q, i, v, dx, dy in zip(*image_copies.consensus(some, every, other, own), strict=True)}
+    assert set(got) == {(i, i) for i in range(3)}
+    for (query, image), (votes, dx, dy) in got.items():
+        cells: dict = {}
+        for q, t in zip(other, own, strict=True):
+            if some.owner[q] != query or every.owner[t] != image:
+                continue
+            (x, y, level, turn), (x2, y2, level2, turn2) = some.spots[q], every.spots[t]
+            ux, uy, a, s = some.centre[query][0] - x, some.centre[query][1] - y, turn2 - turn, image_copies.STEP ** (level2 - level)
+            at = x2 + s * (ux * math.cos(a) - uy * math.sin(a)), y2 + s * (ux * math.sin(a) + uy * math.cos(a))
+            part = a / (2 * math.pi) % 1 * image_copies.TURNS
+            for key in itertools.product((0, 1), repeat=4):
+                cell = (key, level2 - level + key[0], math.floor(part + key[1] / 2) % image_copies.TURNS, *(math.floor(v / image_copies.SHIFT_BIN + k / 2) for v, k in zip(at, key[2:], strict=True)))
+                cells.setdefault(cell[:0] + (key[1:], *cell[1:]), set()).add(int(q))
+        assert votes == max(len(v) for v in cells.values())
+        assert query != 0 or (dx, dy) == (pytest.approx(4, abs=0.7), pytest.approx(6, abs=0.7))  # what the crop took away on the left and above
+
+
+def test_exact_search_misses_no_pair_within_the_bits():
     rng = np.random.default_rng(12)
-    codes = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
+    codes = rng.integers(0, 1 << 63, (200, 2), dtype=np.uint64)
     near = codes.copy()
-    for i in range(60):  # all of these differ in just as many bits as are allowed
+    for i in range(200):  # all of these differ in just as many bits as are allowed
         for b in rng.choice(128, image_copies.MOST_BITS, replace=False):
             near[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    frame = lambda x: spark.createDataFrame([(i, 0, 1, 0.0, 0.0, 0, 0.0, 0.0, 0.0, *x.view(np.int64)[i].tolist()) for i in range(60)], image_copies.KEYPOINT)
-    found = {(r["q_id"], r["id"]) for r in image_copies.matches(frame(codes), frame(near), exact=True).collect()}
-    assert found == {(i, i) for i in range(60)}
-    some = {(r["q_id"], r["id"]) for r in image_copies.matches(frame(codes), frame(near)).collect()}
-    assert some < found and len(some) >= 0.6 * 60
+    pairs = lambda exact: {(int(a), int(b)) for a, b in zip(*image_copies._Block(near, exact).near(codes), strict=True)}
+    assert pairs(True) == {(i, i) for i in range(200)}
+    assert pairs(False) < pairs(True)
+    one = codes.copy()
+    one[:, 0] ^= np.uint64(1 << 50)  # a bit of the second part alone: the others meet as they are
+    assert {(int(a), int(b)) for a, b in zip(*image_copies._Block(one).near(codes), strict=True)} == {(i, i) for i in range(200)}
 
 
 def test_a_stamp_leaves_keypoints():
