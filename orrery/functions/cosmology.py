@@ -51,6 +51,19 @@ class Cosmology:
     def chi2z(self, chi):
         return np.interp(chi, self.chi_table, self.z_table)
 
+    def chi_interpolator(self, zmax: float = 1100.0, n: int = 1000):
+        """z to distance, linear between n equal steps of log a up to zmax; the last pieces go on beyond."""
+        z = np.sort(1 / np.logspace(-np.log10(1 + zmax), 0, n) - 1)
+        z[0] = 0.0
+        chi = self.z2chi(z)
+
+        def chiofz(at):
+            at = np.asarray(at, dtype=float)
+            i = np.clip(np.searchsorted(z, at, side="right") - 1, 0, n - 2)
+            return chi[i] + (at - z[i]) * (chi[i + 1] - chi[i]) / (z[i + 1] - z[i])
+
+        return chiofz
+
     def transfer(self, k: np.ndarray) -> np.ndarray:
         """The fit without wiggles, 1 at small k."""
         p, t = self.params, self.params["TCMB"] / 2.7
@@ -113,6 +126,16 @@ def interpolated(column: Column, xs: np.ndarray, ys: np.ndarray) -> Column:
     return look(column.cast("double"))
 
 
+def applied(column: Column, function) -> Column:
+    """A numpy function of one array, as a column; null stays null."""
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series(np.where(v.isna(), np.nan, function(v.fillna(0.0).to_numpy())), index=v.index)
+
+    return F.nanvl(run(column.cast("double")), F.lit(None).cast("double"))
+
+
 def chi_of_z(z: Column, cosmo: Cosmology) -> Column:
     return interpolated(z, cosmo.z_table, cosmo.chi_table)
 
@@ -121,18 +144,6 @@ def z_of_chi(chi: Column, cosmo: Cosmology) -> Column:
     return interpolated(chi, cosmo.chi_table, cosmo.z_table)
 
 
-def lookup(df, column: str, xs, ys, out: str):
-    """Linear interpolation as a join: intervals of a small table by lead, ends held; for tables that are DataFrames or SQL."""
-    spark = df.sparkSession
-    xs, ys = list(map(float, xs)), list(map(float, ys))
-    rows = [(None, xs[0], xs[0], ys[0], xs[0] + 1.0, ys[0])] + [(a, b, a, ya, b, yb) for a, b, ya, yb in zip(xs, xs[1:], ys, ys[1:], strict=False)] + [(xs[-1], None, xs[-1], ys[-1], xs[-1] + 1.0, ys[-1])]
-    table = spark.createDataFrame(rows, "lo double, hi double, x0 double, y0 double, x1 double, y1 double")
-    c = F.col(column).cast("double")
-    inside = (F.col("lo").isNull() | (c >= F.col("lo"))) & (F.col("hi").isNull() | (c < F.col("hi")))
-    value = F.col("y0") + (c - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
-    return df.join(F.broadcast(table), inside).withColumn(out, value).drop("lo", "hi", "x0", "y0", "x1", "y1")
-
-
 def outer_redshift(cosmo: Cosmology, box: float) -> float:
     """The redshift at 0.98 of a box's side, in Mpc/h."""
     return float(cosmo.chi2z(0.98 * box / cosmo.params["h"]))

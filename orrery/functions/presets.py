@@ -23,24 +23,27 @@ COSMOLOGIES = {
     DEFAULT_COSMOLOGY: _BASE,
     "euclid-flagship": {"h": 0.67, "omegam": 0.32, "omegab": 0.049, "sigma8": 0.831, "As": 2.1e-9, "ns": 0.96, "mnu": 0.0587, "TCMB": 2.72548, "omegak": 0.0, "nnu": 3.044, "tau": 0.0543, "numnu": 1, "harchy": "normal", "k0phys": 0.05},
     "planck18": {"h": 0.6736, "ombh2": 0.02237, "omch2": 0.12, "As": 2.1e-9, "ns": 0.9649, "TCMB": 2.72548, "omegak": 0.0, "sigma8": None, "mnu": 0.06, "nnu": 3.046, "tau": 0.0544, "numnu": 3, "harchy": "normal", "k0phys": 0.05},
-    "lcdm": _BASE | {"description": "Standard LCDM cosmology based on DESI-DR2-Planck-ACT"},
-    "wcdm": _BASE | {"w0": -0.838, "wa": -0.62, "description": "wCDM cosmology with evolving dark energy"},
-    "phicdm": _BASE | {"phi_model": "quintessence", "phi_params": {"potential": "exponential", "lambda_phi": 0.1}, "description": "phiCDM cosmology with scalar field dark energy"},
+    "lcdm": _BASE | {"description": "A cosmological constant, with the densities of the default"},
+    "wcdm": _BASE | {"w0": -0.838, "wa": -0.62, "description": "Dark energy whose equation of state changes with time"},
+    "phicdm": _BASE | {"phi_model": "quintessence", "phi_params": {"potential": "exponential", "lambda_phi": 0.1}, "description": "Dark energy as a scalar field with an exponential potential"},
 }
 #: Names of parameters by category; a name that is in two belongs to the first.
 CATEGORIES = {
     "cosmological": (
-        "cosmology cosmo h H0 omegam omegab omegac omegal omegak ombh2 omch2 sigma8 As ns mnu nnu numnu tau TCMB harchy k0phys w0 wa phi_model phi_params effective_h effective_omegam effective_omegal"
-        " effective_sigma8 effective_ns omegal_calculated omegam_calculated sigma8_final sigma8_calculated_by_camb_before_norm sigma8_normalization_factor_applied"
-    ).split(),
+        "cosmology", "cosmo", "h", "H0", "omegam", "omegab", "omegac", "omegal", "omegak", "ombh2", "omch2", "sigma8", "As", "ns", "mnu", "nnu", "numnu", "tau", "TCMB",
+        "harchy", "k0phys", "w0", "wa", "phi_model", "phi_params", "effective_h", "effective_omegam", "effective_omegal", "effective_sigma8", "effective_ns",
+        "omegal_calculated", "omegam_calculated", "sigma8_final", "sigma8_calculated_by_camb_before_norm", "sigma8_normalization_factor_applied",
+    ),
     "slurm": (
-        "account partition qos nodes cpupert gpupern mem tlimit time_limit timelimit email mail_type mail_user job_name jobname jobname_template jobname_actual output error stdout stderr constraint reservation"
-        " sbatch interact interactive rundir scrdir scratch"
-    ).split(),
+        "account", "partition", "qos", "nodes", "cpupert", "gpupern", "mem", "tlimit", "time_limit", "timelimit", "email", "mail_type", "mail_user", "job_name",
+        "jobname", "jobname_template", "jobname_actual", "output", "error", "stdout", "stderr", "constraint", "reservation", "sbatch", "interact", "interactive",
+        "rundir", "scrdir", "scratch",
+    ),
     "simulation": (
-        "simname sim_preset N L nGrid dBoxSize boxsize dRedFrom dRedTo dRedshiftLCP nSteps nsteps iOutInterval iLPT dSigma8 dSpectral dOmega0 dLambda dOmegaDE w0 wa achOutName achTfFile bDoHalo bDumpFrame"
-        " bDoGas bDoStar bFeedback bOverwrite seed random_seed output_dir scratch_dir"
-    ).split(),
+        "simname", "sim_preset", "N", "L", "nGrid", "dBoxSize", "boxsize", "dRedFrom", "dRedTo", "dRedshiftLCP", "nSteps", "nsteps", "iOutInterval", "iLPT", "dSigma8",
+        "dSpectral", "dOmega0", "dLambda", "dOmegaDE", "w0", "wa", "achOutName", "achTfFile", "bDoHalo", "bDumpFrame", "bDoGas", "bDoStar", "bFeedback", "bOverwrite",
+        "seed", "random_seed", "output_dir", "scratch_dir",
+    ),
 }
 
 

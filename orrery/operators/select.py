@@ -53,6 +53,11 @@ def boxed(df: DataFrame, bounds: Sequence[tuple[float, float]]) -> DataFrame:
     return out.filter(in_shell(*bounds[3])) if len(bounds) > 3 else out
 
 
+def widened(bounds: Sequence[tuple[float, float]], offset: float = 0.0) -> list[tuple[float, float]]:
+    """A box in coordinates before the shift, a little wider than single precision needs: what a scan may leave out lies beyond."""
+    return [(lo + offset - 1e-5 * (1 + abs(lo)), hi + offset + 1e-5 * (1 + abs(hi))) for lo, hi in list(bounds)[:3]]
+
+
 def dataset_columns(name: str) -> list[str]:
     if name not in DATASETS:
         raise ValueError(f"Unknown dataset {name!r}: one of {sorted(DATASETS)}")
@@ -77,14 +82,21 @@ def lightcone_steps(steps: DataFrame, zmax: float) -> DataFrame:
     return steps.withColumn("z_before", before).filter((F.col("step") >= 1) & (F.col("z") <= F.lit(float(zmax))))
 
 
+def outside(box: float) -> Column:
+    """Whether a particle isn't in [0, box) on each axis; a coordinate that is null isn't."""
+    out = F.lit(False)
+    for c in AXES:
+        out = out | F.col(c).isNull() | (F.col(c) < 0) | (F.col(c) >= F.lit(float(box)))
+    return out
+
+
 def check_bounds(df: DataFrame, box: float) -> int:
     """The number of particles; raises if there are none, or one outside [0, box)."""
-    r = df.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    r = df.agg(F.count("*").alias("n"), F.count_if(outside(box)).alias("beyond")).first()
     if not r["n"]:
         raise ValueError("No particles")
-    for c in AXES:
-        if r[f"lo_{c}"] is None or r[f"lo_{c}"] < 0 or r[f"hi_{c}"] >= box:
-            raise ValueError(f"{c} is outside [0, {box})")
+    if r["beyond"]:
+        raise ValueError(f"{r['beyond']} particles are outside [0, {box})")
     return r["n"]
 
 

@@ -47,9 +47,8 @@ def _planes(ngrid: int, mean: float) -> Callable[[tuple, pa.Table], pa.Table]:
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         ix, iz, rho = (rows[c].to_numpy() for c in ("ix", "iz", "rho"))
-        plane = np.zeros((ngrid, ngrid))
         real = ix >= 0
-        np.add.at(plane, (ix[real], iz[real]), rho[real])
+        plane = np.bincount(ix[real].astype(np.int64) * ngrid + iz[real], weights=rho[real], minlength=ngrid * ngrid).reshape(ngrid, ngrid)
         out = np.fft.fft(np.fft.rfft(plane / mean - 1, axis=1), axis=0)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(part.T).ravel()), ngrid).cast(pa.list_(pa.float64())) for part in (out.real, out.imag)]
         return pa.table({"kz": pa.array(np.arange(half), pa.int32()), "iy": pa.array(np.full(half, key[0].as_py()), pa.int32()), "re": lists[0], "im": lists[1]})
@@ -114,7 +113,7 @@ def field(transformed: DataFrame, ngrid: int) -> DataFrame:
 
 
 def binned(cells: DataFrame, ngrid: int, box: float, edges: Sequence[float] | None = None, correct: str | None = None, mean: float | None = None) -> DataFrame:
-    """(bin, k, p, n_modes): mean wave number and power by bin, counts over the half space; empty bins have no row.
+    """(bin, k, p, n_modes) by ascending k: mean wave number and power by bin, counts over the half space; empty bins have no row.
 
     correct: the assignment whose window is divided out.
     """
@@ -137,7 +136,8 @@ def binned(cells: DataFrame, ngrid: int, box: float, edges: Sequence[float] | No
         return pa.table({"bin": some.astype(np.int32), "k": sums[0][some].astype(float), "p": sums[1][some].astype(float), "n": sums[2][some].astype(np.int64)})
 
     parts = _half_transformed(cells, ngrid, mean).groupBy("kz").applyInArrow(run, "bin int, k double, p double, n long")
-    return parts.groupBy("bin").agg((F.sum("k") / F.sum("n")).alias("k"), (F.sum("p") / F.sum("n")).alias("p"), F.sum("n").alias("n_modes"))
+    out = parts.groupBy("bin").agg((F.sum("k") / F.sum("n")).alias("k"), (F.sum("p") / F.sum("n")).alias("p"), F.sum("n").alias("n_modes"))
+    return out.coalesce(1).sortWithinPartitions("bin")  # a row for each bin, by ascending k
 
 
 def bin_modes(df: DataFrame, edges: Sequence[float]) -> DataFrame:

@@ -6,7 +6,7 @@ their orders, steps and variants over nations.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import presets
-from orrery.functions.cosmology import Cosmology, chi_of_z, lookup, z_of_chi
+from orrery.functions.cosmology import Cosmology, chi_of_z, z_of_chi
 from orrery.operators import campaign, grid, select, spectrum
-from orrery.sources import metadata, sinks
+from orrery.sources import metadata, sinks, storage
 from orrery.streaming.gridding import grid_to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,32 +161,35 @@ def _(spark, sf):
 
 
 _COSMOLOGY = Cosmology()
-#: A coarse table for lookups in SQL: every 250th entry of the full one.
-_PICK = np.r_[0 : _COSMOLOGY.z_table.size : 250, _COSMOLOGY.z_table.size - 1]
-_ZS, _CHIS = _COSMOLOGY.z_table[_PICK], _COSMOLOGY.chi_table[_PICK]
-_TABLE_SQL = "SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM (VALUES {}) t(x, y)"
 
 
-def lookup_sql(rows: str, column: str, xs, ys, out: str) -> str:
-    """Linear interpolation with ends that hold."""
-    t = _TABLE_SQL.format(", ".join(f"({num(a)}, {num(b)})" for a, b in zip(xs, ys, strict=True)))
-    value = f"CASE WHEN {column} < {num(xs[0])} THEN {num(ys[0])} WHEN {column} >= {num(xs[-1])} THEN {num(ys[-1])} ELSE y0 + ({column} - x0) * (y1 - y0) / (x1 - x0) END"
-    return f"SELECT r.*, {value} AS {out} FROM ({rows}) r LEFT JOIN ({t}) t ON {column} >= x0 AND {column} < x1"
+def distance_sql(c: Cosmology) -> str:
+    """(x, y): redshifts and comoving distances, by Simpson sums over 10,000 logarithmic steps."""
+    inverse = lambda z: f"1 / sqrt({num(c.omega_m)} * power(1 + {z}, 3) + {num(c.omega_r)} * power(1 + {z}, 4) + {num(c.omega_k)} * power(1 + {z}, 2) + {num(c.omega_l)})"
+    step = f"(z - b) * ({inverse('z')} + {inverse('b')} + 4 * {inverse('((z + b) / 2)')}) / 6"
+    grid_ = "SELECT z, coalesce(lag(z) OVER (ORDER BY z), 0) AS b FROM (SELECT power(CAST(10 AS DOUBLE), -5 + i * (log10(CAST(1100 AS DOUBLE)) + 5) / 9999) AS z FROM range(10000) r(i))"
+    return f"SELECT z AS x, sum({step}) OVER (ORDER BY z) * {num(299792.458 / (100 * c.params['h']))} AS y FROM ({grid_})"
 
 
-@query("q_step_shells", f"SELECT step, z, round(chi / {num(1050)}, 6) AS r FROM ({lookup_sql(STEPS, 'z', _ZS, _CHIS, 'chi')}) WHERE step >= 1")
+def lookup_sql(rows: str, column: str, points: str, out: str) -> str:
+    """Linear interpolation between points (x, y); below the first and above the last the end holds."""
+    t = f"SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1, first_value(y) OVER (ORDER BY x) AS least FROM ({points})"
+    value = f"CASE WHEN t.x0 IS NULL THEN (SELECT min_by(y, x) FROM ({points})) WHEN t.x1 IS NULL THEN t.y0 ELSE t.y0 + (r.{column} - t.x0) * (t.y1 - t.y0) / (t.x1 - t.x0) END"
+    return f"SELECT r.*, {value} AS {out} FROM ({rows}) r ASOF LEFT JOIN ({t}) t ON r.{column} >= t.x0"
+
+
+@query("q_step_shells", f"SELECT step, z, round(chi / {num(1050)}, 6) AS r FROM ({lookup_sql(STEPS, 'z', distance_sql(_COSMOLOGY), 'chi')}) WHERE step >= 1")
 def _(spark, sf):
-    out = lookup(steps(spark, sf), "z", _ZS, _CHIS, "chi")
-    return out.filter("step >= 1").select("step", "z", F.round(F.col("chi") / 1050.0, 6).alias("r"))
+    return steps(spark, sf).filter("step >= 1").select("step", "z", F.round(chi_of_z(F.col("z"), _COSMOLOGY) / 1050.0, 6).alias("r"))
 
 
-_CHI = f"SELECT c_custkey, CAST(c_custkey % 7000 AS DOUBLE) AS chi FROM customer"
+_CHI = "SELECT c_custkey, CAST(c_custkey % 7000 AS DOUBLE) AS chi FROM customer"
 
 
-@query("q_chi_to_z", f"SELECT c_custkey, round(z, 5) AS z FROM ({lookup_sql(_CHI, 'chi', _CHIS, _ZS, 'z')})")
+@query("q_chi_to_z", f"SELECT c_custkey, round(z, 6) AS z FROM ({lookup_sql(_CHI, 'chi', f'SELECT y AS x, x AS y FROM ({distance_sql(_COSMOLOGY)})', 'z')})")
 def _(spark, sf):
     rows = table(spark, sf, "customer").selectExpr("c_custkey", "CAST(c_custkey % 7000 AS DOUBLE) AS chi")
-    return lookup(rows, "chi", _CHIS, _ZS, "z").select("c_custkey", F.round("z", 5).alias("z"))
+    return rows.select("c_custkey", F.round(z_of_chi(F.col("chi"), _COSMOLOGY), 6).alias("z"))
 
 
 @query("q_distance_round_trip", f"SELECT step, z, true AS same FROM ({STEPS}) WHERE step < 24")
@@ -228,8 +231,8 @@ def _(spark, sf):
 # --- gridding ----------------------------------------------------------------------------------------------------------
 
 
-def ngp_sql(n: int = N, rows: str | None = None) -> str:
-    at = ", ".join(f"CAST(floor({c} / {num(L / n)}) AS INT) % {n} AS i{c}" for c in "xyz")
+def ngp_sql(n: int = N, rows: str | None = None, side: float = L) -> str:
+    at = ", ".join(f"CAST(floor({c} / {num(side / n)}) AS INT) % {n} AS i{c}" for c in "xyz")
     return f"SELECT ix, iy, iz, CAST(count(*) AS DOUBLE) AS rho FROM (SELECT {at} FROM ({rows or particles_sql()})) GROUP BY 1, 2, 3"
 
 
@@ -275,18 +278,15 @@ def _(spark, sf):
     schema = table(spark, sf, "lineitem").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/lineitem.parquet*")
     rows = stream.selectExpr(*[f"{_spot(h, L)} AS {c}" for c, h in zip("xyz", (_X, _Y, _Z), strict=True)])
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-stream-")
-    import uuid
-
-    return grid_to_table(rows, N, L, "ngp", f"{root}/stream-{uuid.uuid4().hex}")
+    return grid_to_table(rows, N, L, "ngp", f"{storage.shared_folder(spark)}/stream-{uuid.uuid4().hex}/grid")
 
 
 # --- spectra -----------------------------------------------------------------------------------------------------------
 
 
-def modes_sql(cells: str, n: int = N, correct: str | None = None) -> str:
+def modes_sql(cells: str, n: int = N, correct: str | None = None, side: float = L) -> str:
     """(k, p) of the half space, by a separable transform in three steps."""
-    along, up = spectrum.wave_numbers(n, L)
+    along, up = spectrum.wave_numbers(n, side)
     turn = lambda a, b: f"{num(2 * np.pi / n)} * (({a} * {b}) % {n})"
     axis = lambda name, ks: f"(VALUES {', '.join(f'({i}, {num(k)})' for i, k in enumerate(ks))}) {name}(i{name}, k{name})"
     every = f"(SELECT range AS i FROM range({n}))"
@@ -299,12 +299,12 @@ def modes_sql(cells: str, n: int = N, correct: str | None = None) -> str:
 
     w = "1"
     if correct:
-        sinc = lambda k: f"(CASE WHEN {k} = 0 THEN 1 ELSE sin({k} * {num(L / n / 2)}) / ({k} * {num(L / n / 2)}) END)"
+        sinc = lambda k: f"(CASE WHEN {k} = 0 THEN 1 ELSE sin({k} * {num(side / n / 2)}) / ({k} * {num(side / n / 2)}) END)"
         one = " * ".join(sinc(k) for k in ("kx", "ky", "kz"))
         w = f"(power({one}, {4 if correct == 'cic' else 2}) + {num(1e-16)})"
     return (
         f"WITH g AS ({cells}), dense AS ({dense}), s1 AS ({s1}), s2 AS ({step('s1', 'ix', 'iy, kz', 'kx')}), s3 AS ({step('s2', 'iy', 'kx, kz', 'ky')}) "
-        f"SELECT sqrt(kx * kx + ky * ky + kz * kz) AS k, (re * re + im * im) * {num(L**3 / n**6)} / {w} AS p "
+        f"SELECT sqrt(kx * kx + ky * ky + kz * kz) AS k, (re * re + im * im) * {num(side**3 / n**6)} / {w} AS p "
         f"FROM (SELECT x.kx, y.ky, z.kz, re, im FROM s3 JOIN {axis('x', along)} ON x.ix = s3.kx JOIN {axis('y', along)} ON y.iy = s3.ky JOIN {axis('z', up)} ON z.iz = s3.kz)"
     )
 
@@ -379,7 +379,7 @@ def _(spark, sf):
     return rounded(spectrum.bin_modes(rows, OWN_EDGES))
 
 
-@query("q_default_k_bins", f"SELECT * FROM (VALUES {', '.join(f'({i}, round({num(e)}, 9))' for i, e in enumerate(spectrum.default_edges(64, L)))}) t(edge, k)")
+@query("q_default_k_bins", "SELECT CAST(i AS INT) AS edge, round(power(CAST(10 AS DOUBLE), log10(2 * pi() / 100) + i * (log10(pi() * 64 / 100) - log10(2 * pi() / 100)) / 32), 9) AS k FROM range(33) r(i)")
 def _(spark, sf):
     return spark.createDataFrame([(i, float(e)) for i, e in enumerate(spectrum.default_edges(64, L))], "edge int, k double").select("edge", F.round("k", 9).alias("k"))
 
@@ -447,18 +447,30 @@ def _split_alias(text: str) -> list[str]:
     return [first, rest]
 
 
-_NAMES = sorted({n for names in presets.CATEGORIES.values() for n in names} | {"unknown", "rundirs"})
+#: Names of parameters by the number of a nation, and what category each must get.
+_KINDS = {"h": "cosmological", "w0": "cosmological", "ombh2": "cosmological", "phi_model": "cosmological", "nodes": "slurm", "mail_user": "slurm", "jobname_template": "slurm", "nGrid": "simulation", "iLPT": "simulation", "dOmega0": "simulation", "seed": "simulation", "unknown": "other", "rundirs": "other"}
+_NAME = f"list_extract(list_value({', '.join(repr(n) for n in _KINDS)}), n_nationkey % {len(_KINDS)} + 1)"
+_KIND = f"list_extract(list_value({', '.join(repr(k) for k in _KINDS.values())}), n_nationkey % {len(_KINDS)} + 1)"
+
+
+def _named(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.element_at(F.array(*[F.lit(n) for n in _KINDS]), F.col("n_nationkey") % len(_KINDS) + 1)
+    return table(spark, sf, "nation").select("n_nationkey", "n_regionkey", name.alias("name"))
 
 
-@query("q_param_categories", f"SELECT name, CASE {' '.join(f'WHEN name IN ({", ".join(repr(n) for n in names)}) THEN {kind!r}' for kind, names in presets.CATEGORIES.items())} ELSE 'other' END AS category FROM (VALUES {', '.join(f'({n!r})' for n in _NAMES)}) t(name)")
+@query("q_param_categories", f"SELECT n_nationkey, {_NAME} AS name, {_KIND} AS category FROM nation")
 def _(spark, sf):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", presets.category(F.col("name")).alias("category"))
+    return _named(spark, sf).select("n_nationkey", "name", presets.category(F.col("name")).alias("category"))
 
 
-@query("q_param_counts", "SELECT 3 AS n_cosmological, 2 AS n_slurm, 2 AS n_simulation, 1 AS n_other, 8 AS total, true AS valid")
+@query(
+    "q_param_counts",
+    f"SELECT n_regionkey, {', '.join(f"count(DISTINCT name) FILTER (WHERE category = '{k}') AS n_{k}" for k in ('cosmological', 'slurm', 'simulation', 'other'))}, count(DISTINCT name) AS total, "
+    f"count(DISTINCT name) FILTER (WHERE category = 'cosmological') BETWEEN 1 AND count(DISTINCT name) - 1 AS valid FROM (SELECT n_regionkey, {_NAME} AS name, {_KIND} AS category FROM nation) GROUP BY 1",
+)
 def _(spark, sf):
-    params = {"h": "0.7", "w0": "-1", "ns": "0.96", "nodes": "2", "email": "a@b", "nGrid": "1400", "iLPT": "3", "mine": "x"}
-    return presets.separation(spark.createDataFrame([(params,)], "params map<string,string>")).drop("params")
+    maps = _named(spark, sf).groupBy("n_regionkey").agg(F.map_from_entries(F.transform(F.collect_set("name"), lambda n: F.struct(n, F.lit("1")))).alias("params"))  # a few names
+    return presets.separation(maps).drop("params").select("n_regionkey", *[F.col(f"n_{k}").cast("long").alias(f"n_{k}") for k in ("cosmological", "slurm", "simulation", "other")], F.col("total").cast("long").alias("total"), "valid")
 
 
 @query(
@@ -496,7 +508,13 @@ def _(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", a.alias("lambda_"), b.alias("dark"))
 
 
-@query("q_omegas", f"SELECT name, round(om, 8) AS omega_m FROM (VALUES {', '.join(f'({n!r}, {num((presets.cosmology(n)["ombh2"] + presets.cosmology(n)["omch2"]) / presets.cosmology(n)["h"] ** 2)})' for n in presets.COSMOLOGIES)}) t(name, om)")
+_DENSITIES = ", ".join(f"('{n}', {v})" for n, v in {
+    "desi-dr2-planck-act-mnufree": "(0.022597077 + 0.11788858) / power(0.68906658, 2)", "euclid-flagship": "0.32", "planck18": "(0.02237 + 0.12) / power(0.6736, 2)",
+    "lcdm": "(0.022597077 + 0.11788858) / power(0.68906658, 2)", "wcdm": "(0.022597077 + 0.11788858) / power(0.68906658, 2)", "phicdm": "(0.022597077 + 0.11788858) / power(0.68906658, 2)",
+}.items())
+
+
+@query("q_omegas", f"SELECT name, round(CAST(om AS DOUBLE), 8) AS omega_m FROM (VALUES {_DENSITIES}) t(name, om)")
 def _(spark, sf):
     rows = [(n, *[float(presets.cosmology(n)[k]) for k in ("ombh2", "omch2", "h")]) for n in presets.COSMOLOGIES]
     df = spark.createDataFrame(rows, "name string, ombh2 double, omch2 double, h double")
@@ -510,7 +528,7 @@ def _(spark, sf):
     return rows.agg(targets.alias("targets"), ones.alias("steps"))
 
 
-@query("q_presets", f"SELECT * FROM (VALUES {', '.join(f'({n!r}, {p["dBoxSize"]}, {p["nGrid"]}, {p["nodes"]}, {p["tlimit"]!r})' for n, p in presets.SIMULATIONS.items())}) t(name, box, grid, nodes, tlimit)")
+@query("q_presets", "SELECT * FROM (VALUES ('S0-test', 525, 700, 1, '12:00:00'), ('S0-validation', 1050, 1400, 2, '48:00:00'), ('S0-scaling', 2100, 2800, 16, '48:00:00'), ('S0-production', 5250, 7000, 250, '48:00:00')) t(name, box, grid, nodes, tlimit)")
 def _(spark, sf):
     p = F.col("params")
     return presets.preset_table(spark, presets.SIMULATIONS).select("name", *[p[k].cast("int").alias(a) for k, a in (("dBoxSize", "box"), ("nGrid", "grid"), ("nodes", "nodes"))], p["tlimit"].alias("tlimit"))

@@ -21,7 +21,8 @@ class SimulationData:
         self.spark, self.first_chunk_only = spark, first_chunk_only
         self.params = metadata.load_parameters(spark, parameter_file)
         self.steps = metadata.step_log(spark, self.params.namespace + ".log")
-        self.cosmology = Cosmology(cosmology, h=self.params.h)
+        self.cosmology = Cosmology(cosmology, h=self.params.h, omegam=self.params.omegam)
+        self.chiofz = self.cosmology.chi_interpolator()
         self.units = self.params.h if chi_in_h_units else 1.0
 
     def parameters(self) -> dict:
@@ -29,19 +30,20 @@ class SimulationData:
 
     def shell(self, z_lo: float, z_hi: float) -> tuple[float, float]:
         """Radii of a shell between two redshifts, in box sides."""
-        lo, hi = (float(self.cosmology.z2chi(z)) * self.units / self.params.boxsize for z in (z_lo, z_hi))
+        lo, hi = (float(self.chiofz(z)) * self.units / self.params.boxsize for z in (z_lo, z_hi))
         return lo, hi
 
     def _files(self, fmt: formats.Format, step: int) -> list[str]:
         found = formats.chunk_files(fmt, self.params.namespace, step)
         return found[:1] if self.first_chunk_only else found
 
-    def _scan(self, fmt: formats.Format, steps: Sequence[int], dataset: str) -> DataFrame:
+    def _scan(self, fmt: formats.Format, steps: Sequence[int], dataset: str, within=()) -> DataFrame:
+        """Rows of the files of these steps; `within` is in the file's own coordinates."""
         files = [(f, s) for s in steps for f in self._files(fmt, s)]
         columns = select.dataset_columns(dataset)
         if missing := set(columns) - set(fmt.schema.names):
             raise ValueError(f"{fmt.name} files have no {sorted(missing)}")
-        return formats.read_records(self.spark, fmt.name, [f for f, _ in files], [s for _, s in files], columns)
+        return formats.read_records(self.spark, fmt.name, [f for f, _ in files], [s for _, s in files], columns, within=within)
 
     def fetch(self, bbox: Sequence[tuple[float, float]], dataset: str = "xvp", filetype: str = "tps", lightcone: bool = False, redshifts: Sequence[float] = (0.0,)) -> DataFrame:
         """Rows in a box. Snapshots have (box, z_requested, z_out), a box for each requested redshift; light cones are the union of their steps."""
@@ -50,14 +52,17 @@ class SimulationData:
         return self._lightcone(fmt, dataset, bbox) if lightcone else self._snapshots(fmt, dataset, bbox, redshifts)
 
     def _lightcone(self, fmt: formats.Format, dataset: str, bbox) -> DataFrame:
-        steps = select.lightcone_steps(self.steps, self.params.zmax).orderBy("step").collect()
+        steps = select.lightcone_steps(self.steps, self.params.zmax).orderBy("step").collect()  # a log of output times
         if fmt.sliced:
-            return select.boxed(self._scan(fmt, [s["step"] for s in steps], dataset), bbox)
-        out = None
-        for s in steps:  # a shell of its own for each step of the log
-            part = select.boxed(select.tiled(self._scan(fmt, [s["step"]], dataset)), [*bbox, self.shell(s["z"], s["z_before"])])
-            out = part if out is None else out.unionByName(part)
-        return self._scan(fmt, [], dataset) if out is None else out
+            return select.boxed(self._scan(fmt, [s["step"] for s in steps], dataset, select.widened(bbox)), bbox)
+        # one scan of all steps: each row meets the shell of its step
+        shells = [(s["step"], *self.shell(s["z"], s["z_before"])) for s in steps]
+        table = self.spark.createDataFrame(shells, "step int, shell_lo double, shell_hi double")
+        rows = self._scan(fmt, [s["step"] for s in steps], dataset).join(F.broadcast(table), "step")
+        out = select.boxed(select.tiled(rows), bbox)
+        if set(select.AXES) <= set(out.columns):
+            out = out.filter((select.radius() > F.col("shell_lo")) & (select.radius() <= F.col("shell_hi")))
+        return out.drop("shell_lo", "shell_hi")
 
     def _snapshots(self, fmt: formats.Format, dataset: str, bbox, redshifts: Sequence[float]) -> DataFrame:
         if fmt.name == "lcp":
@@ -65,7 +70,7 @@ class SimulationData:
         boxes = select.nearest_steps(self.spark, self.steps.filter("z IS NOT NULL"), redshifts)
         chosen = boxes.orderBy("box").collect()  # as many as were requested
         usable = sorted({r["step"] for r in chosen if r["step"] >= 1})
-        rows = select.boxed(select.shifted(self._scan(fmt, usable, dataset), fmt.offset), bbox)
+        rows = select.boxed(select.shifted(self._scan(fmt, usable, dataset, select.widened(bbox, fmt.offset)), fmt.offset), bbox)
         table = self.spark.createDataFrame([tuple(r) for r in chosen], "box int, z_requested double, step int, z_out double")
         return rows.join(F.broadcast(table), "step")
 

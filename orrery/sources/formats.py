@@ -1,13 +1,15 @@
-"""Fixed-record binary files of particles, light cones and halos, as a Spark data source.
+"""Fixed-record binary files of particles, light cones and halos, as a Spark data source that reads and writes them.
 
-A file is split into ranges of records; a task reads its range with one seek, and gives Arrow batches of declared types.
+A file is split into ranges of records; a task reads its range with one seek, and gives Arrow batches of declared types. Rows outside the
+box that a reader asks for are left out before they become Arrow rows. A writer's task makes a chunk of its partition, and the
+chunks get their names when all are done.
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import re
+import struct
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from . import storage
 
 #: Field (name, type, count) of each record in file order; sizes follow from them.
 _MOVES = [(c, "f4", 1) for c in ("x", "y", "z", "vx", "vy", "vz", "eps", "phi")]
@@ -74,14 +78,19 @@ def format_of(name: str) -> Format:
 
 def chunk_files(fmt: Format, namespace: str, step: int) -> list[str]:
     """Files of a step: chunks 0, 1, 2 and so on, up to the first gap."""
-    out: list[str] = []
-    while os.path.exists(path := fmt.file_name(namespace, step, len(out))):
+    there, out = set(storage.beside(f"{namespace}.{step:05d}")), []
+    while (path := fmt.file_name(namespace, step, len(out))) in there:
         out.append(path)
     return out
 
 
+def particle_count(fmt: Format, paths: Sequence[str]) -> int:
+    """Records of files by their sizes; nothing is read."""
+    return sum(fmt.rows_in(storage.file_size(p) or fmt.header) for p in paths)
+
+
 def steps_on_disk(namespace: str) -> list[int]:
-    found = (re.search(r"\.(\d{5})(?:\.|$)", p[len(namespace) :]) for p in glob.glob(glob.escape(namespace) + ".*"))
+    found = (re.search(r"\.(\d{5})(?:\.|$)", p[len(namespace) :]) for p in storage.beside(namespace + "."))
     return sorted({int(m[1]) for m in found if m})
 
 
@@ -94,7 +103,8 @@ class RecordRange(InputPartition):
 
 
 class ParticleSource(DataSource):
-    """Options: path (comma separated), type (tps, lcp or fof), step (of each path, comma separated), split (bytes in a range), columns."""
+    """Options: path (comma separated), type (tps, lcp or fof), step (of each path, comma separated), split (bytes in a range), columns,
+    within (low and high of x, y and z, comma separated: rows beyond are left out, those on the edges are kept)."""
 
     @classmethod
     def name(cls) -> str:
@@ -114,6 +124,9 @@ class ParticleSource(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return ParticleReader(dict(self.options), self._wanted())
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return ParticleWriter(dict(self.options), schema.names)
+
 
 class ParticleReader(DataSourceReader):
     def __init__(self, options: dict[str, str], wanted: list[str]):
@@ -122,34 +135,92 @@ class ParticleReader(DataSourceReader):
         steps = [int(s) for s in options.get("step", "").split(",") if s]
         self.steps = steps if len(steps) == len(self.paths) else [steps[0] if steps else 0] * len(self.paths)
         self.split = int(options.get("split", 64 << 20))
+        ends = [float(v) for v in options.get("within", "").split(",") if v]
+        self.within = list(zip("xyz", ends[::2], ends[1::2], strict=True)) if ends else []
 
     def partitions(self) -> Sequence[InputPartition]:
         at_once = max(1, self.split // self.fmt.record.itemsize)
         ranges = []
         for path, step in zip(self.paths, self.steps, strict=True):
-            rows = self.fmt.rows_in(os.path.getsize(path))
+            rows = self.fmt.rows_in(storage.file_size(path))
             ranges += [RecordRange(path, step, i, min(at_once, rows - i)) for i in range(0, rows, at_once)]
         return ranges or [RecordRange("", 0, 0, 0)]
 
     def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
         kind, batch = self.fmt.record, 1 << 16
-        done = 0
-        while done < partition.count:
-            n = min(batch, partition.count - done)
-            rows = np.fromfile(partition.path, dtype=kind, count=n, offset=self.fmt.header + (partition.first + done) * kind.itemsize)
-            columns = {}
-            for c in self.wanted:
-                values = rows[c].astype(rows[c].dtype.newbyteorder("="))
-                columns[c] = pa.array(values) if values.ndim == 1 else pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), pa.array(values.ravel()))
-            columns["step"] = pa.array(np.full(len(rows), partition.step, dtype=np.int32))
-            yield pa.RecordBatch.from_pydict(columns)
-            done += n
-
-
-def read_records(spark: SparkSession, kind: str, paths: Sequence[str], steps: Sequence[int] = (), columns: Sequence[str] = (), split: int = 64 << 20) -> DataFrame:
+        if not partition.count:
+            return
+        store, inside = storage.opened(partition.path)
+        with store.open_input_file(inside) as f:
+            f.seek(self.fmt.header + partition.first * kind.itemsize)
+            for done in range(0, partition.count, batch):
+                rows = np.frombuffer(f.read(min(batch, partition.count - done) * kind.itemsize), dtype=kind)
+                for c, low, high in self.within:
+                    rows = rows[(rows[c] >= low) & (rows[c] <= high)]
+                columns = {}
+                for c in self.wanted:
+                    values = rows[c].astype(rows[c].dtype.newbyteorder("="))
+                    columns[c] = pa.array(values) if values.ndim == 1 else pa.ListArray.from_arrays(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32), pa.array(values.ravel()))
+                columns["step"] = pa.array(np.full(len(rows), partition.step, dtype=np.int32))
+                yield pa.RecordBatch.from_pydict(columns)
+
+
+@dataclass
+class Chunk(WriterCommitMessage):
+    partition: int
+    path: str
+    count: int
+
+
+class ParticleWriter(DataSourceArrowWriter):
+    """Options: path (a namespace), type, step. Fields that the rows don't have are zero."""
+
+    def __init__(self, options: dict[str, str], names: list[str]):
+        self.fmt, self.names = format_of(options["type"]), names
+        self.namespace, self.step = options["path"], int(options.get("step", 0))
+        self.run = uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Chunk:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        path, count = f"{self.namespace}.part-{self.run}-{task.partitionId()}-{task.taskAttemptId()}", 0
+        store, inside = storage.opened(path)
+        with store.open_output_stream(inside) as f:
+            f.write(struct.pack(">d6i", 0.0, 0, 3, 0, 0, 0, 0)[: self.fmt.header])
+            for batch in iterator:
+                rows = np.zeros(batch.num_rows, dtype=self.fmt.record)
+                for c in set(self.names) & set(self.fmt.record.names):
+                    values = batch.column(self.names.index(c))
+                    rows[c] = values.to_numpy(zero_copy_only=False) if rows[c].ndim == 1 else np.array(values.to_pylist())
+                f.write(rows.tobytes())
+                count += batch.num_rows
+        return Chunk(task.partitionId(), path, count)
+
+    def commit(self, messages: list[Chunk | None]) -> None:
+        done = sorted((m for m in messages if m is not None), key=lambda m: m.partition)
+        for chunk, m in enumerate(done):
+            (store, old), (_, new) = storage.opened(m.path), storage.opened(self.fmt.file_name(self.namespace, self.step, chunk))
+            store.move(old, new)
+
+    def abort(self, messages: list[Chunk | None]) -> None:
+        for m in messages:
+            if m is not None:
+                store, path = storage.opened(m.path)
+                store.delete_file(path)
+
+
+def write_records(df: DataFrame, kind: str, namespace: str, step: int) -> None:
+    """A chunk file for each partition of df."""
+    df.sparkSession.dataSource.register(ParticleSource)
+    df.write.format("nbody").option("type", kind).option("step", step).mode("append").save(namespace)
+
+
+def read_records(spark: SparkSession, kind: str, paths: Sequence[str], steps: Sequence[int] = (), columns: Sequence[str] = (), split: int = 64 << 20, within: Sequence[tuple[float, float]] = ()) -> DataFrame:
     """Rows of binary files; no files give an empty frame with the same schema."""
     spark.dataSource.register(ParticleSource)
     reader = spark.read.format("nbody").option("type", kind).option("split", split).option("columns", ",".join(columns)).option("step", ",".join(map(str, steps)))
+    reader = reader.option("within", ",".join(repr(float(v)) for ends in within for v in ends))
     return reader.option("path", ",".join(paths)).load() if paths else reader.load()
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import storage
+
 #: Field of the parameters, key in the file, kind.
 REQUIRED = (("namespace", "achOutName", "str"), ("zmax", "dRedshiftLCP", "float"), ("boxsize", "dBoxSize", "int"), ("nsteps", "nSteps", "int"), ("omegam", "dOmega0", "float"), ("h", "h", "float"), ("ngrid", "nGrid", "int"))
 
@@ -52,7 +54,7 @@ class Parameters:
 
 
 def load_parameters(spark: SparkSession, path: str) -> Parameters:
-    if not Path(path).exists():
+    if storage.file_size(path) is None:
         raise FileNotFoundError(f"Parameter file not found: {path}")
     row = parse_parameters(spark.read.text(path, wholetext=True)).first()
     if row["missing"]:
@@ -62,7 +64,7 @@ def load_parameters(spark: SparkSession, path: str) -> Parameters:
 
 def step_log(spark: SparkSession, path: str) -> DataFrame:
     """(step, z): the second column of a log; rows count as steps from 0."""
-    if not Path(path).exists():
+    if storage.file_size(path) is None:
         raise FileNotFoundError(f"Log file not found: {path}")
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")) != "")))
     return whole.select(F.col("pos").alias("step"), F.split(F.trim(F.regexp_replace("col", r"\s+", " ")), " ")[1].try_cast("double").alias("z"))

@@ -96,3 +96,18 @@ def submit_job(script: str, runner: Callable[[list[str]], str] | None = None) ->
     run = runner or (lambda cmd: subprocess.run(cmd, capture_output=True, text=True, check=True).stdout)
     words = run(["sbatch", script]).split()
     return words[-1] if words[:3] == ["Submitted", "batch", "job"] else None
+
+
+def queue_codes(states: DataFrame, runner: Callable[[list[str]], str] | None = None) -> DataFrame:
+    """(job_id, code) of the jobs of states that the queue still knows: one command for each job of a campaign."""
+    run = runner or (lambda cmd: subprocess.run(cmd, capture_output=True, text=True, check=True, timeout=10).stdout)
+    found = []
+    for r in states.select("job_id").filter("job_id IS NOT NULL AND job_id NOT IN ('', 'N/A')").distinct().collect():
+        try:
+            code = run(["squeue", "-j", r["job_id"], "-h", "-o", "%T"]).strip()
+        except (OSError, subprocess.SubprocessError) as e:
+            print(f"job {r['job_id']}: {e}")
+            continue
+        if code:
+            found.append((r["job_id"], code))
+    return states.sparkSession.createDataFrame(found, "job_id string, code string")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from orrery.functions import presets
-from orrery.functions.cosmology import Cosmology, chi_of_z, lookup, outer_redshift
+from orrery.functions.cosmology import Cosmology, chi_of_z, outer_redshift
 from orrery.operators import campaign, grid, select, spectrum
 from orrery.plans import registry
 from orrery.sources import metadata, sinks
@@ -99,8 +99,10 @@ def test_cosmology(spark, tmp_path):
     df = spark.createDataFrame([(0.0,), (0.5,), (5.0,), (2000.0,)], "z double")
     got = [r[0] for r in df.select(chi_of_z(F.col("z"), c)).collect()]
     assert np.allclose(got, c.z2chi(np.array([0.0, 0.5, 5.0, 2000.0])))
-    joined = lookup(df, "z", c.z_table[::500], c.chi_table[::500], "chi").orderBy("z").collect()
-    assert joined[0]["chi"] == pytest.approx(c.chi_table[0]) and joined[-1]["chi"] == pytest.approx(c.chi_table[::500][-1])
+    steps = c.chi_interpolator()  # linear between 1000 scale factors, and on beyond the last
+    knots = 1 / np.logspace(-np.log10(1101), 0, 1000) - 1
+    assert steps(knots[500]) == pytest.approx(c.z2chi(knots[500])) and steps((knots[500] + knots[501]) / 2) == pytest.approx((c.z2chi(knots[500]) + c.z2chi(knots[501])) / 2)
+    assert steps(1200) > steps(1100)
     assert outer_redshift(c, 1050) == pytest.approx(float(c.chi2z(0.98 * 1050 / 0.6736)))
     sinks.write_transfer(c, str(tmp_path / "t.dat"))
     table = metadata.two_columns(spark, str(tmp_path / "t.dat"))
