@@ -2,7 +2,7 @@
 
 Words of the model are ranks: 0 is any word outside the shortlist, 1 the end of a text (also what comes before its first word), then words by
 frequency. Rank 0 is a class of its own; the others are cut into classes of neighbouring ranks, small ones of frequent words and large ones of rare
-words, so that a word costs about CLASSES plus 140 exponentials on average. The probability of a word is that of its class times that within the
+words, so that a word costs about CLASSES plus 180 exponentials on average. The probability of a word is that of its class times that within the
 class. A window touches few of the words: its gradient has rows of input vectors and of words, which Adagrad moves by one rate for each row; the
 dense parameters are moved by Adam.
 """
@@ -13,8 +13,8 @@ from heapq import heapreplace
 
 import numpy as np
 
-HIDDEN = 24
-CLASSES = 160
+HIDDEN = 16
+CLASSES = 128
 SHORTLIST = 1 << 16
 OTHER, END = 0, 1
 SHAPES = {
@@ -28,7 +28,7 @@ SHAPES = {
 DENSE = ("state", "to_class", "class_bias")
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 WINDOW = 16
-LANES = 512
+LANES = 1024
 RATE, ROW_RATE = 0.004, 0.1
 CLIP = 5.0
 #: Rows of class logits made at once.
@@ -231,14 +231,14 @@ class Trainer:
         self.words += stream.size
 
     def _step(self, g: Rows) -> None:
-        norm = float(np.sqrt(sum(float(x.ravel() @ x.ravel()) for parts in g.values() for _, x in parts)))
         self.steps += 1
         scale = np.float32(RATE * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps))
         for name, parts in g.items():
             for rows, x in parts:
-                if norm > CLIP:
-                    x *= CLIP / norm
                 if name in DENSE:
+                    norm = float(np.linalg.norm(x))
+                    if norm > CLIP:
+                        x *= CLIP / norm
                     mean, square = self.mean[name], self.square[name]
                     mean += 0.1 * (x - mean)
                     square += 0.001 * (x * x - square)
