@@ -9,12 +9,13 @@ the fewest errors stay.
 The base phrases are found as runs of equal words.
 
 Cases: a null, empty or blank text has no words, no labels and the score 0; of overlapping places of one label that with the fewest
-errors stays (the first one, if equal); very long texts are searched whole; repeated rows give repeated results; an empty table gives an
+errors stays (the first one, if equal); an error is a character, whatever its bytes (a byte in texts that aren't UTF-8); very long texts are searched whole; repeated rows give repeated results; an empty table gives an
 empty result; other columns don't matter. Positions are numbers of words, from 0.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -33,8 +34,8 @@ PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apach
 
 
 #: What tells licences of the cc family apart.
-CONDITIONS = {b"nc", b"nd", b"sa", b"noncommercial", b"noderivatives", b"noderivs", b"sharealike"}
-DIGITS = b"0123456789"
+CONDITIONS = {"nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike"}
+DIGITS = "0123456789"
 
 
 @dataclass(frozen=True)
@@ -46,20 +47,19 @@ class Notice:
     edits: int
     versioned: bool = False
 
-    def decides(self, found: bytes) -> bool:
+    def decides(self, found: str) -> bool:
         """Whether the whole words of a place have no other version and no other condition; lost or garbled ones are edits."""
         if self.versioned:
-            left = iter(c for c in self.words.encode() if c in DIGITS)
+            left = iter(c for c in self.words if c in DIGITS)
             if not all(c in left for c in found if c in DIGITS):  # in this order
                 return False
-        return not self.label.startswith("cc-") or not CONDITIONS & (set(found.split()) - set(self.words.encode().split()))
+        return not self.label.startswith("cc-") or not CONDITIONS & (set(found.split()) - set(self.words.split()))
 
     @property
-    def pieces(self) -> list[tuple[int, bytes]]:
-        """(offset, bytes) of edits + 1 pieces of about equal length."""
-        raw = self.words.encode()
-        cuts = [len(raw) * i // (self.edits + 1) for i in range(self.edits + 2)]
-        return [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    def pieces(self) -> list[tuple[int, str]]:
+        """(offset, text) of edits + 1 pieces of about equal length."""
+        cuts = [len(self.words) * i // (self.edits + 1) for i in range(self.edits + 2)]
+        return [(a, self.words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 NOTICES = (
@@ -67,23 +67,35 @@ NOTICES = (
     Notice("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit", 8),
     Notice("licensed under the apache license version 2 0", "apache-2", 3, versioned=True),
     Notice("licensed under cc by nc 4 0", "cc-by-nc", 1),
+    Notice("licensed under cc by sa 4 0", "cc-by-sa", 1),
+    Notice("licensed under cc by 4 0", "cc-by", 1),
     Notice("creative commons attribution noncommercial 4 0 international", "cc-by-nc", 4),
-    Notice("creative commons attribution 4 0 international", "cc-by", 3),
+    Notice("creative commons attribution noncommercial sharealike 4 0 international", "cc-by-nc-sa", 4),
+    Notice("creative commons attribution noderivatives 4 0 international", "cc-by-nd", 4),
     Notice("creative commons attribution sharealike 4 0 international", "cc-by-sa", 4),
+    Notice("creative commons attribution 4 0 international", "cc-by", 3),
     Notice("licensed under the gnu general public license version 3", "gpl-3", 4, versioned=True),
     Notice("licensed under the gnu general public license version 2", "gpl-2", 4, versioned=True),
+    Notice("under the terms of the gnu general public license as published by the free software foundation", "gpl", 6),
+    Notice("under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl", 6),
+    Notice("under the terms of the gnu affero general public license as published by the free software foundation", "agpl", 6),
     Notice("redistribution and use in source and binary forms with or without modification are permitted", "bsd", 8),
+    Notice("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", 8),
     Notice("subject to the terms of the mozilla public license v 2 0", "mpl-2", 4, versioned=True),
+    Notice("made available under the terms of the eclipse public license v 2 0", "epl-2", 4, versioned=True),
+    Notice("distributed under the boost software license version 1 0", "bsl-1", 4, versioned=True),
+    Notice("this software is provided as is without any express or implied warranty in no event will the authors be held liable", "zlib", 8),
+    Notice("dedicated to the public domain under the cc0 1 0 universal", "cc0", 4),
     Notice("this is free and unencumbered software released into the public domain", "unlicense", 6),
 )
 
 
 @cache
 def _pattern(notice: Notice) -> regex.Pattern:
-    return regex.compile(b"(?b)(?:%s){e<=%d}" % (regex.escape(notice.words.encode(), literal_spaces=True), notice.edits))
+    return regex.compile(f"(?b)(?:{regex.escape(notice.words, literal_spaces=True)}){{e<={notice.edits}}}")
 
 
-def _fuzzy(text: bytes, notices: tuple[Notice, ...]) -> list[tuple[int, int, int, Notice]]:
+def _fuzzy(text: str, notices: tuple[Notice, ...]) -> list[tuple[int, int, int, Notice]]:
     """(start, end, errors, notice) in the normalised text of many documents, which are lines."""
     found = []
     for notice in notices:
@@ -92,9 +104,9 @@ def _fuzzy(text: bytes, notices: tuple[Notice, ...]) -> list[tuple[int, int, int
             at = text.find(piece)
             while at >= 0:
                 lo, hi = max(0, at - offset - notice.edits), at - offset + length + notice.edits
-                line = text.rfind(b"\n", lo, at) + 1
+                line = text.rfind("\n", lo, at) + 1
                 lo = max(lo, line)
-                end = text.find(b"\n", at, hi)
+                end = text.find("\n", at, hi)
                 hi = hi if end < 0 else end
                 if (lo, hi) not in done:
                     done.add((lo, hi))
@@ -102,21 +114,34 @@ def _fuzzy(text: bytes, notices: tuple[Notice, ...]) -> list[tuple[int, int, int
                         found.append((m.start(), m.end(), sum(m.fuzzy_counts), notice))
                 at = text.find(piece, at + 1)
     best: list[tuple[int, int, int, Notice]] = []
-    for s, e, errors, notice in sorted(found, key=lambda x: (x[3].label, x[2], x[0], -x[1])):
-        if not any(b[3].label == notice.label and s < b[1] and b[0] < e for b in best[-8:]):
+    taken: dict[str, list[tuple[int, int]]] = {}  # by label: places that don't overlap, in order
+    for s, e, errors, notice in sorted(found, key=lambda x: (x[2], x[0], -x[1], x[3].words)):
+        places = taken.setdefault(notice.label, [])
+        k = bisect_left(places, (s, e))
+        if not (k and places[k - 1][1] > s) and not (k < len(places) and places[k][0] < e):
+            insort(places, (s, e))
             best.append((s, e, errors, notice))
     return _nearest(best)
 
 
-def _whole_words(text: bytes, start: int, end: int) -> bytes:
+def _whole_words(text: str, start: int, end: int) -> str:
     """The words that a place has letters of."""
-    while start and text[start] not in b" \n" and text[start - 1] not in b" \n":
+    while start and text[start] not in " \n" and text[start - 1] not in " \n":
         start -= 1
-    while end < len(text) and text[end - 1] not in b" \n" and text[end] not in b" \n":
+    while end < len(text) and text[end - 1] not in " \n" and text[end] not in " \n":
         end += 1
     return text[start:end]
 
 
+def _characters(raw: np.ndarray) -> tuple[str, np.ndarray]:
+    """(text, the number of characters before each byte and behind the last one)."""
+    try:
+        text, first = raw.tobytes().decode(), (raw & 0xC0) != 0x80
+    except UnicodeDecodeError:
+        text, first = raw.tobytes().decode("latin-1"), np.ones(raw.size, dtype=bool)
+    return text, np.concatenate([[0], np.cumsum(first)])
+
+
 def _nearest(places: list[tuple[int, int, int, Notice]]) -> list[tuple[int, int, int, Notice]]:
     """Without the places that share half of the shorter one with a place of another label and fewer errors."""
     order, lost = sorted(places, key=lambda x: x[0]), set()
@@ -151,8 +176,10 @@ def scan(data: np.ndarray, offsets: np.ndarray, phrases=PHRASES, notices: tuple[
         text = np.full(int(after[-1]), 0x20, dtype=np.uint8)
         text[spans(after - length - 1, length)] = textops.LOWER[data[spans(start, length)]]
         text[after[np.append(first[1:][np.diff(first) > 0] - 1, -1)] - 1] = 0x0A
-        for s, e, errors, notice in _fuzzy(text.tobytes(), notices):
-            a, b = (int(np.searchsorted(after, x, side="right")) for x in (s, max(s, e - 1)))
+        whole, upto = _characters(text)
+        behind = upto[after]  # each word's end and blank, in characters
+        for s, e, errors, notice in _fuzzy(whole, notices):
+            a, b = (int(np.searchsorted(behind, x, side="right")) for x in (s, max(s, e - 1)))
             d = int(doc[a])
             spots[d].append({"label": notice.label, "first_word": a - int(first[d]), "last_word": b - int(first[d]), "errors": errors, "similarity": 1 - errors / len(notice.words), "text": data[start[a] : end[b]].tobytes().decode("utf-8", "replace")})
     return np.diff(first), base, spots
@@ -184,4 +211,4 @@ def license_notices(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
-    return license_notices(table(spark, sf_dir, "documents")).drop("notices")
+    return license_notices(table(spark, sf_dir, "documents"))
