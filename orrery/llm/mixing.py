@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, spread, table, word_count
+from .shared import Scratch, hashable, spread, table, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -37,15 +37,11 @@ def ordered_index(scratch: Scratch, rows: DataFrame, key: str) -> DataFrame:
     """rows with idx, their place by key (null last), from 0: sorted ranges and the counts of the ranges before."""
     order = F.col(key).asc_nulls_last()
     ranged = scratch.keep(rows.repartitionByRange(spread(scratch.spark), order).withColumn("part", F.spark_partition_id()), "ranged")
-    at, before = 0, []
-    for r in ranged.groupBy("part").count().orderBy("part").collect():  # a row for each range, not for each key
-        before += [F.lit(r["part"]), F.lit(at)]
-        at += r["count"]
-    if not before:
-        return ranged.drop("part").withColumn("idx", F.lit(0).cast("long"))
-    start = F.element_at(F.create_map(*before), F.col("part"))
+    # a row for each range, not for each key
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("part").count().select("part", before.alias("start"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(order))
-    return ranged.withColumn("idx", (start + place - 1).cast("long")).drop("part")
+    return ranged.withColumn("place", place).join(F.broadcast(starts), "part").withColumn("idx", (F.col("start") + F.col("place") - 1).cast("long")).drop("part", "start", "place")
 
 
 def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -121,17 +117,13 @@ def rounded(scratch: Scratch, groups: DataFrame, cap: int = CAP, repairs: int =
     return out.drop("target")
 
 
-def _salt(id_col: str, salts: int) -> Column:
-    return F.pmod(F.xxhash64(id_col, "size"), F.lit(salts)).cast("int")
-
-
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False, salts: int = SALTS) -> DataFrame:
     """Each document with size, source_size, target and copies; with `carry` also its row, as a struct."""
     scratch = Scratch(df.sparkSession, "mix")
     names = [F.col(f"`{c}`") for c in df.columns]
     whole = [F.struct(*names).alias("row")] if carry else []
-    base = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *whole)
-    base = base.withColumn("salt", _salt("id", salts))
+    base = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col, *hashable(df)).alias("tie"), *whole)
+    base = base.withColumn("salt", F.pmod("tie", F.lit(salts)).cast("int"))  # by contents as well: rows of one id are spread
     # texts aren't written again: their sizes are counted once more where rows are carried
     sizes = scratch.keep(base.drop("row"), "sizes")
     rows = base if carry else sizes
@@ -145,8 +137,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     earlier = Window.partitionBy("idx", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).join(plan, ["idx", "size"])
     placed = rows.join(index, same).drop("of")
-    ties = [F.xxhash64("row")] if carry else []
-    inside = Window.partitionBy("idx", "size", "salt").orderBy(F.col("id").asc_nulls_last(), *ties)
+    inside = Window.partitionBy("idx", "size", "salt").orderBy(F.col("id").asc_nulls_last(), "tie")
     placed = placed.withColumn("place", F.row_number().over(inside) - 1)
     out = placed.join(offsets.select("idx", "size", "salt", "before", "n", "copies"), ["idx", "size", "salt"])
     exact = F.expr("((before + place + 1) * copies) div n - ((before + place) * copies) div n")

@@ -1,23 +1,27 @@
 """Exact similarity join on word shingles: documents whose sets have a Jaccard similarity of at least 0.8.
 
 1. Sets. Words are hashed in whole row groups; a document's set is its sorted distinct 64-bit shingle hashes. Documents with equal sets
-   are one node (of the least id) from here on.
+   are one node (named by a 64-bit digest of the set) from here on.
 2. Tiles. Two sets of that similarity share one of their first n - ceil(0.8 n) + 1 shingles in any common order, here
    rarest first by a counting sketch of fixed width over all shingles (an order needs no exact counts). A tile holds the sets that have one
-   shingle among their first, by size; only neighbours in size (within 0.8) can be similar.
-3. Bounds. Blocks of a tile's rows are compared with blocks that are near in size: hashed bitmaps give an upper bound of the overlap from their
-   differing bits. Each row gives its best partner that the bound allows, so that a tile makes no more pairs than it has rows. Only sets with such
-   a partner go on.
+   shingle among their first; only sets that are near in size (within 0.8) can be similar. Shingles whose count in the sketch is high may have tiles of
+   any size: these are dealt into blocks by hash, so that no task gets a whole tile. A sketch has room for few of them.
+3. Bounds. The rows of a block are compared by hashed bitmaps (bits are parities): each differing bit is an element that one side lacks, which bounds the
+   overlap from above. Each row gives its best partner that the bound allows, so that a block makes no more pairs than it has rows. Only sets with
+   such a partner go on to the next rounds, and those in tiles of several blocks.
 4. Rounds. The best partner of each set is verified by intersecting the sorted arrays, and links join components (by pointer jumping). Then the same
-   again between different components only, until a round finds no link.
-5. Last round. All pairs of different components that share a tile and pass the bound are verified: what is left there are near misses.
+   again, in other blocks, between different components only, until a round finds no link. A large group of copies becomes one component in these
+   rounds at the cost of a few links for each of its sets.
+5. Last round. All pairs of different components that share a tile and pass the bound are verified. In each tile the largest component is set
+   apart: only the other sets are compared, with each other and with it, so that a tile costs as many rows as it has for each block of
+   others. What is left there are near misses.
 
-Pairs in one component aren't compared any more, as nothing depends on them, so that a group of copies costs about a link for each copy in a round; no pair
-of different components is left out.
+Pairs in one component aren't compared any more, as nothing depends on them; no pair of different components is left out.
 
 Cases: a null, empty or blank text has no shingles and is linked with nothing (its component is its own id); fewer than five words are one shingle; equal rows
-are equal documents; rows of the same id are one document; a null id names no document: such a row gets the component of equal
-documents, else null; an empty table gives an empty result; other columns don't matter.
+are equal documents; rows of one id with different texts are documents each; a null id names no document: such a row gets the component of its links (the
+smallest id there), else null; an empty table gives an empty result; other columns don't matter. Digests of sets and hashes of shingles have 64 bits: among
+100 million different sets the chance of any collision is about 3e-4.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
 from .graph import components
-from .shared import Scratch, table
+from .shared import Scratch, hashable, join_left, table
 
 WORDS = 5
 SKETCH_BITS = 20
@@ -40,7 +44,10 @@ SKETCH_PARTS = 64
 BLOCK = 1024
 #: Rounds of best partners before all that is left is compared; a round without links ends them sooner.
 ROUNDS = 2
-MOST_BITS = 4096
+#: Bits of a bitmap at most. Those of sets of more than some 18,000 shingles can't differ in as many as it takes to leave a pair out, and all of theirs are intersected.
+MOST_BITS = 8192
+#: A shingle may have a large tile if it has this count in the sketch, above four times the mean.
+LARGE = 4096
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -79,16 +86,15 @@ def linked(common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """A hashed bitmap of a set, of about two bits for each element, as bytes."""
-    bits = min(MOST_BITS, max(64, 1 << int(2 * hashes.size - 1).bit_length()))
-    out = np.zeros(bits, dtype=np.uint8)
-    out[(hashes >> np.uint64(20)) & np.uint64(bits - 1)] = 1
-    return np.packbits(out, bitorder="little")
+    """A hashed bitmap of a set, of one to two bits for each element, as bytes: whether an odd number of elements falls on a bit."""
+    bits = min(MOST_BITS, max(64, 1 << int(hashes.size - 1).bit_length()))
+    odd = np.bincount(((hashes >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
 def fold(bits: np.ndarray, to: int) -> np.ndarray:
     """The bitmap of the same set with fewer bytes."""
-    return np.bitwise_or.reduce(bits.reshape(-1, to), axis=0) if bits.size > to else bits
+    return np.bitwise_xor.reduce(bits.reshape(-1, to), axis=0) if bits.size > to else bits
 
 
 def overlap_bounds(some: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int) -> np.ndarray:
@@ -135,28 +141,40 @@ def sketch(df: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
 
 
+_ROW = "id long, mark long, n long, node long, bits binary, prefix array<long>, large array<long>"
+
+
 def _rows(df: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(id, n, sig, bits, prefix) of each row with shingles; (id, 0) of others."""
+    """The node, size, bitmap and first shingles of each row (id, mark, text); large: those whose tiles may be large."""
     shipped = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shipped.value
-        last = np.uint64(counts.size - 1)
+        last, limit = np.uint64(counts.size - 1), LARGE + 4 * float(counts.mean())
         for rows, sets in _sets(batches):
-            n, sig, bits, prefix = [], [], [], []
+            n, node, bits, prefix, large = [], [], [], [], []
             for s in sets:
                 n.append(s.size)
-                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None)
-                bits.append(bitmap(s).tobytes() if s.size else None)
-                prefix.append(s[np.lexsort((s, counts[s & last]))[: prefix_size(s.size)]].view(np.int64) if s.size else None)
-            yield pa.RecordBatch.from_pydict({"id": rows.column(0), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "bits": pa.array(bits, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
+                if not s.size:
+                    for x in (node, bits, prefix, large):
+                        x.append(None)
+                    continue
+                often = counts[s & last]
+                order = np.lexsort((s, often))[: prefix_size(s.size)]
+                much = often[order] >= limit
+                node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                bits.append(bitmap(s).tobytes())
+                prefix.append(s[order[~much]].view(np.int64))
+                large.append(s[order[much]].view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (prefix, large)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), *lists], [f.split(" ")[0] for f in _ROW.split(", ")])
 
-    return df.mapInArrow(run, "id long, n long, sig binary, bits binary, prefix array<long>")
+    return df.mapInArrow(run, _ROW)
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, sets in _sets(batches):
-        yield pa.RecordBatch.from_pydict({"id": rows.column(0), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"node": rows.column(0), "hashes": pa.array([s.tobytes() for s in sets], pa.binary())})
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +191,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(scratch: Scratch, sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Links among pairs (a, b)."""
-    a, b = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"{x}_set")) for x in "ab")
+    a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"{x}_set")) for x in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set")
     return scratch.keep(both.mapInArrow(_verified, "a long, b long").distinct(), f"{name}-links")
 
@@ -199,10 +217,10 @@ class _Tile:
                 x, y, w, v = whole[i], whole[j], len(self.bits[i]) * 8, len(self.bits[j]) * 8
                 while w > v:
                     w //= 2
-                    x = (x >> w) | (x & ((1 << w) - 1))
+                    x = (x >> w) ^ (x & ((1 << w) - 1))
                 while v > w:
                     v //= 2
-                    y = (y >> v) | (y & ((1 << v) - 1))
+                    y = (y >> v) ^ (y & ((1 << v) - 1))
                 bound = min((a + b - (x ^ y).bit_count()) // 2, a, b)
                 if 9 * bound >= 4 * (a + b):
                     yield i, j, bound
@@ -295,26 +313,48 @@ def _compare(every: bool):
     return run
 
 
-def _pairs(tiles: DataFrame, found: DataFrame | None, bits: DataFrame, block: int, every: bool = False) -> DataFrame:
-    """Pairs (a, b, score) of different components that share a tile, fit in size and pass the bound."""
+def _compared(dealt: DataFrame, bits: DataFrame, every: bool = False) -> DataFrame:
+    """Pairs (a, b, score) of rows (key, low, high, side, node, n, component)."""
+    rows = dealt.join(bits, "node").select("key", "low", "high", "side", "node", "n", "component", "bits")
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "n", "node").mapInArrow(_compare(every), "a long, b long, score double")
+
+
+def _block(block: int, rows: Column, salt: int) -> Column:
+    """The block of a row: by hash, of as many blocks as the rows make."""
+    return F.pmod(F.xxhash64("node", "key", F.lit(salt)), F.ceil(rows / block)).cast("int")
+
+
+def _labelled(tiles: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
-        labelled = tiles.withColumn("component", F.col("node"))
-    else:
-        labelled = tiles.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return tiles.withColumn("component", F.col("node"))
+    return tiles.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _pairs(scratch: Scratch, tiles: DataFrame, found: DataFrame | None, bits: DataFrame, block: int, salt: int = 0) -> DataFrame:
+    """Pairs (a, b, score) of different components, fitting sizes and bounds that share a block of a tile: the best ones of each row."""
+    labelled = _labelled(tiles, found)
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).filter("x <> y").select("key", "rows")
-    rows = labelled.join(mixed, "key")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("n", "node")) - 1
-    rows = rows.withColumn("block", F.floor(place / block).cast("int")).withColumn("blocks", F.ceil(F.col("rows") / block).cast("int"))
-    # blocks with which a block can have pairs: all up to the last one that starts within the size ratio
-    ranges = rows.filter("blocks > 1").groupBy("key", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    ahead = ranges.select("key", F.col("block").alias("other"), F.col("least").alias("other_least"))
-    reach = ranges.join(ahead, "key").filter("other >= block AND 5 * most >= 4 * other_least").select("key", "block", "other")
-    low = reach.select("key", "block", F.col("block").alias("low"), F.col("other").alias("high"), F.lit(0).alias("side"))
-    high = reach.filter("other > block").select("key", F.col("other").alias("block"), F.col("block").alias("low"), F.col("other").alias("high"), F.lit(1).alias("side"))
-    single = rows.filter("blocks = 1").select("key", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"), "node", "n", "component")
-    several = rows.filter("blocks > 1").join(low.unionAll(high), ["key", "block"]).select("key", "low", "high", "side", "node", "n", "component")
-    dealt = single.unionAll(several).join(bits, "node").select("key", "low", "high", "side", "node", "n", "component", "bits")
-    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "n", "node").mapInArrow(_compare(every), "a long, b long, score double")
+    at = _block(block, F.col("rows"), salt)
+    rows = join_left(labelled, scratch.keep(mixed, f"mixed-{salt}"), ["key"], "rows").filter("rows IS NOT NULL")
+    return _compared(rows.select("key", at.alias("low"), at.alias("high"), F.lit(0).alias("side"), "node", "n", "component"), bits)
+
+
+def _all_pairs(scratch: Scratch, tiles: DataFrame, found: DataFrame, bits: DataFrame, block: int) -> DataFrame:
+    """All pairs (a, b, score) of different components, fitting sizes and bounds that share a tile. The largest component of a tile (side 1) isn't compared with itself."""
+    labelled = _labelled(tiles, found)
+    by_part = labelled.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    mixed = by_part.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("top"), F.max("rows").alias("top_rows"), (F.sum("rows") - F.max("rows")).alias("others")).filter("others > 0")
+    rows = join_left(labelled, scratch.keep(mixed, "mixed-last"), ["key"], "top_rows").filter("others IS NOT NULL").withColumn("is_top", F.col("component") == F.col("top"))
+    count = F.when(F.col("is_top"), F.col("top_rows")).otherwise(F.col("others"))
+    other_blocks, top_blocks = (F.ceil(F.col(c) / block).cast("int") for c in ("others", "top_rows"))
+    rows = rows.withColumn("block", _block(block, count, 0))
+    # blocks of others are 0, 1, 2, those of the largest component follow; a row goes to each tile that has its block: (low, high), low one of the others
+    lows = F.sequence(F.lit(0), other_blocks - 1)
+    as_top = F.transform(lows, lambda low: F.struct(low.alias("low"), (other_blocks + F.col("block")).alias("high"), F.lit(1).alias("side")))
+    with_others = F.transform(lows, lambda x: F.struct(F.least(x, F.col("block")).alias("low"), F.greatest(x, F.col("block")).alias("high"), F.when(F.col("block") <= x, 0).otherwise(1).alias("side")))
+    with_top = F.transform(F.sequence(F.lit(0), top_blocks - 1), lambda x: F.struct(F.col("block").alias("low"), (other_blocks + x).alias("high"), F.lit(0).alias("side")))
+    dealt = rows.withColumn("tile", F.explode(F.when(F.col("is_top"), as_top).otherwise(F.concat(with_others, with_top))))
+    return _compared(dealt.select("key", "tile.low", "tile.high", "tile.side", "node", "n", "component"), bits, every=True)
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -333,53 +373,92 @@ def _joined(scratch: Scratch, found: DataFrame, links: DataFrame, name: str) ->
     return scratch.keep(moved.unionAll(alone), f"{name}-found")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id): a row for each row of df."""
-    scratch = Scratch(df.sparkSession, "jaccard")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, text): rows with one id and mark are equal."""
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def _nodes(scratch: Scratch, rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row of each node. First shingles stay where they are, but those of nodes of several rows."""
+    every = join_left(rows.filter("n > 0"), repeated, ["node"], "members")
+    chosen = every.filter(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))
+    names = ("node", "id", "mark", "n", "bits", "prefix", "large")
+    return scratch.keep(every.filter("members IS NULL").select(*names).unionByName(chosen.select(*names).dropDuplicates(["node"])), "nodes")
+
+
+def _sets_of(scratch: Scratch, docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes) of the wanted nodes, from a row of each."""
+    key = F.xxhash64("id", "mark")
+    asked = scratch.keep(nodes.select("node", key.alias("key")).join(wanted, "node", "left_semi").withColumn("weight", F.lit(1)), "asked")
+    texts = join_left(docs.withColumn("key", key), asked, ["key"], "weight").filter("node IS NOT NULL")
+    sets = scratch.keep(texts.select("node", "text").mapInArrow(_set_rows, "node long, hashes binary"), "sets")
+    if sets.groupBy("node").count().filter("count > 1").isEmpty():
+        return sets
+    return scratch.keep(sets.dropDuplicates(["node"]), "sets-once")  # rows that are repeated with their id
+
+
+def groups(scratch: Scratch, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, mark, n, component) of each row of `_documents`, a written table; component is null without shingles."""
     rows = scratch.keep(_rows(docs, sketch(docs.select("text"))), "rows")
-    classes = rows.filter("n > 0").groupBy("sig")
-    member = scratch.keep(classes.agg(F.min("id").alias("node")), "classes")
-    nodes = classes.agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).filter("node IS NOT NULL")
+    by_node = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("members"))
+    repeated = scratch.keep(by_node.filter("members > 1"), "repeated")
+    nodes = _nodes(scratch, rows, repeated)
+    every = scratch.keep(rows.select("id", "mark", "n", "node"), "documents")
+    scratch.drop("rows")
     entries = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    # what has a row of fitting size in its tile: by size, the nearest ones are its neighbours, so that no key's rows are gathered
+    # what has a row of fitting size in its tile: by size, the nearest ones are its neighbours
     by_size = Window.partitionBy("key").orderBy("n", "node")
     near = entries.select("key", "node", "n", F.lag("n").over(by_size).alias("before"), F.lead("n").over(by_size).alias("after"))
-    tiles = scratch.keep(near.filter("5 * before >= 4 * n OR 5 * n >= 4 * after").drop("before", "after"), "tiles")
-    shared = tiles.select("node").distinct()
-    bits = classes.agg(F.min("id").alias("node"), F.first("bits").alias("bits")).join(shared, "node", "left_semi")
-    bits = scratch.keep(bits, "bits")
-    every = scratch.keep(rows.select("id", "n", "sig"), "documents")
-    scratch.drop("rows")
-
-    pairs = scratch.keep(_pairs(tiles, None, bits, block), "pairs")
-    partnered = scratch.keep(pairs.select(F.col("a").alias("id")).distinct(), "partnered")
-    tiles = scratch.keep(tiles.join(partnered.withColumnRenamed("id", "node"), "node", "left_semi"), "tiles-kept")
+    near = near.filter("5 * before >= 4 * n OR 5 * n >= 4 * after").select("key", "node", "n")
+    tiles = scratch.keep(near.unionByName(nodes.select(F.explode("large").alias("key"), "node", "n")), "tiles")
+    bits = scratch.keep(nodes.join(tiles.select("node").distinct(), "node", "left_semi").select("node", "bits"), "bits")
+
+    pairs = scratch.keep(_pairs(scratch, tiles, None, bits, block), "pairs")
+    # sets that no bound links, in tiles of one block, have been compared with all of theirs
+    partnered = pairs.select(F.col("a").alias("node"))
+    wide = scratch.keep(tiles.groupBy("key").count().filter(F.col("count") > block), "wide")
+    partnered = scratch.keep(partnered.unionAll(join_left(tiles, wide, ["key"], "count").filter("count IS NOT NULL").select("node")).distinct(), "partnered")
+    tiles = scratch.keep(tiles.join(partnered, "node", "left_semi"), "tiles-kept")
     scratch.drop("tiles")
-    sets = scratch.keep(docs.join(partnered, "id", "left_semi").mapInArrow(_set_rows, "id long, hashes binary"), "sets")
+    sets = _sets_of(scratch, docs, nodes, partnered)
     found = components(scratch, _verify(scratch, sets, scratch.keep(_best(pairs), "best-0"), "round-0"), "found-0")
     for k in range(1, ROUNDS + 1):
-        links = _verify(scratch, sets, scratch.keep(_best(_pairs(tiles, found, bits, block)), f"best-{k}"), f"round-{k}")
+        links = _verify(scratch, sets, scratch.keep(_best(_pairs(scratch, tiles, found, bits, block, k)), f"best-{k}"), f"round-{k}")
         if links.isEmpty():
             break
         found = _joined(scratch, found, links, f"found-{k}")
-    last = scratch.keep(_pairs(tiles, found, bits, block, every=True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "last-pairs")
-    found = _joined(scratch, found, _verify(scratch, sets, last, "last"), "found-last")
-    member = scratch.keep(member.join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id")), "members")
-    out = every.join(member, "sig", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    last = _all_pairs(scratch, tiles, found, bits, block).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = _joined(scratch, found, _verify(scratch, sets, scratch.keep(last, "last-pairs"), "last"), "found-last")
+    heavy = scratch.keep(found.join(repeated.select("node", "members"), "node", "left").withColumn("members", F.coalesce("members", F.lit(1))), "heavy")
+    out = join_left(every, heavy, ["node"], "members").select("id", "mark", "n", F.coalesce("component", "node").alias("component"))
     out = scratch.keep(out, "result")
-    for name in ("documents", "tiles-kept", "bits", "pairs", "sets"):
-        scratch.drop(name)
+    scratch.drop_but("result")
     return out
 
 
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(id, n_shingles, component_id): a row for each row of df."""
+    scratch = Scratch(df.sparkSession, "jaccard")
+    rows = groups(scratch, _documents(df, id_col, text_col), block)
+    several = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    out = join_left(rows, scratch.keep(several, "several"), ["component"], "rows")
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("first", "id").alias("component_id"))
+
+
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one document of each group, that of the least id; rows without an id are in no group, and stay."""
-    names = df.columns
-    firsts = similar_groups(df, id_col, text_col).filter("id = component_id").select(F.col("id").alias("first_id")).distinct()
-    stay = df.join(firsts, df[id_col] == F.col("first_id"), "left_semi").select(F.col(id_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    one = stay.groupBy("key").agg(F.min("row").alias("row")).select("row.*")
-    return one.unionByName(df.filter(F.col(id_col).isNull()))
+    """df with one row of each group: that of the least id (rows without an id come last); rows without shingles are in no group, and stay."""
+    scratch = Scratch(df.sparkSession, "first")
+    rows = groups(scratch, _documents(df, id_col, text_col))
+    key, order = F.xxhash64("id", "mark"), F.struct(F.col("id").isNull(), "id", "mark")
+    several = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min_by(key, order).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    told = join_left(rows, scratch.keep(several, "several"), ["component"], "rows").filter("rows > 1").groupBy(key.alias("key")).agg(F.bool_and(key == F.col("first")).alias("stays"), F.count("*").alias("rows"))
+    told = scratch.keep(told, "told")  # rows of one key are equal in id and text
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    marked = df.select(whole, F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))).alias("key"), F.xxhash64(*hashable(df)).alias("tie"))
+    left = join_left(marked, told, ["key"], "rows").filter("stays IS NULL OR stays")
+    once = left.filter("rows IS NULL OR rows = 1").select("row")
+    return once.unionByName(left.filter("rows > 1").groupBy("key").agg(F.min_by("row", "tie").alias("row")).select("row")).select("row.*")
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

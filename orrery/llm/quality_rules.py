@@ -130,15 +130,14 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of df whose verdict is to keep them, with df's columns.
 
-    A row's verdict follows from its own measures and its host's verdict, so that no key of rows is needed: the measures give the hosts' verdicts,
-    and are made again where the rows are filtered, as that costs less than writing the texts once more.
+    Texts are measured once: rows that pass the base rules are written with their measures, as hosts' verdicts need all measures first.
     """
     scratch = Scratch(df.sparkSession, "quality-keep")
-    names = df.columns
-    hosts = measured(df.withColumn("_none", F.lit(None)), "_none", text_col, host_col).select("host", "soft")
-    verdicts = scratch.keep(host_verdicts(hosts, host_limit), "hosts")
-    full = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(host_col).cast("string").alias("host"), measures(F.col(text_col)).alias("m"))
-    flat = flat_measures(full, "row", "host").select("row", "host", *failures()).filter(~F.col("base_failed"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    full = df.select(whole, F.col(host_col).cast("string").alias("host"), measures(F.col(text_col)).alias("m"))
+    flat = flat_measures(full, "row", "host").select("row", "host", *failures())
+    flat = scratch.keep(flat.withColumn("row", F.when(~F.col("base_failed"), F.col("row"))), "measured")
+    verdicts = scratch.keep(host_verdicts(flat.select("host", "soft"), host_limit), "hosts")
     return judged(flat, verdicts).filter("kept").select("row.*")
 
 

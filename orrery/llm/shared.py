@@ -83,9 +83,10 @@ class Scratch:
 BROADCAST_ROWS = 1 << 18
 
 
-def join_left(left: DataFrame, right: DataFrame, keys: list[str], weight: str, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """left with its row of right (a written table of distinct keys), if there is one. The `bound` rows of right that most rows of left look for,
-    by the column `weight`, are broadcast, so that no hot key meets in one task; only where there are more, the other rows of left are shuffled."""
+def join_left(left: DataFrame, right: DataFrame, keys: list[str], weight: str, bound: int | None = None) -> DataFrame:
+    """left with its row of right (a written table of distinct keys), if there is one. The `bound` rows of right (BROADCAST_ROWS by default) that most rows of left look
+    for, by the column `weight`, are broadcast, so that no hot key meets in one task; only where there are more, the other rows of left are shuffled."""
+    bound = BROADCAST_ROWS if bound is None else bound
     if right.count() <= bound:
         return left.join(F.broadcast(right), keys, "left")
     order = [F.desc(weight), *keys]
@@ -94,6 +95,17 @@ def join_left(left: DataFrame, right: DataFrame, keys: list[str], weight: str, b
     return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(rest, keys, "left"))
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of df that have hashes: those without maps."""
+
+    def plain(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return all(plain(f.dataType) for f in kind)
+        return plain(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+    return [F.col(f"`{f.name}`") for f in df.schema if plain(f.dataType)]
+
+
 def word_array(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import byte_pair, graph, gru, image_copies, license_scan, lm_scoring, mixing, ngram_join, quality_rules, textops, token_files, url_templates, warc
 from orrery.llm import shared
+from orrery.llm import shared as shared_module
 from orrery.llm.shared import Scratch, word_count
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,7 +143,32 @@ def test_keep_first(spark, docs, texts):
     got = ngram_join.keep_first(docs)
     assert got.columns == docs.columns
     ids = [r["doc_id"] for r in got.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(_jaccard(texts)[1])) and ids.count(None) == 2
+    # of the rows without an id one is a copy of row 0, the other is in no group
+    assert sorted(i for i in ids if i is not None) == sorted(set(_jaccard(texts)[1])) and ids.count(None) == 1
+
+
+def test_keep_first_with_clashing_and_map_columns_and_repeated_ids(spark):
+    one, two = prose(301, 60), prose(302, 60)
+    rows = [(1, one, {"a": 1}, "x", 1), (1, one, {"a": 1}, "x", 1), (1, two, {}, "y", 2), (2, one, None, "z", 3), (None, two, {}, None, 4), (3, None, {}, "", 5), (3, None, {}, "", 5), (4, "", {}, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark map<string,int>, component string, first_id int")
+    got = ngram_join.keep_first(df)
+    assert got.columns == df.columns
+    # a row for each of the two texts, both of id 1; rows without words stay
+    assert sorted((r["doc_id"], r["text"] or "") for r in got.collect()) == sorted([(1, one), (1, two), (3, ""), (3, ""), (4, "")])
+    assert sorted((str(r["id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(df).collect()) == sorted([("1", 56, 1)] * 3 + [("2", 56, 1), ("None", 56, 1), ("3", 0, 3), ("3", 0, 3), ("4", 0, 4)])
+
+
+def test_large_tiles_and_repeated_rows(spark, monkeypatch):
+    """Many rows of one id and text, and many texts that share one passage, in blocks of a few rows and with hot keys apart."""
+    shared = prose(400, 30)
+    texts = [f"{shared} {prose(500 + i, 40)}" for i in range(60)] + [f"{prose(700, 80)} end{i}" for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, texts[0])] * 3000 + [(2000 + i, texts[70]) for i in range(300)]
+    monkeypatch.setattr(ngram_join, "LARGE", 20)
+    monkeypatch.setattr(shared_module, "BROADCAST_ROWS", 5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["id"], r["component_id"]) for r in ngram_join.similar_groups(df, block=8).collect()}
+    assert got == {(i, i if i < 60 else 60) for i in range(120)} | {(1000, 0)} | {(2000 + i, 60) for i in range(300)}
+    assert ngram_join.keep_first(df).count() == 61
 
 
 def test_bounds_never_miss():
@@ -322,10 +348,54 @@ def test_seeds_find_every_place_within_the_edits(notice, data):
             text.insert(i, "q")
         else:
             del text[i]
-    found = license_scan._fuzzy(("aa bb " + "".join(text) + " cc dd\n").encode(), (notice,))
+    found = license_scan._fuzzy("aa bb " + "".join(text) + " cc dd\n", (notice,))
     assert found and found[0][2] <= notice.edits
 
 
+def _least_edits(pattern: str, text: str) -> int:
+    """The least edits between a pattern and any part of a text, by dynamic programming."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        before, row = row, [i]
+        for j, t in enumerate(text, 1):
+            row.append(min(before[j - 1] + (p != t), before[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
+def test_notices_of_documents_equal_a_search_without_seeds():
+    rng = np.random.default_rng(17)
+    plain = [n for n in license_scan.NOTICES if not n.versioned and not n.label.startswith("cc-")]
+    for notice in plain:
+        rows = []
+        for k in range(14):
+            text = list(notice.words)
+            for _ in range(k % (notice.edits + 4)):
+                i = int(rng.integers(0, len(text)))
+                kind = rng.integers(0, 3)
+                if kind == 2:
+                    del text[i]
+                else:
+                    text[i : i + (kind == 0)] = [str(rng.choice(["é", "q", "字"]))]
+            rows.append(f"Größe, {prose(k, 6)} {''.join(text).upper() if k % 3 == 0 else ''.join(text)}. {prose(k + 50, 5)} ÄÖ")
+        raw = [r.encode() for r in rows]
+        _, _, spots = license_scan.scan(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]), notices=(notice,))
+        form = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        for r, found in zip(rows, spots, strict=True):
+            normal = form.findall(r.translate(LOWER))
+            least = _least_edits(notice.words, " ".join(normal))
+            assert bool(found) == (least <= notice.edits)
+            if found:
+                assert found[0]["errors"] == least and " ".join(form.findall(found[0]["text"].translate(LOWER))) == " ".join(normal[found[0]["first_word"] : found[0]["last_word"] + 1])
+
+
+def test_overlaps_don_t_depend_on_what_stands_beside():
+    notice = next(n for n in license_scan.NOTICES if n.label == "bsd")
+    one = " ".join([notice.words[:-3] + "xyz", notice.words, "and " + notice.words[4:]])
+    alone = license_scan._fuzzy(one + "\n", license_scan.NOTICES)
+    many = license_scan._fuzzy((one + "\n") * 40, license_scan.NOTICES)
+    assert [(s, e, x) for s, e, x, _ in many] == [(s + k * (len(one) + 1), e + k * (len(one) + 1), x) for k in range(40) for s, e, x, _ in alone] and len(alone) == 3
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.NET", "http://a.NET/x?y", "https://b.example.net/en/1#z", "https://example.net/enx", "http://c.example.com/de/1", "http://org/fr/", "http://x.org/fr/a?b", "http://xnet/", "x://y://net/"]
     urls += [f"http://spam.example.org/{a}/{i}" for a in ("buy", "get") for i in range(30)]
