@@ -35,7 +35,7 @@ from .shared import Scratch, join_left, table
 STEP, LEVELS = 1.2, 5
 PATCH = 8
 RESPONSE = 0.05
-MOST_BITS = 12
+MOST_BITS = 10
 VOTES, VOTE_SHARE = 5, 0.05
 PARTS, WIDTH = 4, 32
 #: Slots of the hash table of a part, as bits.
@@ -43,12 +43,15 @@ SLOTS = 22
 TURNS = 24
 SHIFT_BIN = 6.0
 #: Query keypoints that are sent to all tasks at once, 32 bytes each; index keypoints that are compared at once.
-BLOCK, GROUP = 1 << 17, 1 << 15
+BLOCK, GROUP = 1 << 17, 1 << 13
+#: Pixels of images of one size that are handled at once.
+PIXELS = 1 << 18
 
 _RNG = np.random.default_rng(20)
 _TESTS = np.clip(_RNG.normal(0, PATCH / 2.25, (128, 4)), -PATCH + 1, PATCH - 1)
 _SIDE = np.arange(-PATCH + 1, PATCH)
-_DISC = _SIDE[:, None] ** 2 + _SIDE**2 <= (PATCH - 1) ** 2 + 1
+#: Rows and columns of a round patch, from its middle.
+_DISC_AT = [v[(_SIDE[:, None] ** 2 + _SIDE**2 <= (PATCH - 1) ** 2 + 1)] for v in np.broadcast_arrays(_SIDE[:, None], _SIDE)]
 
 
 def read_pgm(raw: bytes | None) -> np.ndarray | None:
@@ -71,58 +74,93 @@ def write_pgm(image: np.ndarray) -> bytes:
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
-    p = np.pad(x, 1, mode="edge")
-    p = p[:-2] + 2 * p[1:-1] + p[2:]
-    return (p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]) / 16
+    """A 1-2-1 filter along the last two axes."""
+    x = np.concatenate([x[..., :1, :], x, x[..., -1:, :]], axis=-2)
+    x = x[..., :-2, :] + 2 * x[..., 1:-1, :] + x[..., 2:, :]
+    x = np.concatenate([x[..., :1], x, x[..., -1:]], axis=-1)
+    return (x[..., :-2] + 2 * x[..., 1:-1] + x[..., 2:]) / 16
+
+
+def _between(n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the pixel before, the share of the next one) of places along an axis of n pixels; the edge holds beyond it."""
+    at = np.clip(at, 0, n - 1.001)
+    first = at.astype(np.int32)
+    return first, (at - first).astype(at.dtype)
 
 
 def sampled(x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Grey levels between pixels, by bilinear interpolation; the edge holds beyond it."""
-    rows, columns = (np.clip(v, 0, n - 1.001) for v, n in ((rows, x.shape[0]), (columns, x.shape[1])))
-    a, b = rows.astype(int), columns.astype(int)
-    fy, fx = rows - a, columns - b
-    return (x[a, b] * (1 - fy) + x[a + 1, b] * fy) * (1 - fx) + (x[a, b + 1] * (1 - fy) + x[a + 1, b + 1] * fy) * fx
+    """Grey levels of one image between pixels, by bilinear interpolation."""
+    (a, fy), (b, fx) = _between(x.shape[0], rows), _between(x.shape[1], columns)
+    flat, at = x.ravel(), a * x.shape[1] + b
+    top, below = flat[at], flat[at + x.shape[1]]
+    top, below = top + (flat[at + 1] - top) * fx, below + (flat[at + x.shape[1] + 1] - below) * fx
+    return top + (below - top) * fy
 
 
 def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
-    rows, columns = ((np.arange(n) + 0.5) * (s / n) - 0.5 for n, s in ((height, x.shape[0]), (width, x.shape[1])))
-    return sampled(x, rows[:, None], columns[None, :])
+    """Images (the last two axes) of another size."""
+    (a, fy), (b, fx) = (_between(s, (np.arange(n) + 0.5) * (s / n) - 0.5) for n, s in ((height, x.shape[-2]), (width, x.shape[-1])))
+    fy, fx = fy.astype(x.dtype)[:, None], fx.astype(x.dtype)
+    x = x[..., a, :] * (1 - fy) + x[..., a + 1, :] * fy
+    return x[..., b] * (1 - fx) + x[..., b + 1] * fx
 
 
-def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, columns) of corners, but those whose patch crosses the edge."""
-    gy, gx = np.gradient(x)
+def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, row, column) of corners, but those whose patch crosses the edge."""
+    gy, gx = np.gradient(x, axis=(1, 2))
     a, b, c = (_smooth(_smooth(v)) for v in (gx * gx, gy * gy, gx * gy))
-    r = a * b - c * c - 0.05 * (a + b) ** 2
-    p = np.pad(r, 1, constant_values=-np.inf)
-    near = np.max([p[1 + i : 1 + i + r.shape[0], 1 + j : 1 + j + r.shape[1]] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j], axis=0)
-    good = (r > near) & (r > 0.12)
-    good[:PATCH], good[-PATCH:], good[:, :PATCH], good[:, -PATCH:] = False, False, False, False
+    r = (a * b - c * c - 0.05 * (a + b) ** 2)[:, PATCH - 1 : 1 - PATCH, PATCH - 1 : 1 - PATCH]
+    inner = r[:, 1:-1, 1:-1]
+    rows = np.maximum(np.maximum(r[:, :-2], r[:, 1:-1]), r[:, 2:])  # of three rows, then of three columns
+    beside = np.maximum(np.maximum(rows[..., :-2], rows[..., 2:]), np.maximum(r[:, :-2, 1:-1], r[:, 2:, 1:-1]))
+    image, y, x_ = np.nonzero((inner > beside) & (inner > 0.12))
+    strength = inner[image, y, x_]
     # a tenth of the corners may be stamped ones: the strongest of the others sets the scale
-    good &= r > RESPONSE * (np.quantile(r[good], 0.9) if good.any() else 1.0)
-    return np.nonzero(good)
+    first = np.searchsorted(image, np.arange(x.shape[0] + 1))
+    scale = np.array([np.quantile(strength[i:j], 0.9) if j > i else 1.0 for i, j in zip(first, first[1:], strict=False)])
+    good = strength > RESPONSE * scale[image]
+    return image[good], y[good] + PATCH, x_[good] + PATCH
 
 
-def keypoints(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """((x, y, level, turn) of each keypoint, in the image's own pixels and radians; descriptors as two 64-bit numbers)."""
-    spots, codes = [np.zeros((0, 4))], [np.zeros((0, 2), dtype=np.uint64)]
-    level_image = image.astype(float)
+def keypoints_of(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, (x, y, level, turn) in the image's own pixels and radians, descriptor as two 64-bit numbers) of each keypoint of images of one size."""
+    owners, spots, codes = [np.zeros(0, dtype=np.int64)], [np.zeros((0, 4))], [np.zeros((0, 2), dtype=np.uint64)]
+    level_images = images.astype(np.float32)
+    tests = _TESTS.astype(np.float32)
     for level in range(LEVELS):
         if level:
-            level_image = resized(_smooth(level_image), *(max(2, round(n / STEP)) for n in level_image.shape))
-        if min(level_image.shape) < 2 * PATCH + 3:
+            level_images = resized(_smooth(level_images), *(max(2, round(n / STEP)) for n in level_images.shape[1:]))
+        height, width = level_images.shape[1:]
+        if min(height, width) < 2 * PATCH + 3:
             break
-        x = _smooth(level_image)
-        all_rows, all_columns = _corners(x)
-        for k in range(0, all_rows.size, 8192):
-            ys, xs = all_rows[k : k + 8192], all_columns[k : k + 8192]
-            patch = x[ys[:, None, None] + _SIDE[:, None], xs[:, None, None] + _SIDE] * _DISC
-            turn = np.arctan2((patch * _SIDE[:, None]).sum((1, 2)), (patch * _SIDE).sum((1, 2)))
+        x = _smooth(level_images)
+        flat = x.ravel()
+        every = _corners(x)
+        for k in range(0, every[0].size, GROUP // 8):
+            owner, ys, xs = (v[k : k + GROUP // 8] for v in every)
+            base = owner * (height * width)
+            patch = flat[(base + ys * width + xs)[:, None] + _DISC_AT[0] * width + _DISC_AT[1]]
+            turn = np.arctan2(patch @ _DISC_AT[0].astype(np.float32), patch @ _DISC_AT[1].astype(np.float32))
             cos, sin = np.cos(turn)[:, None], np.sin(turn)[:, None]
-            at = [sampled(x, ys[:, None] + _TESTS[:, j] * sin + _TESTS[:, j + 1] * cos, xs[:, None] + _TESTS[:, j] * cos - _TESTS[:, j + 1] * sin) for j in (0, 2)]
+            at = []
+            for j in (0, 2):
+                a, fy = _between(height, ys[:, None].astype(np.float32) + tests[:, j] * sin + tests[:, j + 1] * cos)
+                b, fx = _between(width, xs[:, None].astype(np.float32) + tests[:, j] * cos - tests[:, j + 1] * sin)
+                place = base[:, None] + a * width + b
+                top, below = flat[place], flat[place + width]
+                top, below = top + (flat[place + 1] - top) * fx, below + (flat[place + width + 1] - below) * fx
+                at.append(top + (below - top) * fy)
+            owners.append(owner)
             codes.append(np.packbits(at[0] < at[1], axis=1, bitorder="little").view("<u8"))
-            spots.append(np.stack([(xs + 0.5) * (image.shape[1] / x.shape[1]), (ys + 0.5) * (image.shape[0] / x.shape[0]), np.full(xs.size, level), turn], axis=1))
-    return np.concatenate(spots), np.concatenate(codes)
+            spots.append(np.stack([(xs + 0.5) * (images.shape[2] / width), (ys + 0.5) * (images.shape[1] / height), np.full(xs.size, level), turn], axis=1))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], np.concatenate(spots)[order], np.concatenate(codes)[order]
+
+
+def keypoints(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spots and descriptors of one image."""
+    return keypoints_of(image[None])[1:]
 
 
 #: An image's keypoints: its centre, (x, y, level, turn) of each as 32-bit numbers, descriptors.
@@ -132,18 +170,32 @@ IMAGE = "id long, n int, cx float, cy float, spots binary, codes binary"
 def described(df: DataFrame) -> DataFrame:
     """IMAGE rows of the images (id, image) that have keypoints."""
 
+    def described_group(ids: list[int], images: np.ndarray) -> pa.RecordBatch:
+        owner, spots, codes = keypoints_of(images)
+        first = np.searchsorted(owner, np.arange(len(ids) + 1))
+        some = np.flatnonzero(np.diff(first)).tolist()
+        columns = (
+            pa.array([ids[i] for i in some], pa.int64()), pa.array(np.diff(first)[some].astype(np.int32)), *(pa.array(np.full(len(some), images.shape[k] / 2, dtype=np.float32)) for k in (2, 1)),
+            pa.array([spots[first[i] : first[i + 1]].astype("<f4").tobytes() for i in some], pa.binary()), pa.array([codes[first[i] : first[i + 1]].tobytes() for i in some], pa.binary()),
+        )
+        return pa.RecordBatch.from_arrays(list(columns), [f.split(" ")[0] for f in IMAGE.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple[int, int], tuple[list[int], list[np.ndarray]]] = {}
         for batch in batches:
-            found: list[tuple] = []
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 image = read_pgm(raw.as_py())
-                if image is not None:
-                    s, c = keypoints(image)
-                    if len(s):
-                        found.append((i, len(s), image.shape[1] / 2, image.shape[0] / 2, s.astype("<f4").tobytes(), c.tobytes()))
-            kinds = (pa.int64(), pa.int32(), pa.float32(), pa.float32(), pa.binary(), pa.binary())
-            columns = list(zip(*found, strict=True)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], [f.split(" ")[0] for f in IMAGE.split(", ")])
+                if image is None:
+                    continue
+                ids, images = waiting.setdefault(image.shape, ([], []))
+                ids.append(i)
+                images.append(image)
+                if len(ids) * image.size >= PIXELS:
+                    yield described_group(ids, np.stack(images))
+                    del waiting[image.shape]
+            for ids, images in waiting.values():
+                yield described_group(ids, np.stack(images))
+            waiting = {}
 
     return df.mapInArrow(run, IMAGE)
 
