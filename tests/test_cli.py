@@ -55,3 +55,36 @@ def test_campaign_life(spark, path, capsys):
     cli.main([str(path), "status"], spark)
     out = capsys.readouterr().out
     assert out.startswith("v1 completed") and "Progress: 1/3 (33.3%)" in out
+
+
+def test_queue_is_polled_and_watched(spark, path, capsys):
+    answers = {"1": "RUNNING\n", "2": "", "3": "CD\n"}
+
+    def runner(cmd):
+        return answers[cmd[2]] if cmd[0] == "squeue" else "Submitted batch job 9\n"
+
+    c = cli.Campaign(spark, str(path), runner)
+    for name, job in (("v1", "1"), ("v2", "2"), ("v3", "3")):
+        c._set(name, "queued", job)
+    c.update()
+    # a job that the queue doesn't know keeps its state
+    assert sorted(tuple(r) for r in c.states.collect()) == [("v1", "running", "1"), ("v2", "queued", "2"), ("v3", "completed", "3")]
+    answers["1"] = "TIMEOUT\n"
+    assert cli.main([str(path), "status", "--watch", "0.01", "--times", "2"], spark, runner) == 0
+    assert capsys.readouterr().out.count("Failed:          1") == 2
+    cli.main([str(path), "cancel", "--variant", "v2"], spark, runner)
+    cli.main([str(path.parent), "find"], spark)
+    assert "campaign_state.json submitting" in capsys.readouterr().out
+
+
+def test_single_simulation(tmp_path, capsys, monkeypatch):
+    monkeypatch.delenv("SCRATCH", raising=False)
+    monkeypatch.setenv("pkdgravemail", "a@b")
+    assert cli.main([str(tmp_path), "run", "--variant", "alone", "--preset", "S0-test", "--cosmology", "planck18", "--set", "nGrid=128", "--no-submit"]) == 0
+    folder = tmp_path / "alone"
+    assert "nGrid           = 128" in (folder / "alone.par").read_text() and "--mail-user=a@b" in (folder / "alone.sbatch").read_text()
+    assert (folder / "run.sh").stat().st_mode & 0o100
+    capsys.readouterr()
+    cli.main([str(tmp_path), "run", "--variant", "sent"], runner=lambda cmd: "Submitted batch job 77\n")
+    assert capsys.readouterr().out.strip().endswith("77")
+    assert cli.environment()["scrdir"] == "/tmp/scratch/pkdgrav3/runs"

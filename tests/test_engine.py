@@ -16,7 +16,7 @@ import __spark_entry__
 from orrery.functions import presets
 from orrery.functions.cosmology import Cosmology, chi_of_z, outer_redshift
 from orrery.operators import campaign, grid, select, spectrum
-from orrery.plans import registry
+from orrery.plans import file_queries
 from orrery.sources import metadata, sinks
 
 SMALL = "/root/testdata/sf0.001"
@@ -203,10 +203,10 @@ def _cells(df):
     return names, sorted(tuple(text(v) for v in row) for row in df[names].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(file_queries.QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    got = registry.QUERIES[name](spark, SMALL).toPandas()
-    assert _cells(got) == _cells(duck.execute(registry.SQL[name]).df())
+    got = file_queries.QUERIES[name](spark, SMALL).toPandas()
+    assert _cells(got) == _cells(duck.execute(file_queries.SQL[name]).df())
 
 
 def test_contract(spark):

@@ -182,3 +182,33 @@ def test_two_columns_and_synthetic(spark, tmp_path):
     assert [tuple(r) for r in metadata.two_columns(spark, str(tmp_path / "t.dat")).collect()] == [(0.001, 2.5), (2.0, 3.0)]
     p = formats.synthetic_particles(spark, 2000, 100.0).toPandas()
     assert len(p) == 2000 and p["x"].between(0, 100).all() and abs(p["y"].mean() - 50) < 3
+
+
+@pytest.mark.parametrize("kind", ["tps", "lcp", "fof"])
+def test_files_that_were_written_are_read_back(spark, tmp_path, kind):
+    fmt, name = formats.FORMATS[kind], f"file://{tmp_path}/sim"
+    rng = np.random.default_rng(3)
+    rows = [(*map(float, rng.uniform(-0.5, 0.5, 6).astype("f4")), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "x float, y float, z float, vx float, vy float, vz float, npart int").repartition(3)
+    formats.write_records(df, kind, name, 4)
+    files = formats.chunk_files(fmt, name, 4)
+    assert len(files) == 3 and formats.particle_count(fmt, files) == 500 and formats.steps_on_disk(name) == [4]
+    names = ["x", "vz"] + (["npart"] if kind == "fof" else [])
+    got = formats.read_records(spark, kind, files, [4] * 3, names, split=4000).select(*names).collect()
+    assert sorted(tuple(r) for r in got) == sorted((r[0], r[5], r[6])[: len(names)] for r in rows)
+    within = formats.read_records(spark, kind, files, [4] * 3, ["x", "y"], within=[(-0.1, 0.2), (0.0, 0.5), (-1, 1)])
+    assert within.count() == sum(-0.1 <= r[0] <= 0.2 and 0 <= r[1] <= 0.5 for r in rows)
+
+
+def test_shells_follow_the_density_of_the_file(spark, simulation, tmp_path):
+    from orrery.functions.cosmology import Cosmology
+
+    text = open(simulation["par"]).read()
+    radii = []
+    for density in (0.2, 0.5):
+        path = tmp_path / f"{density}.par"
+        path.write_text(text.replace("3.2e-1", str(density)))
+        data = SimulationData(spark, str(path))
+        radii.append(data.shell(0.5, 1.0)[1])
+        assert radii[-1] == pytest.approx(float(Cosmology(h=0.67, omegam=density).z2chi(1.0)) / 1000, rel=1e-4)
+    assert radii[0] > 1.1 * radii[1]
