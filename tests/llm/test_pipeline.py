@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import glob
 import hashlib
+import itertools
 import os
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,10 +15,11 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from orrery.llm import mixing, ngram_join, quality_rules
+from orrery.llm import byte_pair, mixing, ngram_join, quality_rules
 from orrery.llm.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def test_stages(spark):
@@ -38,6 +42,75 @@ def test_stages(spark):
     assert key(whole) == key(last)
 
 
+def _shingles(text: str | None) -> frozenset:
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def _targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
+    """Shares by weight, stopped at three times a source's size, the excess shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    capped: set = set()
+    while True:
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in capped)
+        level = left / sum(weight[s] for s in order if s not in capped)
+        more = {s for s in order if s not in capped and weight[s] * level > 3 * sizes[s]}
+        if not more:
+            return {s: 3 * sizes[s] if s in capped else weight[s] * level for s in order}
+        capped |= more
+
+
+def test_stages_by_brute_force(spark):
+    """The first stage by SQL, groups of near copies by comparing all pairs, the mix by its targets, tokens by the library."""
+    tokenizers = pytest.importorskip("tokenizers")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    want = {r[0] for r in c.execute(f"SELECT doc_id FROM ({SQL['op5_quality_rules']}) WHERE kept").fetchall()}
+    kept = corpus_pipeline.quality(spark, docs, SMALL)
+    assert sorted(map(tuple, kept.collect())) == sorted(tuple(rows[i]) for i in want)
+    sets = {i: _shingles(rows[i]["text"]) for i in want}
+    top = {i: i for i in want}
+
+    def root(i: int) -> int:
+        return i if top[i] == i else root(top[i])
+
+    for i, j in itertools.combinations(sorted(want), 2):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            top[b] = a
+    firsts = {i for i in want if root(i) == i}
+    one = corpus_pipeline.near_copies(spark, spark.createDataFrame([rows[i] for i in want], docs.schema), SMALL)
+    assert sorted(map(tuple, one.collect())) == sorted(tuple(rows[i]) for i in firsts)
+    mix = corpus_pipeline.mix(spark, spark.createDataFrame([rows[i] for i in firsts], docs.schema), SMALL).collect()
+    copies = Counter(r["doc_id"] for r in mix)
+    assert set(copies) <= firsts and max(copies.values()) <= 3 and all(tuple(r) == tuple(rows[r["doc_id"]]) for r in mix)
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", rows[i]["text"] or "")) for i in firsts}
+    by_source: Counter = Counter()
+    taken: Counter = Counter()
+    for i in firsts:
+        by_source[rows[i]["source"]] += size[i]
+        taken[rows[i]["source"]] += copies[i] * size[i]
+    for source, target in _targets(by_source).items():
+        assert abs(taken[source] - target) <= max(max(size[i] for i in firsts if rows[i]["source"] == source), 1e-6)
+    whole = tokenizers.Tokenizer.from_file(byte_pair.default_path())
+    last = corpus_pipeline.run(spark, SMALL).collect()
+    assert Counter(r["doc_id"] for r in last) == copies
+    assert all(list(r["ids"]) == whole.encode(rows[r["doc_id"]]["text"] or "", add_special_tokens=False).ids for r in last)
+
+
+def test_stages_keep_columns_of_any_name_and_kind(spark):
+    text = "one two three four five six seven eight nine ten " * 8
+    rows = [(i, f"{text} w{i} " + " ".join(f"x{i}y{k}" for k in range(60)), "s", {"a": i}, 1, "k") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row map<string,int>, first_id int, component string")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, df, SMALL)
+        assert out.columns == df.columns and out.count() > 0
+        assert stage(spark, df.limit(0), SMALL).count() == 0
+
+
 def test_the_last_stage_returns_tokens(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(20)
     rows = corpus_pipeline.encode(spark, docs, SMALL).collect()
