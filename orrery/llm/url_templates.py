@@ -11,7 +11,8 @@ without labels has the prior as its purity, and is allowed.
 
 Cases: a null url, or one without "://", has an empty host and path, no rule, and is allowed; equal urls get equal verdicts; of fitting rules the longest wins (of equal length
 the first by code point); the levels go to the last segment of the longest path; an empty table gives an empty result;
-other columns don't matter. No group of a host meets in one task: sums are made by (host, prefix, segment) with partial sums, and joined back.
+other columns don't matter. No group of a host meets in one task: sums are made by (host, prefix, segment) with partial sums, and those that most
+rows look for are broadcast as they are joined back.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, table
+from .shared import Scratch, join_left, table
 
 #: (verdict, host and path)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -70,10 +71,10 @@ def templates(scratch: Scratch, paths: DataFrame) -> DataFrame:
         deep = rows.filter(F.size("template") > level).select("host", prefix.alias("prefix"), F.col("template")[level].alias("segment"), "pages")
         children = deep.groupBy("host", "prefix", "segment").agg(F.sum("pages").alias("pages"))
         wide = children.groupBy("host", "prefix").agg(F.count("*").alias("children"), F.sum("pages").alias("pages"))
-        wide = wide.filter((F.col("children") > MANY) & (F.col("pages") < FEW_PAGES * F.col("children"))).select("host", F.col("prefix"), F.lit(True).alias("wide"))
-        marked = rows.withColumn("prefix", prefix).join(wide, ["host", "prefix"], "left")
+        wide = wide.filter((F.col("children") > MANY) & (F.col("pages") < FEW_PAGES * F.col("children"))).select("host", "prefix", F.col("children").alias("wide"))
+        marked = join_left(rows.withColumn("prefix", prefix), scratch.keep(wide, f"wide-{level}"), ["host", "prefix"], "wide")
         general = F.transform("template", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))  # noqa: B023
-        rows = scratch.keep(marked.withColumn("template", F.when(F.col("wide") & (F.size("template") > level), general).otherwise(F.col("template"))).drop("prefix", "wide"), f"level-{level + 1}")
+        rows = scratch.keep(marked.withColumn("template", F.when(F.col("wide").isNotNull() & (F.size("template") > level), general).otherwise(F.col("template"))).drop("prefix", "wide"), f"level-{level + 1}")
     return rows
 
 
@@ -89,10 +90,10 @@ def merged(scratch: Scratch, rows: DataFrame, prior: float) -> DataFrame:
         share = (F.col("all_blocked") + STRENGTH * prior) / (F.col("all_labelled") + STRENGTH)
         own = (F.col("blocked") + STRENGTH * prior) / (F.col("labelled") + STRENGTH)
         alike = (F.col("labelled") > 0) & (F.abs(own - share) <= Z * F.sqrt(share * (1 - share) / F.greatest("labelled", F.lit(1))))
-        branch = branch.join(common, ["host", "wild"]).withColumn("alike", alike)
-        joined = branch.groupBy("host", "wild").agg(F.count_if("alike").alias("joined"))
+        branch = join_left(branch, scratch.keep(common, f"common-{step}"), ["host", "wild"], "branches").filter("branches IS NOT NULL").withColumn("alike", alike)
+        joined = scratch.keep(branch.groupBy("host", "wild").agg(F.count_if("alike").alias("joined"), F.count("*").alias("here")), f"joined-{step}")
         follows = (F.col("labelled") == 0) & ((F.col("joined") > 1) | (F.col("all_labelled") == 0))
-        moved = branch.join(joined, ["host", "wild"]).filter(((F.col("joined") > 1) & F.col("alike")) | follows).select("host", "final", "wild")
+        moved = join_left(branch, joined, ["host", "wild"], "here").filter(((F.col("joined") > 1) & F.col("alike")) | follows).select("host", "final", "wild")
         out = state.join(moved, ["host", "final"], "left").withColumn("final", F.coalesce("wild", "final")).drop("wild")
         state = scratch.keep(out.select("host", "template", "labelled", "blocked", "final"), f"merge-{step}")
     return state
@@ -111,9 +112,9 @@ def url_verdicts(df: DataFrame, id_col: str = "page_id", url_col: str = "url", r
     state = merged(scratch, rows, prior)
     finals = state.groupBy("host", "final").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     finals = finals.select("host", "final", "labelled", ((F.col("blocked") + STRENGTH * prior) / (F.col("labelled") + STRENGTH)).alias("purity"))
-    known = rows.select("host", "path", "template").join(state.select("host", "template", "final"), ["host", "template"]).join(finals, ["host", "final"])
-    known = scratch.keep(known.select("host", "path", F.concat(F.lit("/"), F.concat_ws("/", "final")).alias("template"), "purity", "labelled"), "known")
-    out = pages.join(known, ["host", "path"], "left")
+    known = rows.select("host", "path", "template", "pages").join(state.select("host", "template", "final"), ["host", "template"]).join(finals, ["host", "final"])
+    known = scratch.keep(known.select("host", "path", F.concat(F.lit("/"), F.concat_ws("/", "final")).alias("template"), "purity", "labelled", "pages"), "known")
+    out = join_left(pages, known, ["host", "path"], "pages")
     method = F.when((F.col("purity") > limit) & (F.col("labelled") > 0), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), "template", "purity")
 

@@ -445,6 +445,83 @@ def test_purity_is_over_labelled_pages(spark):
     assert by["/shop/7/bad"]["purity"] == pytest.approx(0.5) and by["/shop/7/bad"]["verdict"] == "allow"
 
 
+def _tree(pages: list[tuple[int, str]]) -> dict[int, str]:
+    """Verdicts of the template tree, by dictionaries: forms, parents with many children, merged branches, purity over labelled pages."""
+    of = {}
+    for i, url in pages:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
+        of[i] = (m[1].translate(LOWER), m[2])
+
+    def rule(host: str, path: str) -> str | None:
+        fits = [(len(t), k) for k, t in url_templates.RULES for h, _, p in [t.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return max(fits)[1] if fits else None
+
+    def form(segment: str) -> str:
+        name, ending = re.match(r"(?s)^(.*?)(\.[A-Za-z]{1,5})?$", segment).groups()
+        for kind, pattern in (("{number}", r"^[0-9]+$"), ("{hex}", r"^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), ("{long}", r"^(?=.*[0-9]).{24,}$")):
+            if re.match(pattern, name):
+                return kind + (ending or "")
+        return segment
+
+    template = {hp: tuple(map(form, hp[1].removeprefix("/").split("/"))) if hp[1] not in ("", "/") else () for hp in of.values()}
+    count = Counter(of.values())
+    blocked = {hp: n * (rule(*hp) == "block") for hp, n in count.items()}
+    labelled = {hp: n * (rule(*hp) is not None) for hp, n in count.items()}
+    for level in range(max(map(len, template.values()))):
+        children: dict = {}
+        for hp, t in template.items():
+            if len(t) > level:
+                children.setdefault((hp[0], t[:level]), Counter())[t[level]] += count[hp]
+        wide = {k for k, c in children.items() if len(c) > url_templates.MANY and sum(c.values()) < url_templates.FEW_PAGES * len(c)}
+        template = {hp: (*t[:level], "*", *t[level + 1 :]) if len(t) > level and (hp[0], t[:level]) in wide else t for hp, t in template.items()}
+    prior = sum(blocked.values()) / max(1, sum(labelled.values()))
+    share = lambda b, n: (b + url_templates.STRENGTH * prior) / (n + url_templates.STRENGTH)
+    final = {(hp[0], t): t for hp, t in template.items()}
+
+    def sums() -> tuple[Counter, Counter]:
+        b, n = Counter(), Counter()
+        for hp, t in template.items():
+            b[hp[0], final[hp[0], t]] += blocked[hp]
+            n[hp[0], final[hp[0], t]] += labelled[hp]
+        return b, n
+
+    for level in reversed(range(max(map(len, template.values())))):
+        b, n = sums()
+        families: dict = {}
+        for host, t in n:
+            if len(t) > level:
+                families.setdefault((host, (*t[:level], "*", *t[level + 1 :])), []).append(t)
+        moves = {}
+        for (host, wild), branches in families.items():
+            if len(branches) < 2:
+                continue
+            every = sum(n[host, t] for t in branches)
+            common = share(sum(b[host, t] for t in branches), every)
+            alike = {t for t in branches if n[host, t] and abs(share(b[host, t], n[host, t]) - common) <= url_templates.Z * math.sqrt(common * (1 - common) / n[host, t])}
+            moves |= {(host, t): wild for t in branches if (len(alike) > 1 and t in alike) or (not n[host, t] and (len(alike) > 1 or not every))}
+        final = {k: moves.get((k[0], t), t) for k, t in final.items()}
+    b, n = sums()
+    out = {}
+    for i, hp in of.items():
+        k = hp[0], final[hp[0], template[hp]]
+        out[i] = rule(*hp) or ("block" if n[k] and share(b[k], n[k]) > url_templates.LIMIT else "allow")
+    return out
+
+
+def test_verdicts_equal_a_tree_of_dictionaries(spark):
+    rng = np.random.default_rng(21)
+    words = ["news", "shop", "spam", "a1b2c3d4e5", "2024", "item-000000000000000000001.html", "x.php", "de", "en", "fr", "deep"]
+    hosts = ["example.com", "www.example.com", "example.net", "some.org", "good.org", "q.example.net", "other.com"]
+    pages = [(i, f"http://{rng.choice(hosts)}/" + "/".join(rng.choice(words, rng.integers(0, 5)))) for i in range(900)]
+    # under one parent, blocked and unlabelled children that are generalised to one template
+    pages += [(1000 + i, f"http://example.com/{'de' if i % 5 else 'p'}{'' if i % 5 else i}/{i}/{'a' * (i % 3)}") for i in range(200)]
+    pages += [(2000 + i, "http://example.com/" + "/".join(["de"] + [f"s{k}" for k in range(19)]) + f"/{i}") for i in range(20)]  # 21 segments
+    pages += [(3000 + i, f"http://example.com/{w}{i}/x") for i, w in enumerate(["de/", "k"] * 30)]
+    got = {r["page_id"]: r["verdict"] for r in url_templates.url_verdicts(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    want = _tree(pages)
+    assert got == want and 0 < sum(v == "block" for v in want.values()) < len(want)
+
+
 def test_deep_branches_get_their_own_verdicts(spark):
     urls = [f"http://a.org/a/b/c/d/{kind}/{i}" for kind in ("spam", "good") for i in range(20)]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
