@@ -8,8 +8,15 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
+def _local(path: str) -> str:
+    """file:/a/b and file:///a/b as /a/b."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """(file system, path in it)."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), _local(path)
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
@@ -30,9 +37,12 @@ def beside(path: str) -> list[str]:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, `spark.checkpoint.dir`; a temporary one only where the session has no executors of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="orrery-")
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))
+        root = sc._jsc.sc().getCheckpointDir().get()
+    return _local(root).rstrip("/")
