@@ -12,7 +12,8 @@ they are found, and nothing of the index or of the matches is shuffled.
 
 Consensus. Matches vote for where the query's centre lies, for a scale and a turn, in cells that overlap by half. A copy needs VOTES
 keypoints that agree, and VOTE_SHARE of the keypoints of the image that has fewer; they mustn't lie within a patch of each other, as one
-corner is a keypoint on several levels.
+corner is a keypoint on several levels. Most matches are of unlike images: those whose pair of images has too few of their scale and turn are
+left out before places are looked at, which changes no result.
 
 Equal images are one class, searched and found once; every row of a query class gets the result, and `image_classes` names every row's class. Images are
 8-bit grey PGM files in a binary column.
@@ -215,8 +216,22 @@ def _part(codes: np.ndarray, k: int) -> np.ndarray:
     return (codes[:, k // 2] >> np.uint64(WIDTH * (k % 2))) & np.uint64((1 << WIDTH) - 1)
 
 
+def _sums(numbers: np.ndarray) -> np.ndarray:
+    """The exclusive-or of every choice of the numbers."""
+    out = np.zeros(1, dtype=np.int64)
+    for x in numbers:
+        out = np.concatenate([out, out ^ x])
+    return out
+
+
+#: A random number for each bit of a part. The slot of some bits is the exclusive-or of their numbers, so that a changed bit changes all slots alike.
+_BIT_SLOTS = np.random.default_rng(21).integers(1, 1 << SLOTS, WIDTH)
+_LOW_SLOTS, _HIGH_SLOTS = _sums(_BIT_SLOTS[: WIDTH // 2]), _sums(_BIT_SLOTS[WIDTH // 2 :])
+
+
 def _slot(bits: np.ndarray) -> np.ndarray:
-    return ((bits * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+    bits = bits.astype(np.int64)
+    return _LOW_SLOTS[bits & ((1 << WIDTH // 2) - 1)] ^ _HIGH_SLOTS[bits >> WIDTH // 2]
 
 
 class _Block:
@@ -227,43 +242,57 @@ class _Block:
         for k in range(0 if exact else PARTS):
             slot = _slot(_part(codes, k))
             starts = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=1 << SLOTS))]).astype(np.int32)
-            self.tables.append((np.argsort(slot, kind="stable").astype(np.int32), starts))
+            self.tables.append((np.argsort(slot, kind="stable").astype(np.int32), starts, starts[1:] > starts[:-1]))
 
     def _met(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Candidates (row of codes, row of the block)."""
         if self.exact:
             for k in range(codes.shape[0]):
                 yield np.full(self.codes.shape[0], k), np.arange(self.codes.shape[0])
-        for k, (order, starts) in enumerate(self.tables):
-            bits = _part(codes, k)
-            for mask in (0, *(1 << b for b in range(WIDTH))):
-                slot = _slot(bits ^ np.uint64(mask))
+        for k, (order, starts, filled) in enumerate(self.tables):
+            own = _slot(_part(codes, k))
+            for changed in (0, *_BIT_SLOTS.tolist()):
+                slot = own ^ changed
+                some = np.flatnonzero(filled[slot])
+                slot = slot[some]
                 first = starts[slot]
-                count = starts[slot + 1] - first
-                some = np.flatnonzero(count)
-                many = count[some]
+                many = starts[slot + 1] - first
                 row = np.repeat(some, many)
-                yield row, order[np.repeat(first[some] - np.cumsum(many) + many, many) + np.arange(row.size)]
+                yield row, order[np.repeat(first - np.cumsum(many) + many, many) + np.arange(row.size)]
 
     def near(self, codes: np.ndarray, most_bits: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of codes, row of the block) that meet and differ in most_bits at most."""
         found = [np.zeros(0, dtype=np.int64)]
+        (own, own_rest), (all_, all_rest) = (np.ascontiguousarray(x.T) for x in (codes, self.codes))
         for row, other in self._met(codes):
-            differ = np.bitwise_count(codes[row] ^ self.codes[other]).sum(axis=1, dtype=np.int64)
-            good = differ <= most_bits
+            differ = np.bitwise_count(own[row] ^ all_[other])
+            some = np.flatnonzero(differ <= most_bits)  # most pairs differ in more bits of the first half alone
+            row, other, differ = row[some], other[some], differ[some]
+            good = differ + np.bitwise_count(own_rest[row] ^ all_rest[other]) <= most_bits
             found.append(row[good] * np.int64(self.codes.shape[0]) + other[good])
         return np.divmod(np.unique(np.concatenate(found)), max(1, self.codes.shape[0]))
 
 
+def _agreeing(pair: np.ndarray, need: np.ndarray, levels: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The matches that share their pair of images, scale and turn, as cells of the consensus have them, with as many as the pair needs: others are in no cell
+    that counts, wherever they place the centre."""
+    keys = [((pair * (2 * LEVELS) + levels + up + LEVELS - 1) * 2 + half) * TURNS + np.floor(part + half / 2).astype(np.int64) % TURNS for up in (0, 1) for half in (0, 1)]
+    _, back, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    return np.flatnonzero((count[back].reshape(len(keys), -1) >= need).any(axis=0))
+
+
 def consensus(queries: _Images, images: _Images, q: np.ndarray, t: np.ndarray, votes: int = VOTES, share: float = VOTE_SHARE) -> tuple[np.ndarray, ...]:
     """(query, image, votes, dx, dy), by place, of pairs of images with enough matches that agree on the place of the query's centre, the scale and the
     turn; q and t are the keypoints of each match."""
     pair = images.owner[t].astype(np.int64) * max(1, queries.n.size) + queries.owner[q]
     _, back, count = np.unique(pair, return_inverse=True, return_counts=True)
-    some = count[back] >= votes
-    q, t, pair = q[some], t[some], pair[some]
+    need = votes + share * np.minimum(images.n[images.owner[t]], queries.n[queries.owner[q]])
+    some = count[back] >= need
+    q, t, pair, need = q[some], t[some], pair[some], need[some]
     a, b = queries.spots[q], images.spots[t]
     levels, turn = (b[:, 2] - a[:, 2]).astype(np.int64), b[:, 3] - a[:, 3]
+    some = _agreeing(pair, need, levels, turn / (2 * np.pi) % 1 * TURNS)
+    q, t, pair, a, b, levels, turn = (v[some] for v in (q, t, pair, a, b, levels, turn))
     centre = queries.centre[queries.owner[q]]
     (ux, uy), cos, sin, scale = (centre - a[:, :2]).T, np.cos(turn), np.sin(turn), STEP**levels
     at = np.stack([b[:, 0] + scale * (ux * cos - uy * sin), b[:, 1] + scale * (ux * sin + uy * cos)])

@@ -748,6 +748,31 @@ def test_exact_search_misses_no_pair_within_the_bits():
     assert {(int(a), int(b)) for a, b in zip(*image_copies._Block(one).near(codes), strict=True)} == {(i, i) for i in range(200)}
 
 
+def test_only_matches_that_agree_are_laid_into_cells(monkeypatch):
+    rng = np.random.default_rng(15)
+    pictures = [np.rint(image_copies.painted(rng.bytes(16))).astype(np.uint8) for _ in range(12)]
+    spots, codes = zip(*(image_copies.keypoints(p) for p in pictures), strict=True)
+    every = image_copies._Images(pa.table({"id": list(range(12)), "n": [len(s) for s in spots], "cx": [32.0] * 12, "cy": [32.0] * 12, "spots": [s.astype("<f4").tobytes() for s in spots], "codes": [c.tobytes() for c in codes]}))
+    # true matches of every picture with itself, and twenty of any keypoints for each pair of pictures
+    false = [(a, b, rng.integers(0, every.n[a], 20), rng.integers(0, every.n[b], 20)) for a in range(12) for b in range(12) if a != b]
+    first = np.concatenate([[0], np.cumsum(every.n)])
+    own = np.concatenate([np.arange(every.owner.size), *(first[a] + x for a, _, x, _ in false)])
+    other = np.concatenate([np.arange(every.owner.size), *(first[b] + x for _, b, _, x in false)])
+    laid, sort = [], np.lexsort
+    monkeypatch.setattr(image_copies.np, "lexsort", lambda keys: laid.append(len(keys[0])) or sort(keys))
+    query, image, votes, *_ = image_copies.consensus(every, every, other, own)
+    assert query.tolist() == image.tolist() == list(range(12)) and (votes == every.n).all()
+    assert max(laid) < 16 * 1.1 * every.owner.size < 16 * 0.5 * own.size
+
+
+def test_slots_of_changed_bits():
+    bits = np.random.default_rng(3).integers(0, 1 << image_copies.WIDTH, 1000, dtype=np.uint64)
+    slots = image_copies._slot(bits)
+    assert slots.min() >= 0 and slots.max() < 1 << image_copies.SLOTS and np.unique(slots).size > 990
+    for b, number in enumerate(image_copies._BIT_SLOTS):
+        assert np.array_equal(image_copies._slot(bits ^ np.uint64(1 << b)), slots ^ number)
+
+
 def test_a_stamp_leaves_keypoints():
     for k in range(10):
         x = image_copies.painted(bytes([k, 1, 2, 3]))
