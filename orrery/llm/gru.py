@@ -10,6 +10,7 @@ dense parameters are moved by Adam.
 from __future__ import annotations
 
 from heapq import heapreplace
+from math import prod
 
 import numpy as np
 
@@ -31,8 +32,12 @@ WINDOW = 16
 LANES = 1024
 RATE, ROW_RATE = 0.004, 0.1
 CLIP = 5.0
-#: Rows of class logits made at once.
-BLOCK = 2048
+#: Rows of class logits made at once, and words that are scored at once.
+BLOCK, ROWS = 2048, 1 << 16
+#: A largest logit up to here (either way) needs no shift; rows with a smaller sum of exponentials than this are done again by themselves.
+SAFE, LEAST = 40.0, 1e-20
+#: Rows of a parameter that are moved at once, and places of a word in a window that are added one by one.
+CHUNK, FEW = 4096, 16
 
 
 def class_bounds(counts: np.ndarray | None = None) -> np.ndarray:
@@ -49,8 +54,8 @@ EQUAL = class_bounds()
 
 
 def views(flat: np.ndarray, bounds: np.ndarray = EQUAL) -> dict[str, np.ndarray]:
-    """The parameters, as views of one vector, and the bounds of classes."""
-    out, at = {"bounds": bounds}, 0
+    """The parameters, as views of one vector, and the bounds and the class of each rank."""
+    out, at = {"bounds": bounds, "kinds": np.repeat(np.arange(CLASSES, dtype=np.int16), np.diff(bounds))}, 0
     for name, shape in SHAPES.items():
         n = int(np.prod(shape))
         out[name] = flat[at : at + n].reshape(shape)
@@ -71,60 +76,107 @@ def fresh(seed: int = 7, counts: np.ndarray | None = None, bounds: np.ndarray =
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
-def run(p: dict[str, np.ndarray], words: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-    """(states of all steps, last state, what backpropagation needs). words: (steps, lanes); a text's first input, END, resets the state."""
+def run(p: dict[str, np.ndarray], words: np.ndarray, h: np.ndarray, keep: bool = True) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+    """(states of all steps, last state, what backpropagation needs, if it is kept). words: (steps, lanes); a text's first input, END, resets the state."""
     steps, lanes = words.shape
-    gates = p["inputs"][words]
     first = words == END
     some = first.any(axis=1)
     out = np.empty((steps, lanes, HIDDEN), dtype=np.float32)
     kept = []
+    to_z, to_r, to_n = (np.ascontiguousarray(x) for x in np.split(p["state"], 3, axis=1))
     for t in range(steps):
         if some[t]:
             h = np.where(first[t][:, None], np.float32(0), h)
-        u = h @ p["state"]
-        zr = _sigmoid(gates[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(gates[t, :, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        kept.append((h, z, r, n, u[:, 2 * HIDDEN :]))
-        h = n + z * (h - n)
+        gates = p["inputs"].take(words[t], axis=0)
+        z, r, u = h @ to_z, h @ to_r, h @ to_n
+        z += gates[:, :HIDDEN]
+        r += gates[:, HIDDEN : 2 * HIDDEN]
+        n = _sigmoid(r) * u
+        n += gates[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        if keep:
+            kept.append((h, _sigmoid(z), r, n, u))
+            h = h - n
+        else:
+            h = np.subtract(h, n, out=u)
+            _sigmoid(z)
+        h *= z
+        h += n
         out[t] = h
     return out, h, kept
 
 
-def _softmax(x: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(unnormalised probabilities and their sums, natural log-probabilities of goal) of logits, which are overwritten."""
-    x -= x.max(axis=1, keepdims=True)
-    at = x[np.arange(goal.size), goal]
-    np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], dtype=x.dtype)
-    return total, at - np.log(total)
+#: Memory that is taken again, by use and type: fresh pages cost more than the products that go into them.
+_ROOM: dict[tuple[str, np.dtype], np.ndarray] = {}
+
+
+def _room(use: str, kind: np.dtype, *shape: int) -> np.ndarray:
+    size = prod(shape)
+    have = _ROOM.get((use, kind))
+    if have is None or have.size < size:
+        have = _ROOM[use, kind] = np.empty(size, dtype=kind)
+    return have[:size].reshape(shape)
+
+
+#: Ones and positions, more of which are made where they are needed.
+_ONES, _AT = np.ones(BLOCK, dtype=np.float32), np.arange(BLOCK)
+
+
+def _exponentials(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarray]:
+    """(unnormalised probabilities, the logits of goal, where these are, sums) of the logits states @ weights + bias; the first until the next call."""
+    n, width = states.shape[0], weights.shape[1]
+    x = _room("logits", np.result_type(states, weights), n, width)
+    at = (_AT[:n] if n <= BLOCK else np.arange(n)), goal
+    for own in (False, True):
+        np.matmul(states, weights, out=x)
+        x += bias
+        top = x.max(axis=1, keepdims=True) if own else x.max(initial=-np.inf)
+        if own or abs(top) > SAFE:
+            x -= top
+        goals = x[at]
+        np.exp(x, out=x)
+        total = x @ (_ONES[:width] if width <= BLOCK else np.ones(width, dtype=np.float32))
+        if total.min(initial=1) > LEAST:
+            break  # else a row lies so far below the others that it needs its own largest logit
+    return x, goals, at, total
+
+
+def _logs(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Natural log-probabilities of goal."""
+    _, goals, _, total = _exponentials(states, weights, bias, goal)
+    return goals - np.log(total)
 
 
 def _by_class(p: dict[str, np.ndarray], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
-    """(class, order of positions by class, members in that order, (first rank, end, first position, end) of each class); OTHER's class has one member and isn't listed."""
-    bounds = p["bounds"]
-    kind = (np.searchsorted(bounds, ranks, side="right") - 1).astype(np.int16)
+    """(order of positions by class, classes and members in that order, (first rank, end, first position, end) of each class); classes of one member aren't listed."""
+    bounds, kind = p["bounds"], p["kinds"][ranks]
     order = np.argsort(kind, kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=CLASSES))])
-    member = (ranks - bounds[kind])[order]
-    spans = [(int(bounds[c]), int(bounds[c + 1]), int(ends[c]), int(ends[c + 1])) for c in range(1, CLASSES) if ends[c + 1] > ends[c]]
-    return kind, order, member, spans
+    kind = kind[order]
+    member = ranks[order] - bounds[kind]
+    spans = [(a, b, i, j) for a, b, i, j in zip(bounds.tolist(), bounds[1:].tolist(), ends.tolist(), ends[1:].tolist(), strict=False) if j > i and b > a + 1]
+    return order, kind, member, spans
 
 
 def word_logs(p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of targets (a rank for each state)."""
-    kind, order, member, spans = _by_class(p, targets)
-    out = np.concatenate([_softmax(states[k : k + BLOCK] @ p["to_class"] + p["class_bias"], kind[k : k + BLOCK])[1] for k in range(0, max(1, kind.size), BLOCK)])
-    sorted_states, inner = states[order], np.zeros(order.size)
+    order, kind, member, spans = _by_class(p, targets)
+    states = states[order]
+    logs = np.concatenate([_logs(states[k : k + BLOCK], p["to_class"], p["class_bias"], kind[k : k + BLOCK]) for k in range(0, max(1, kind.size), BLOCK)])
     for a, b, i, j in spans:
         for k in range(i, j, BLOCK):
             s = slice(k, min(j, k + BLOCK))
-            inner[s] = _softmax(sorted_states[s] @ p["to_word"][a:b].T + p["word_bias"][a:b], member[s])[1]
-    out[order] += inner
+            logs[s] += _logs(states[s], p["to_word"][a:b].T, p["word_bias"][a:b], member[s])
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
@@ -143,65 +195,104 @@ def gradient(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarray, m
     return flat, last, loss
 
 
+def _sums_by(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ranks, sums of the rows of x that have them)."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # SHORTLIST is 1 << 16: a radix sort
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    count = np.diff(np.append(first, at.size))
+    falling = np.argsort(-np.minimum(count, FEW + 1).astype(np.int16), kind="stable")
+    first, count = first[falling], count[falling]
+    many = int(np.count_nonzero(count > FEW))
+    sums = x[order[first]]
+    for k in range(many):
+        sums[k] = np.ones(count[k], dtype=x.dtype) @ x[order[first[k] : first[k] + count[k]]]
+    for k in range(1, FEW):
+        some = slice(many, int(np.count_nonzero(count > k)))
+        sums[some] += x[order[first[some] + k]]
+    return at[first], sums
+
+
 def gradient_rows(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[Rows, np.ndarray, float]:
-    """(rows that a window touches and their gradient, by parameter, the state behind it, the loss). Backpropagation ends at the window's start."""
+    """(rows that a window touches and their gradient, by parameter, the state behind it, the loss); the gradient's arrays are taken again by the next call.
+    Backpropagation ends at the window's start."""
     g: Rows = {"to_word": [], "word_bias": []}
     out, last, kept = run(p, words, h)
     steps, lanes = words.shape
     states, goal, weight = out.reshape(-1, HIDDEN), targets.ravel(), mask.ravel().astype(np.float32)
     weight = weight / max(1.0, float(weight.sum()))
-    kind, order, member, spans = _by_class(p, goal)
-
-    def output(x: np.ndarray, at: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, float]:
-        """(gradient of logits, loss)."""
-        total, logs = _softmax(x, at)
-        x *= (shares / total)[:, None]
-        x[np.arange(at.size), at] -= shares
-        return x, -float(logs @ shares)
-
-    ds, loss = np.empty_like(states), 0.0
+    order, kind, member, spans = _by_class(p, goal)
+    states, weight = states[order], weight[order]
+    goals, totals, factors = (np.zeros(order.size, dtype=np.result_type(p["to_word"], states)) for _ in range(3))
+
+    def output(s: slice, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(gradient of logits but for a factor by row, the factors): the products with it have few columns, which take the factors instead."""
+        x, goals[s], place, total = _exponentials(states[s], weights, bias, at[s])
+        x[place] -= total
+        totals[s] = total
+        return x, np.divide(weight[s], total, out=factors[s])
+
+    ds, inner = np.empty(states.shape, dtype=goals.dtype), np.zeros(states.shape, dtype=goals.dtype)
     to_class, class_bias = np.zeros(SHAPES["to_class"], dtype=np.float32), np.zeros(CLASSES, dtype=np.float32)
+    back = np.ascontiguousarray(p["to_class"].T)
     for k in range(0, kind.size, BLOCK):
-        s = slice(k, k + BLOCK)
-        d, more = output(states[s] @ p["to_class"] + p["class_bias"], kind[s], weight[s])
-        loss += more
-        to_class += states[s].T @ d
-        class_bias += d.sum(axis=0)
-        ds[s] = d @ p["to_class"].T
+        s = slice(k, min(k + BLOCK, kind.size))
+        d, factor = output(s, p["to_class"], p["class_bias"], kind)
+        to_class += (states[s] * factor[:, None]).T @ d
+        class_bias += factor @ d
+        np.matmul(d, back, out=ds[s])
     g["to_class"], g["class_bias"] = [(EVERY, to_class)], [(EVERY, class_bias)]
-    sorted_states, sorted_weight, inner = states[order], weight[order], np.zeros_like(states)
+    ds *= factors[:, None]
+    loss = float((np.log(totals) - goals) @ weight)
+    goals[:], totals[:], factors[:] = 0, 1, 0
+    to_word, word_bias = (_room(name, goals.dtype, *SHAPES[name]) for name in ("to_word", "word_bias"))
+    touched: list[list[int]] = []
     for a, b, i, j in spans:
-        d, more = output(sorted_states[i:j] @ p["to_word"][a:b].T + p["word_bias"][a:b], member[i:j], sorted_weight[i:j])
-        loss += more
-        g["to_word"].append((slice(a, b), d.T @ sorted_states[i:j]))
-        g["word_bias"].append((slice(a, b), d.sum(axis=0)))
-        inner[i:j] = d @ p["to_word"][a:b]
-    ds[order] += inner
+        s = slice(i, j)
+        d, factor = output(s, p["to_word"][a:b].T, p["word_bias"][a:b], member)
+        np.matmul(d.T, states[s] * factor[:, None], out=to_word[a:b])
+        np.matmul(factor, d, out=word_bias[a:b])
+        np.matmul(d, p["to_word"][a:b], out=inner[s])
+        if touched and touched[-1][1] == a:
+            touched[-1][1] = b
+        else:
+            touched.append([a, b])
+    for rows in (slice(k, min(k + CHUNK, b)) for a, b in touched for k in range(a, b, CHUNK)):
+        g["to_word"].append((rows, to_word[rows]))
+        g["word_bias"].append((rows, word_bias[rows]))
+    loss += float((np.log(totals) - goals) @ weight)
+    inner *= factors[:, None]
+    inner += ds
+    ds = np.empty(states.shape, dtype=np.float32)
+    ds[order] = inner
     ds = ds.reshape(steps, lanes, HIDDEN)
     first = words == END
-    some, back = first.any(axis=1), np.ascontiguousarray(p["state"].T)
-    gates = np.empty((steps, lanes, 3 * HIDDEN), dtype=np.float32)
-    inner = np.empty_like(gates)
+    some, back, back_n = first.any(axis=1), *(np.ascontiguousarray(x.T) for x in np.split(p["state"], [2 * HIDDEN], axis=1))
+    gates, late = _room("gates", states.dtype, steps, lanes, 3 * HIDDEN), _room("late", states.dtype, steps, lanes, HIDDEN)
     dh = np.zeros((lanes, HIDDEN), dtype=np.float32)
     for t in reversed(range(steps)):
         before, z, r, n, un = kept[t]
-        dh = dh + ds[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        du, own = inner[t], gates[t]
-        own[:, :HIDDEN] = dh * (before - n) * z * (1 - z)
-        own[:, HIDDEN : 2 * HIDDEN] = dn * un * r * (1 - r)
-        own[:, 2 * HIDDEN :] = dn
-        du[:, : 2 * HIDDEN] = own[:, : 2 * HIDDEN]
-        du[:, 2 * HIDDEN :] = dn * r
-        dh = dh * z + du @ back
+        dh += ds[t]
+        free = 1 - z
+        dn = dh * free
+        dn *= 1 - n * n
+        dz = before - n
+        for x in (dh, z, free):
+            dz *= x
+        dr = dn * un
+        dr *= r
+        dr *= 1 - r
+        own = gates[t]
+        own[:, :HIDDEN], own[:, HIDDEN : 2 * HIDDEN], own[:, 2 * HIDDEN :] = dz, dr, dn
+        np.multiply(dn, r, out=late[t], casting="same_kind")
+        dh = dh * z
+        dh += own[:, : 2 * HIDDEN] @ back
+        dh += late[t] @ back_n
         if some[t]:
             dh = np.where(first[t][:, None], np.float32(0), dh)
-    g["state"] = [(EVERY, np.concatenate([k[0] for k in kept]).T @ inner.reshape(-1, 3 * HIDDEN))]
-    flow, at = gates.reshape(-1, 3 * HIDDEN), words.ravel()
-    by_word = np.argsort(at, kind="stable")
-    sorted_at = at[by_word]
-    heads = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-    g["inputs"] = [(sorted_at[heads], np.add.reduceat(flow[by_word], heads, axis=0))]
+    flow, before = gates.reshape(-1, 3 * HIDDEN), np.concatenate([k[0] for k in kept]).T
+    g["state"] = [(EVERY, np.concatenate([before @ flow[:, : 2 * HIDDEN], before @ late.reshape(-1, HIDDEN)], axis=1))]
+    g["inputs"] = [_sums_by(words.ravel(), flow)]
     return g, last, loss
 
 
@@ -245,16 +336,16 @@ class Trainer:
                     self.values[name] -= scale * mean / (np.sqrt(square) + np.float32(1e-8))
                     continue
                 seen = self.seen[name]
-                seen[rows] += x * x if x.ndim == 1 else np.einsum("ij,ij->i", x, x) / np.float32(x.shape[1])
+                seen[rows] += x * x if x.ndim == 1 else (x * x) @ np.full(x.shape[1], 1 / x.shape[1], dtype=x.dtype)
                 rate = np.float32(ROW_RATE) / (np.sqrt(seen[rows]) + np.float32(1e-8))
                 x *= rate if x.ndim == 1 else rate[:, None]
                 self.values[name][rows] -= x
 
 
-def text_logs(flat: np.ndarray, ranks: np.ndarray, first: np.ndarray, window: int = 64, most_lanes: int = 512, bounds: np.ndarray = EQUAL) -> np.ndarray:
+def text_logs(flat: np.ndarray, ranks: np.ndarray, first: np.ndarray, window: int | None = None, most_lanes: int = 512, bounds: np.ndarray = EQUAL) -> np.ndarray:
     """Natural log-probabilities of whole texts: ranks[first[i]:first[i+1]], each with its END.
 
-    Texts are laid into lanes, the longest first, and the state goes through all windows of a lane; a text's first input resets it.
+    Texts are laid into lanes, the longest first, and the state goes through all windows of a lane (of about ROWS words in all lanes); a text's first input resets it.
     """
     p, n = views(flat, bounds), first.size - 1
     length = np.diff(first)
@@ -270,15 +361,16 @@ def text_logs(flat: np.ndarray, ranks: np.ndarray, first: np.ndarray, window: in
         lane_of[i], start[i] = k, at
         heapreplace(load, (at + int(length[i]), k))
     steps = max(at for at, _ in load)
-    doc = np.repeat(np.arange(n), length)
-    step = start[doc] + np.arange(ranks.size) - first[:-1][doc]
+    window = window or max(64, ROWS // lanes)
+    place = np.repeat((start - first[:-1]) * lanes + lane_of, length) + np.arange(ranks.size) * lanes
     given = np.concatenate([[END], ranks[:-1]])
     given[first[:-1][length > 0]] = END
     words, goals, owner = (np.full((steps, lanes), x, dtype=np.int32) for x in (END, END, -1))
-    words[step, lane_of[doc]], goals[step, lane_of[doc]], owner[step, lane_of[doc]] = given, ranks, doc
+    for into, x in ((words, given), (goals, ranks), (owner, np.repeat(np.arange(n), length))):
+        into.ravel()[place] = x
     h = np.zeros((lanes, HIDDEN), dtype=np.float32)
     for t in range(0, steps, window):
-        out, h, _ = run(p, words[t : t + window], h)
+        out, h, _ = run(p, words[t : t + window], h, keep=False)
         real = owner[t : t + window].ravel() >= 0
         logs = word_logs(p, out.reshape(-1, HIDDEN)[real], goals[t : t + window].ravel()[real])
         total += np.bincount(owner[t : t + window].ravel()[real], weights=logs, minlength=n)

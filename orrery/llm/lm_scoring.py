@@ -30,6 +30,8 @@ from .shared import Scratch, shuffles_end, spread, table
 
 #: Words whose counts are broadcast: 16 bytes each, whatever the input.
 HEAD = 1 << 16
+#: Buckets by which these are looked up, as bits.
+BUCKETS = 20
 #: Shares of the documents with an average of models behind each, and the least number of steps of a model in a round.
 ROUNDS, MIN_STEPS = 3, 100
 #: A model is averaged in so many parts, and has at least so many words to learn from (where there are as many), so that the
@@ -84,10 +86,17 @@ class Lexicon:
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.ranks = np.array([ranks.get(w, gru.OTHER) for w in self.words], dtype=np.int64)
+        #: The words of a bucket of hashes are first[bucket]:first[bucket + 1], one at most in nearly all of them.
+        self.first = np.searchsorted(self.words, np.arange(1 << BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS))
+        self.first = np.append(self.first, self.words.size)
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rank, count, whether it is in the head)."""
-        at = np.minimum(np.searchsorted(self.words, h), self.words.size - 1)
+        bucket = (h >> np.uint64(64 - BUCKETS)).astype(np.int64)
+        at = self.first[bucket]
+        crowded = np.flatnonzero(self.first[bucket + 1] - at > 1)
+        at[crowded] = np.searchsorted(self.words, h[crowded])
+        at = np.minimum(at, self.words.size - 1)
         known = self.words[at] == h
         return np.where(known, self.ranks[at], gru.OTHER), np.where(known, self.counts[at], 0), known
 

@@ -310,6 +310,32 @@ def test_frequent_words_of_a_large_vocabulary_are_known_to_the_state():
     assert right > wrong + 1
 
 
+def test_sums_of_rows_by_rank():
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.integers(0, 40, 3000), rng.integers(0, gru.SHORTLIST, 500), [0, gru.SHORTLIST - 1]])
+    x = rng.normal(size=(at.size, 5)).astype(np.float32)
+    want = np.zeros((gru.SHORTLIST, 5))
+    np.add.at(want, at, x)
+    ranks, sums = gru._sums_by(at, x)
+    assert sorted(ranks.tolist()) == np.unique(at).tolist() and np.allclose(sums, want[ranks], atol=1e-4)
+
+
+def test_rows_far_below_others_keep_their_probabilities():
+    bias = np.array([0.0, 1, 2], dtype=np.float32)
+    states, weights = np.array([[1.0], [-1.0]], dtype=np.float32), np.array([[200.0, 200, 200]], dtype=np.float32)
+    want = bias - np.log(np.exp(bias).sum())
+    for goal in range(3):
+        assert gru._logs(states, weights, bias, np.array([goal, goal])) == pytest.approx([want[goal]] * 2, abs=1e-4)
+
+
+def test_words_of_a_crowded_bucket_are_told_apart():
+    words = np.concatenate([np.arange(1, 500, dtype=np.uint64), np.random.default_rng(2).integers(0, 1 << 64, 500, dtype=np.uint64)])
+    lexicon = lm_scoring.Lexicon(words, np.arange(words.size, 0, -1))
+    ranks, counts, known = lexicon.look(np.concatenate([words, words + np.uint64(500)]))
+    assert known.tolist() == [True] * words.size + [False] * words.size and counts[: words.size].tolist() == list(range(words.size, 0, -1))
+    assert ranks[: words.size].tolist() == list(range(2, words.size + 2)) and (ranks[words.size :] == gru.OTHER).all() and (counts[words.size :] == 0).all()
+
+
 def test_held_out_texts_score_above_counts(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(" ".join(rng.permutation([f"a{k} b{k} c{k}" for k in range(12)])) for _ in range(6))) for i in range(150)]
