@@ -130,18 +130,19 @@ def _room(use: str, kind: np.dtype, *shape: int) -> np.ndarray:
 _ONES, _AT = np.ones(BLOCK, dtype=np.float32), np.arange(BLOCK)
 
 
-def _exponentials(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarray]:
-    """(unnormalised probabilities, the logits of goal, where these are, sums) of the logits states @ weights + bias; the first until the next call."""
+def _exponentials(states: np.ndarray, weights: np.ndarray, bias: np.ndarray | None, goal: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(unnormalised probabilities, the logits of goal, where these are in the first as a vector, sums) of the logits states @ weights + bias; the first until the next call."""
     n, width = states.shape[0], weights.shape[1]
     x = _room("logits", np.result_type(states, weights), n, width)
-    at = (_AT[:n] if n <= BLOCK else np.arange(n)), goal
+    at, flat = (_AT[:n] if n <= BLOCK else np.arange(n)) * width + goal, x.reshape(-1)
     for own in (False, True):
         np.matmul(states, weights, out=x)
-        x += bias
+        if bias is not None:
+            x += bias
         top = x.max(axis=1, keepdims=True) if own else x.max(initial=-np.inf)
         if own or abs(top) > SAFE:
             x -= top
-        goals = x[at]
+        goals = flat.take(at)
         np.exp(x, out=x)
         total = x @ (_ONES[:width] if width <= BLOCK else np.ones(width, dtype=np.float32))
         if total.min(initial=1) > LEAST:
@@ -149,9 +150,9 @@ def _exponentials(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, goa
     return x, goals, at, total
 
 
-def _logs(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """Natural log-probabilities of goal."""
-    _, goals, _, total = _exponentials(states, weights, bias, goal)
+def _logs(states: np.ndarray, weights: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Natural log-probabilities of goal; states have a one for the bias, which is the last of the weights."""
+    _, goals, _, total = _exponentials(states, weights, None, goal)
     return goals - np.log(total)
 
 
@@ -166,15 +167,22 @@ def _by_class(p: dict[str, np.ndarray], ranks: np.ndarray) -> tuple[np.ndarray,
     return order, kind, member, spans
 
 
+def with_bias(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of classes and of words with their bias beside them, so that scoring adds it within the product."""
+    return np.concatenate([p["to_class"], p["class_bias"][None]]), np.concatenate([p["to_word"], p["word_bias"][:, None]], axis=1)
+
+
 def word_logs(p: dict[str, np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probabilities of targets (a rank for each state)."""
     order, kind, member, spans = _by_class(p, targets)
-    states = states[order]
-    logs = np.concatenate([_logs(states[k : k + BLOCK], p["to_class"], p["class_bias"], kind[k : k + BLOCK]) for k in range(0, max(1, kind.size), BLOCK)])
+    to_class, to_word = p["with_bias"] if "with_bias" in p else with_bias(p)
+    sorted_states, states = states, np.ones((order.size, HIDDEN + 1), dtype=states.dtype)
+    sorted_states.take(order, axis=0, out=states[:, :HIDDEN])
+    logs = np.concatenate([_logs(states[k : k + BLOCK], to_class, kind[k : k + BLOCK]) for k in range(0, max(1, kind.size), BLOCK)])
     for a, b, i, j in spans:
         for k in range(i, j, BLOCK):
             s = slice(k, min(j, k + BLOCK))
-            logs[s] += _logs(states[s], p["to_word"][a:b].T, p["word_bias"][a:b], member[s])
+            logs[s] += _logs(states[s], to_word[a:b].T, member[s])
     out = np.empty_like(logs)
     out[order] = logs
     return out
@@ -204,12 +212,12 @@ def _sums_by(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     falling = np.argsort(-np.minimum(count, FEW + 1).astype(np.int16), kind="stable")
     first, count = first[falling], count[falling]
     many = int(np.count_nonzero(count > FEW))
-    sums = x[order[first]]
+    sums = x.take(order[first], axis=0)
     for k in range(many):
-        sums[k] = np.ones(count[k], dtype=x.dtype) @ x[order[first[k] : first[k] + count[k]]]
+        sums[k] = np.ones(count[k], dtype=x.dtype) @ x.take(order[first[k] : first[k] + count[k]], axis=0)
     for k in range(1, FEW):
         some = slice(many, int(np.count_nonzero(count > k)))
-        sums[some] += x[order[first[some] + k]]
+        sums[some] += x.take(order[first[some] + k], axis=0)
     return at[first], sums
 
 
@@ -222,13 +230,13 @@ def gradient_rows(p: dict[str, np.ndarray], words: np.ndarray, targets: np.ndarr
     states, goal, weight = out.reshape(-1, HIDDEN), targets.ravel(), mask.ravel().astype(np.float32)
     weight = weight / max(1.0, float(weight.sum()))
     order, kind, member, spans = _by_class(p, goal)
-    states, weight = states[order], weight[order]
+    states, weight = states.take(order, axis=0), weight[order]
     goals, totals, factors = (np.zeros(order.size, dtype=np.result_type(p["to_word"], states)) for _ in range(3))
 
     def output(s: slice, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(gradient of logits but for a factor by row, the factors): the products with it have few columns, which take the factors instead."""
         x, goals[s], place, total = _exponentials(states[s], weights, bias, at[s])
-        x[place] -= total
+        x.reshape(-1)[place] -= total
         totals[s] = total
         return x, np.divide(weight[s], total, out=factors[s])
 
@@ -336,7 +344,8 @@ class Trainer:
                     self.values[name] -= scale * mean / (np.sqrt(square) + np.float32(1e-8))
                     continue
                 seen = self.seen[name]
-                seen[rows] += x * x if x.ndim == 1 else (x * x) @ np.full(x.shape[1], 1 / x.shape[1], dtype=x.dtype)
+                square = np.multiply(x, x, out=_room("square", x.dtype, *x.shape))
+                seen[rows] += square if x.ndim == 1 else square @ np.full(x.shape[1], 1 / x.shape[1], dtype=x.dtype)
                 rate = np.float32(ROW_RATE) / (np.sqrt(seen[rows]) + np.float32(1e-8))
                 x *= rate if x.ndim == 1 else rate[:, None]
                 self.values[name][rows] -= x
@@ -369,6 +378,7 @@ def text_logs(flat: np.ndarray, ranks: np.ndarray, first: np.ndarray, window: in
     for into, x in ((words, given), (goals, ranks), (owner, np.repeat(np.arange(n), length))):
         into.ravel()[place] = x
     h = np.zeros((lanes, HIDDEN), dtype=np.float32)
+    p["with_bias"] = with_bias(p)
     for t in range(0, steps, window):
         out, h, _ = run(p, words[t : t + window], h, keep=False)
         real = owner[t : t + window].ravel() >= 0

@@ -86,19 +86,21 @@ class Lexicon:
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
         self.ranks = np.array([ranks.get(w, gru.OTHER) for w in self.words], dtype=np.int64)
-        #: The words of a bucket of hashes are first[bucket]:first[bucket + 1], one at most in nearly all of them.
-        self.first = np.searchsorted(self.words, np.arange(1 << BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS))
-        self.first = np.append(self.first, self.words.size)
+        #: The first word of a bucket of hashes, and whether it has others, which hardly any has; ranks and counts with those of other words behind them.
+        self.first = np.searchsorted(self.words, np.arange(1 << BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS)).astype(np.int32)
+        self.crowded = np.diff(np.append(self.first, self.words.size)) > 1
+        self.all_ranks, self.all_counts = np.append(self.ranks, gru.OTHER), np.append(self.counts, 0)
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rank, count, whether it is in the head)."""
-        bucket = (h >> np.uint64(64 - BUCKETS)).astype(np.int64)
-        at = self.first[bucket]
-        crowded = np.flatnonzero(self.first[bucket + 1] - at > 1)
+        bucket = (h >> np.uint64(64 - BUCKETS)).view(np.int64)
+        at = self.first.take(bucket)
+        crowded = np.flatnonzero(self.crowded.take(bucket))
         at[crowded] = np.searchsorted(self.words, h[crowded])
-        at = np.minimum(at, self.words.size - 1)
-        known = self.words[at] == h
-        return np.where(known, self.ranks[at], gru.OTHER), np.where(known, self.counts[at], 0), known
+        np.minimum(at, self.words.size - 1, out=at)
+        known = self.words.take(at) == h
+        at[~known] = self.words.size
+        return self.all_ranks.take(at), self.all_counts.take(at), known
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -151,6 +153,12 @@ def trained(df: DataFrame, lexicon, start: np.ndarray, bounds: np.ndarray) -> np
     return start + np.concatenate([np.frombuffer(r["moves"], dtype="<f4") for r in sorted(rows, key=lambda r: r["part"])])
 
 
+def models_of(partitions: int, words: int) -> int:
+    """How many models learn from so many words in a round: each has equally many partitions, of about MODEL_WORDS words. (Where some have two
+    partitions and some have one, the latter have too few words for MIN_STEPS steps, and learn from them again.)"""
+    return max(1, partitions // max(1, round(partitions * MODEL_WORDS / max(1, words))))
+
+
 _SCORED = "row long, id {}, held_out boolean, n_tokens long, n_head long, n_other long, logs double, head_logs double, other_logs double, tail array<long>"
 
 
@@ -205,8 +213,9 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", train:
     bounds = gru.class_bounds(by_rank)
     model = gru.fresh(counts=by_rank, bounds=bounds)
     share = F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS))
+    models = models_of(texts.rdd.getNumPartitions(), tokens // ROUNDS)
     for k in range(ROUNDS):
-        model = trained(texts.filter(share == k).select("text").coalesce(max(1, -(-tokens // (ROUNDS * MODEL_WORDS)))), shipped, model, bounds)
+        model = trained(texts.filter(share == k).select("text").coalesce(models), shipped, model, bounds)
     last = df.sparkSession.sparkContext.broadcast((model, bounds))
     rows = scratch.keep(_scored(docs, shipped, last, df.schema[id_col].dataType.simpleString()), "scored")
     last.destroy()

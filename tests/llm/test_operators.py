@@ -322,10 +322,18 @@ def test_sums_of_rows_by_rank():
 
 def test_rows_far_below_others_keep_their_probabilities():
     bias = np.array([0.0, 1, 2], dtype=np.float32)
-    states, weights = np.array([[1.0], [-1.0]], dtype=np.float32), np.array([[200.0, 200, 200]], dtype=np.float32)
+    states, weights = np.array([[1.0, 1], [-1, 1]], dtype=np.float32), np.stack([np.full(3, 200, dtype=np.float32), bias])
     want = bias - np.log(np.exp(bias).sum())
     for goal in range(3):
-        assert gru._logs(states, weights, bias, np.array([goal, goal])) == pytest.approx([want[goal]] * 2, abs=1e-4)
+        assert gru._logs(states, weights, np.array([goal, goal])) == pytest.approx([want[goal]] * 2, abs=1e-4)
+
+
+def test_models_have_equally_many_partitions():
+    # 32 partitions of 1.19 million words: 19 models would have one or two of them, and those with one would learn from theirs twice
+    assert lm_scoring.models_of(32, 38_000_000) == 16
+    for partitions, words in itertools.product((1, 7, 32, 500, 20_000), (0, 10_000, 7_000_000, 40_000_000, 3_000_000_000)):
+        models = lm_scoring.models_of(partitions, words)
+        assert 1 <= models <= partitions and (models == 1 or words / partitions * (partitions // models) > 0.6 * lm_scoring.MODEL_WORDS)
 
 
 def test_words_of_a_crowded_bucket_are_told_apart():
