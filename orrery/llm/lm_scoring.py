@@ -2,7 +2,7 @@
 
 1. Counts of all training words: each task adds up its own words, then they meet by word. They give the base score and the shortlist.
 2. Training. The training documents are dealt into ROUNDS equal shares by hash. In a round each task trains on the documents of the share in
-   its partitions (small partitions share a task), from the model of the round before; the first one has the biases of the counts. Then the tasks'
+   its partitions (small partitions share a task, equally many each), from the model of the round before; the first one has the biases of the counts. Then the tasks'
    models are averaged with the weights of their words, by parts of the parameter vector, so that what is gathered grows with the input while
    no task holds more than a part of each model. So every training document is learnt from, once; where a task has too few words for
    MIN_STEPS steps, it repeats them. Scores depend a little on how the documents are partitioned, as the averages do; counts and base scores don't.
