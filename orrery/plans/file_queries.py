@@ -131,12 +131,19 @@ def _(spark, sf):
     return spark.createDataFrame([(k, float(v)) for k, v in p.items() if k != "namespace"], "name string, value double")
 
 
+#: Records of a chunk file of q_particle_count, about: more rows make more chunks, and no larger ones.
+#: Beyond 200 chunks (spark.shuffle.sort.bypassMergeThreshold) the shuffle holds rows back and may spill.
+CHUNK_ROWS = 1 << 22
+
+
 @query("q_particle_count", "SELECT CAST(24 AS INT) AS step, count(*) AS n, true AS several FROM lineitem")
 def _(spark, sf):
-    data = _run(spark, sf, tps=(_single(particles(spark, sf, 1.0, 0.5), "x", "y", "z").repartition(3), (24,)))
+    rows = _single(particles(spark, sf, 1.0, 0.5), "x", "y", "z")
+    chunks = max(3, -(-rows.count() // CHUNK_ROWS))  # three at least, so that several files are counted
+    data = _run(spark, sf, tps=(rows.repartition(chunks), (24,)))
     fmt = formats.FORMATS["tps"]
     at = [(s, files := formats.chunk_files(fmt, data.params.namespace, s), formats.particle_count(fmt, files)) for s in formats.steps_on_disk(data.params.namespace)]
-    return spark.createDataFrame([(s, n, len(files) == 3) for s, files, n in at], "step int, n long, several boolean")
+    return spark.createDataFrame([(s, n, len(files) == chunks) for s, files, n in at], "step int, n long, several boolean")
 
 
 @query("q_synthetic", "SELECT count(*) AS n, true AS inside, true AS different FROM lineitem")

@@ -17,7 +17,7 @@ from orrery.functions import presets
 from orrery.functions.cosmology import Cosmology, chi_of_z, outer_redshift
 from orrery.operators import campaign, grid, select, spectrum
 from orrery.plans import file_queries
-from orrery.sources import metadata, sinks
+from orrery.sources import formats, metadata, sinks
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -209,6 +209,16 @@ def test_query_equals_sql(spark, duck, name):
     assert _cells(got) == _cells(duck.execute(file_queries.SQL[name]).df())
 
 
+def test_more_particles_make_more_chunks_and_no_larger_ones(spark, monkeypatch):
+    made, count = [], formats.particle_count
+    monkeypatch.setattr(formats, "particle_count", lambda fmt, files: made.extend(count(fmt, [f]) for f in files) or count(fmt, files))
+    monkeypatch.setattr(file_queries, "CHUNK_ROWS", 500, raising=False)
+    got = file_queries.QUERIES["q_particle_count"](spark, SMALL).collect()
+    n = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert [tuple(r) for r in got] == [(24, n, True)]
+    assert len(made) == -(-n // 500) and sum(made) == n and max(made) <= 600
+
+
 def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
